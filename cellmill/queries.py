@@ -1,0 +1,6 @@
+"""The registry of the engine's own queries: callables and the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}

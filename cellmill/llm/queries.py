@@ -43,5 +43,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op6_language_id, op8_toxicity, op9_decontamination)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op6_language_id, op8_toxicity, op9_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}

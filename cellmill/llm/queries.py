@@ -49,5 +49,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op6_language_id, op8_toxicity, op9_decontamination, op10_jaccard_join)}
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import spotsigs
+
+    return spotsigs(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op6_language_id, op7_spotsigs, op8_toxicity, op9_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}

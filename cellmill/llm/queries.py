@@ -55,5 +55,11 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op6_language_id, op7_spotsigs, op8_toxicity, op9_decontamination, op10_jaccard_join)}
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op4_suffix_dedup, op6_language_id, op7_spotsigs, op8_toxicity, op9_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}

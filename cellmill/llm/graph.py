@@ -1,7 +1,9 @@
-"""Connected components by contraction: every node hooks on to its neighbour of the smallest hash, round by round."""
+"""Connected components by contraction: every node hooks on to its least neighbour, round by round."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,26 @@ from .common import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges (a, b); a root is any node of the component.
 
-    Hashes differ by round, so chains shrink by a constant factor a round.
-    A node's neighbours are pre-aggregated before the shuffle; nothing is
-    gathered by node or component. No edges give no rows.
+    Nodes should be hashes, so that chains of ever smaller nodes are short: a
+    round then shrinks every chain by a constant factor, and a star whose
+    centre is its least node is done in one. A node's neighbours are
+    pre-aggregated before the shuffle; nothing is gathered by node or
+    component. No edges give no rows.
     """
-    spark = edges.sparkSession
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = checkpointed(both.distinct())
-    found = left.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    for number in range(10_000):
-        if left.isEmpty():
-            return found
-        key = lambda c: F.xxhash64(F.col(c), F.lit(number))
-        hook = left.groupBy("a").agg(F.min(F.struct(key("b").alias("h"), F.col("b").alias("id"))).alias("x"), F.min(F.struct(key("a").alias("h"), F.col("a").alias("id"))).alias("y"))
-        hook = checkpointed(hook.select(F.col("a").alias("child"), F.least("x", "y")["id"].alias("parent")))
-        found = checkpointed(found.join(hook, found["root"] == hook["child"], "left").select("node", F.coalesce("parent", "root").alias("root")))
+    left, hooks = both, []
+    for _ in range(1_000):
+        hook = checkpointed(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("child"), F.least("a", "b").alias("parent")))
+        if hook.isEmpty():
+            break
+        hooks.append(hook)
         up, over = hook.select(F.col("child").alias("a"), F.col("parent").alias("pa")), hook.select(F.col("child").alias("b"), F.col("parent").alias("pb"))
         left = checkpointed(left.join(up, "a").join(over, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-    raise RuntimeError(f"components did not settle in {spark.sparkContext.applicationId}")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    first = hooks[0].select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    return reduce(lambda found, hook: found.join(hook, found["root"] == hook["child"], "left").select("node", F.coalesce("parent", "root").alias("root")), hooks[1:], first)

@@ -15,8 +15,8 @@ or more.
    pair is dropped once the posterior probability (uniform prior) that its
    likeness reaches the threshold falls below TOLERANCE; the rest is verified
    on the whole shingle sets. A unit returns the number of links of each text
-   and a spanning forest of its links.
-4. Components of the forests are the classes.
+   and a star of each class it sees.
+4. Components of the stars are the classes.
 
 Result: doc_id, class_id (the least doc_id of the class), n_links (other
 documents that are linked to it, copies counted), n_copies (of its text).
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, raw, shingle_hashes, slices, text_column, tokens
+from .common import checkpointed, free_shuffles, mix, raw, shingle_hashes, slices, text_column, tokens
 from .graph import components
 
 SHINGLE, LIKENESS, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
@@ -119,7 +119,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def linked(first: list[int], second: list[int], sets: list[np.ndarray], signature: np.ndarray, copies: np.ndarray, floors: dict[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each text and a spanning forest, of the pairs of one block (first is second) or two."""
+    """Links of each text, and of each linked text its root among them, of the pairs of one block (first is second) or two."""
     links = np.zeros(len(sets), np.int64)
     root = list(range(len(sets)))
 
@@ -129,7 +129,6 @@ def linked(first: list[int], second: list[int], sets: list[np.ndarray], signatur
             i = root[i]
         return i
 
-    forest = []
     bands = band_keys(signature)
     size = np.array([len(s) for s in sets])
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -158,19 +157,18 @@ def linked(first: list[int], second: list[int], sets: list[np.ndarray], signatur
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                forest.append((i, j))
-    return links, forest
+    return links, [(i, find(i)) for i in np.flatnonzero(links).tolist()]
 
 
 def verify(units: DataFrame) -> DataFrame:
-    """a, b, links: links of text a (b null), or a link of the forest. units: text, k, copies, comp, i, j, own; sorted by comp, i, j."""
+    """a, b, links: links of text a (b null), or the root b of a's class in this unit. units: text, k, copies, comp, i, j, own; sorted by comp, i, j."""
     floors = least_matches()
 
     def solve(rows: list[tuple], i: int, j: int) -> pa.RecordBatch:
         h, at = shingles(pa.array([r[0] for r in rows], pa.string()))
         keys = content_keys(h, at)
         keep = [x for x, r in enumerate(rows) if r[1] == keys[x]]  # rows that repeat an id with another text go
-        keep = list({rows[x][1]: x for x in keep}.values())
+        keep = [x for _, x in sorted({rows[x][1]: x for x in keep}.items())]  # so that a class's root is its least key
         signature = minhashes(h, at)[keep]
         sets = [np.unique(h[at[x] : at[x + 1]]) for x in keep]
         k, copies = np.array([rows[x][1] for x in keep]), np.array([rows[x][2] for x in keep])
@@ -213,6 +211,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     member = member.join(sizes, "comp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     member = member.select("rep", "k", "copies", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     units = docs.join(member, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.coalesce("rep", F.lit(-(1 << 63)))).select("text", "k", "copies", "comp", "i", "j", "own")
+    free_shuffles(docs.sparkSession)
     found = checkpointed(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")))
 
     roots = components(found.where(F.col("b").isNotNull()).select("a", "b"))

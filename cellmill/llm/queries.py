@@ -61,5 +61,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op4_suffix_dedup, op6_language_id, op7_spotsigs, op8_toxicity, op9_decontamination, op10_jaccard_join)}
+def op5_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_score
+
+    return katz_score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_chat_format, op4_suffix_dedup, op5_katz_score, op6_language_id, op7_spotsigs, op8_toxicity, op9_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}

@@ -125,24 +125,23 @@ def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tupl
     return best, value
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs with columns lang_pred and score; its text column is read, all columns are kept."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with a predicted language and its score under `names` (older columns of these names go); all others are kept."""
     langs, shared = model[0], docs.sparkSession.sparkContext.broadcast(model[1])
-    at = docs.columns.index("text")
+    kept = docs.drop(*names)
+    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, values = [], []
+            best, values = [], []
             for a, b in slices(batch.column(at)):
                 x, y = score(batch.column(at)[a:b].to_pylist(), langs, shared.value)
-                names += x
+                best += x
                 values.append(y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(values) if values else np.zeros(0))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(np.concatenate(values) if values else np.zeros(0))], names=[*batch.schema.names, *names])
 
-    kept = docs.drop("lang_pred", "score")
-    at = kept.columns.index("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -151,3 +150,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     away = held_out(F.col("doc_id"), 5, 0)
     model = train(docs.where(~away))
     return identify(docs.select("doc_id", "text", away.alias("held_out")), model).drop("text")
+
+
+def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs whose language is recognised (not und, score of `least` or more), learned from their own labels; all columns are kept."""
+    rows = identify(docs, train(docs), ("_language", "_sure"))
+    return rows.where((F.col("_language") != "und") & (F.col("_sure") >= least)).drop("_language", "_sure")

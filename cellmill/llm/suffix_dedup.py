@@ -311,7 +311,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with their texts cut (characters of which bytes are removed go as a whole); all columns are kept."""
+    """docs with their texts cut (characters of which bytes are removed go as a whole) and n_chars after them; all columns are kept."""
     rows = with_spans(docs)
     names = docs.columns
     at, last = names.index("text"), len(names)
@@ -321,6 +321,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts = [None if t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
             cols = [*batch.columns[:last]]
             cols[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:  # the documents' own column of text lengths follows
+                k = names.index("n_chars")
+                cols[k] = pa.array([None if t is None else len(t) for t in texts], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

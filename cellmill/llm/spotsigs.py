@@ -35,23 +35,31 @@ CHAIN, FLOOR = 2, 0.1
 _FIRST = -(1 << 63)
 
 
-def signatures(text: Column) -> Column:
-    """The sorted signature set (array<int>) of a text."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    marked = F.regexp_replace(spaced, f" (?:{'|'.join(sorted(set(ANCHORS)))}) ", " # ")
-    words = F.filter(F.split(F.regexp_replace(marked, "(?:# +)+", "#"), " +"), lambda w: (w != "") & (w != "#"))
-
-    def chains(ws: Column, keep) -> Column:
-        later = [F.slice(ws, k + 1, F.greatest(F.size(ws) - k, F.lit(0))) for k in range(1, CHAIN)]
-        out = F.transform(ws, lambda w: F.struct(w.alias("w"), F.ltrim(w, F.lit("#")).alias("c")))
-        for other in later:
-            out = F.zip_with(out, other, lambda a, b: F.struct(a["w"].alias("w"), F.concat_ws(" ", a["c"], F.ltrim(b, F.lit("#"))).alias("c")))
-        return F.transform(F.filter(out, lambda x: keep(x["w"])), lambda x: F.xxhash64(x["c"]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-
-    anchored = chains(words, lambda w: w.startswith("#"))
-    every = chains(words, lambda w: F.lit(True))
-    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return F.array_sort(F.array_distinct(F.when(F.size(anchored) > 0, anchored).when(F.size(every) > 0, every).otherwise(whole)))
+def _anchor_pattern() -> str:
+    """The anchors by first letter, so that most words are passed over at their first character."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(ANCHORS)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, reverse=True))})" for c, rest in sorted(by.items()))
+
+
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the sorted signature set (array<int>) of column `text` as `name`.
+
+    Every word stands between blanks of its own; an anchor becomes #, and a row
+    of # joins the word after it. Steps are columns of their own, so each is
+    computed once; patterns repeat fixed lengths or single characters only, so
+    long rows of anchors take no stack.
+    """
+    hashed = lambda chains: F.transform(chains, lambda c: F.xxhash64(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    more = "(?: +[^ ]+)?" * (CHAIN - 1)
+    rows = df.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  ")))
+    rows = rows.withColumn("_marked", F.regexp_replace(F.regexp_replace("_spaced", f" (?:{_anchor_pattern()}) ", " # "), "(?:#  )+", "#"))
+    rows = rows.withColumn("_chains", F.regexp_extract_all("_marked", F.lit(f"#(?=([^ #]+{more}))"), F.lit(1)))
+    every = F.regexp_extract_all("_spaced", F.lit(f" (?=([^ ]+{more}))"), F.lit(1))
+    words = F.col("_spaced").rlike("[^ ]")
+    found = F.when(F.size("_chains") > 0, hashed(F.col("_chains"))).when(words, hashed(every)).otherwise(hashed(F.array(F.col(text))))
+    return rows.withColumn(name, F.array_sort(F.array_distinct(found))).drop("_spaced", "_marked", "_chains")
 
 
 def fingerprint(found: Column) -> Column:
@@ -89,13 +97,14 @@ def spotsigs(docs: DataFrame) -> DataFrame:
     after = successors(base.select("key"))
     wanted = base.select("key", F.length("text").alias("n")).groupBy("key").agg(F.floor(F.max("n") / 4).cast("int").alias("q"))
     asked = after.join(wanted, "key").select(F.col("key").alias("asker"), F.col("next").alias("key"), "q")
-    answers = base.join(asked, "key").select(F.col("asker").alias("key"), F.col("text").substr(F.lit(1), F.col("q")).alias("head"), F.sha2("text", 256).alias("of"), signatures(F.col("text")).alias("next_set"))
+    answers = base.join(asked, "key").select(F.col("asker").alias("key"), F.col("text").substr(F.lit(1), F.col("q")).alias("head"), "text")
+    answers = with_signatures(answers, "text", "next_set").select("key", "head", F.sha2("text", 256).alias("of"), "next_set")
     answers = answers.groupBy("key").agg(F.min(F.struct("head", "of", "next_set")).alias("x")).select("key", "x.head", "x.next_set")
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - q), F.col("head").substr(F.lit(1), q))
     rows = base.join(answers, "key").select("key", n.cast("long").alias("n_chars"), "next_set", "text", edited.alias("edited"))
-    rows = rows.select("key", "n_chars", "next_set", signatures(F.col("text")).alias("own"), F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("changed"))
+    rows = with_signatures(with_signatures(rows, "text", "own").drop("text"), "edited", "changed").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     return rows.select(
         F.when(F.col("key") != _FIRST, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_set")).alias("near_next"), F.size("own").alias("n_signatures"), length_partition(F.col("own")).alias("length_partition"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, functions
 
-GROUPS = [corpus.GROUP]
+GROUPS = [corpus.GROUP, functions.GROUP]
 QUERIES = {k: f for g in GROUPS for k, f in g.queries.items()}
 ORACLES = {k: s for g in GROUPS for k, s in g.oracles.items()}

@@ -15,16 +15,16 @@ NULL_LIKE = ("", "na", "n/a", "none", "null", "nan", ".", "-")
 NULL_LITERALS = ("", "na", "none", "null", "nan", ".", "-")
 # Dose units by alias.
 DOSE_UNITS = {
-    "g/l": "g/L",
-    "m": "M",
+    "%": "%",
+    "nm": "nm",
+    "nanomolar": "nm",
+    "nanomol": "nm",
+    "um": "um",
+    "micromolar": "um",
+    "mm": "mm",
+    "millimolar": "mm",
     "mg/kg": "mg/kg",
-    "mg/ml": "mg/mL",
-    "mm": "mM",
-    "ng/ml": "ng/mL",
-    "nm": "nM",
-    "pm": "pM",
-    "ug/ml": "ug/mL",
-    "um": "uM",
+    "ug/kg": "ug/kg",
 }
 # Time units by alias.
 TIME_UNITS = {
@@ -43,8 +43,18 @@ TIME_UNITS = {
     "minutes": "m",
 }
 # Guide suffixes; the first that matches goes.
-GUIDE_SUFFIXES = (r"[_-]sg(RNA)?[0-9]+$", r"[_-]g(uide)?[0-9]+$", r"[_-][0-9]+$")
-_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+GUIDE_SUFFIXES = (
+    r"(?i)(?:[_\-\s](?:sg|guide|grna)\d+)$",
+    r"(?i)(?:[_\-]g\d+)$",
+    r"(?i)(?:[_\-]\d+)$",
+)
+# A decimal, the units that may follow a dose and a time.
+DECIMAL = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
+DOSE_UNIT_TEXT = r"[A-Za-zµμ%]+(?:/[A-Za-zµμ%]+)?"
+TIME_UNIT_TEXT = r"[A-Za-z]+"
+#: What float() reads: digits with single underscores, exponents, infinities, nan.
+_DIGITS = r"\d(?:_?\d)*"
+FLOAT = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)$"
 
 
 def text(c: Column) -> Column:
@@ -103,7 +113,7 @@ def strip_guide_suffix(c: Column, pattern: str | None = None) -> Column:
     """Without the first guide suffix that matches; then _, - and blanks at the end go too."""
     out = text(c)
     for p in reversed([pattern] if pattern else GUIDE_SUFFIXES):
-        out = F.when(text(c).rlike(f"(?i){p}"), F.regexp_replace(F.regexp_replace(text(c), f"(?i){p}", ""), "[_ -]+$", "")).otherwise(out)
+        out = F.when(text(c).rlike(p), F.regexp_replace(F.regexp_replace(text(c), p, ""), "[_ -]+$", "")).otherwise(out)
     return out
 
 
@@ -148,48 +158,56 @@ def map_values(c: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, text(c)), text(c))
 
 
-def _quantity(c: Column, units: dict[str, str], group: int) -> Column:
-    pattern = rf"(?i)^\s*({_NUMBER})\s*({'|'.join(sorted(map(re.escape, units), key=len, reverse=True))})\s*$"
-    return F.nullif(F.regexp_extract(fold_micro(text(c)), pattern, group), F.lit(""))
+def _quantity(c: Column, units: str, group: int) -> Column:
+    """Number (1) or unit (2) of a quantity, null if the text is none."""
+    return F.nullif(F.regexp_extract(strip_whitespace(c), rf"^\s*({DECIMAL})\s*({units})\s*$", group), F.lit(""))
+
+
+def _number(c: Column, units: str) -> Column:
+    bare = strip_whitespace(c)
+    return F.coalesce(_quantity(c, units, 1), F.when(bare.rlike(FLOAT), bare), F.lit(NA))
+
+
+def _unit(c: Column, units: str, table: dict[str, str]) -> Column:
+    """The usual spelling of a unit or of a quantity's unit; unknown ones stay as given, nothing is NA."""
+    own = strip_whitespace(c)
+    unit = F.coalesce(_quantity(c, units, 2), own)
+    aliases = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    return F.when(own == "", F.lit(NA)).otherwise(F.coalesce(F.try_element_at(aliases, F.lower(fold_micro(unit))), own))
 
 
 def dose_parse(c: Column) -> Column:
     """The number of a dose; a bare number stays, anything else is NA."""
-    bare = F.when(strip_whitespace(c).rlike(rf"^{_NUMBER}$"), strip_whitespace(c))
-    return F.coalesce(_quantity(c, DOSE_UNITS, 1), bare, F.lit(NA))
+    return _number(c, DOSE_UNIT_TEXT)
 
 
 def dose_unit(c: Column) -> Column:
-    return F.coalesce(normalize_dose_unit(_quantity(c, DOSE_UNITS, 2), keep_null=True), F.lit(NA))
+    unit = _quantity(c, DOSE_UNIT_TEXT, 2)
+    return F.when(unit.isNull(), F.lit(NA)).otherwise(normalize_dose_unit(unit))
 
 
-def normalize_dose_unit(c: Column, keep_null: bool = False) -> Column:
-    """The usual spelling of a unit; unknown ones stay."""
-    table = F.create_map(*(F.lit(x) for kv in DOSE_UNITS.items() for x in kv))
-    own = c if keep_null else text(c)
-    return F.coalesce(F.try_element_at(table, F.lower(fold_micro(strip_whitespace(c)))), own)
+def normalize_dose_unit(c: Column) -> Column:
+    return _unit(c, DOSE_UNIT_TEXT, DOSE_UNITS)
 
 
 def timepoint_parse(c: Column) -> Column:
-    bare = F.when(strip_whitespace(c).rlike(rf"^{_NUMBER}$"), strip_whitespace(c))
-    return F.coalesce(_quantity(c, TIME_UNITS, 1), bare, F.lit(NA))
+    return _number(c, TIME_UNIT_TEXT)
 
 
 def timepoint_unit(c: Column) -> Column:
-    return F.coalesce(normalize_time_unit(_quantity(c, TIME_UNITS, 2), keep_null=True), F.lit(NA))
+    unit = _quantity(c, TIME_UNIT_TEXT, 2)
+    return F.when(unit.isNull(), F.lit(NA)).otherwise(normalize_time_unit(unit))
 
 
-def normalize_time_unit(c: Column, keep_null: bool = False) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in TIME_UNITS.items() for x in kv))
-    own = c if keep_null else text(c)
-    return F.coalesce(F.try_element_at(table, F.lower(strip_whitespace(c))), own)
+def normalize_time_unit(c: Column) -> Column:
+    return _unit(c, TIME_UNIT_TEXT, TIME_UNITS)
 
 
 def strip_ensembl_version(c: Column) -> Column:
     return F.when(F.upper(text(c)).startswith("ENS"), F.regexp_replace(text(c), r"\.[0-9]+$", "")).otherwise(text(c))
 
 
-def normalize_boolean(c: Column, true_output: str = "True", false_output: str = "False", true_values: tuple[str, ...] = ("true", "1", "yes", "y", "t"), false_values: tuple[str, ...] = ("false", "0", "no", "n", "f"), case_sensitive: bool = False, strip_whitespace: bool = True) -> Column:
+def normalize_boolean(c: Column, true_output: str = "true", false_output: str = "false", true_values: tuple[str, ...] = ("true", "1", "yes", "y", "t"), false_values: tuple[str, ...] = ("false", "0", "no", "n", "f"), case_sensitive: bool = False, strip_whitespace: bool = True) -> Column:
     own = _norm(c, case_sensitive, strip_whitespace)
     known = lambda values: [_norm_py(v, case_sensitive, strip_whitespace) for v in values]
     return F.when(own.isin(*known(true_values)), F.lit(true_output)).when(own.isin(*known(false_values)), F.lit(false_output)).otherwise(text(c))
@@ -242,8 +260,8 @@ def render_template(template: str, columns: dict[str, Column], missing: str = "f
 
 #: Patterns that suggest a transform when most values of a column match.
 VALUE_PATTERNS = {
-    "dose": rf"(?i)^\s*{_NUMBER}\s*(nm|um|mm|pm|mg/kg|mg/ml|ug/ml|ng/ml)\s*$",
-    "time": rf"(?i)^\s*{_NUMBER}\s*(h|hr|hrs|hours?|d|days?|mins?|minutes?)\s*$",
+    "dose": rf"(?i)^\s*{DECIMAL}\s*(nm|um|mm|pm|mg/kg|mg/ml|ug/ml|ng/ml)\s*$",
+    "time": rf"(?i)^\s*{DECIMAL}\s*(h|hr|hrs|hours?|d|days?|mins?|minutes?)\s*$",
     "guide": "(?i)[_-](sg(RNA)?|g|guide)?[0-9]+$",
     "ensembl": "(?i)^ENS[A-Z]*G[0-9]+",
     "ensembl_versioned": r"(?i)^ENS[A-Z]*G[0-9]+\.[0-9]+$",

@@ -33,29 +33,29 @@ _flag = lambda: F.element_at(F.array(*map(F.lit, (" 0 ", "Yes", "FALSE", "maybe"
 _FLAG = "(CASE p_partkey % 6 WHEN 0 THEN ' 0 ' WHEN 1 THEN 'Yes' WHEN 2 THEN 'FALSE' WHEN 3 THEN 'maybe' WHEN 4 THEN 't' ELSE '' END)"
 _null = lambda: F.element_at(F.array(*map(F.lit, ("NA", " n/a", "None", "", ".", "x"))), (F.col("p_partkey") % 6 + 1).cast("int"))
 _NULL = "(CASE p_partkey % 6 WHEN 0 THEN 'NA' WHEN 1 THEN ' n/a' WHEN 2 THEN 'None' WHEN 3 THEN '' WHEN 4 THEN '.' ELSE 'x' END)"
-_guide = lambda: F.concat("p_name", F.element_at(F.array(*map(F.lit, ("_sg1", "-guide2", "_ 3", "_12", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
-_GUIDE = "p_name || (CASE p_partkey % 5 WHEN 0 THEN '_sg1' WHEN 1 THEN '-guide2' WHEN 2 THEN '_ 3' WHEN 3 THEN '_12' ELSE '' END)"
+_guide = lambda: F.concat("p_name", F.element_at(F.array(*map(F.lit, ("_sg1", "-guide2", "_ -3", "_12", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
+_GUIDE = "p_name || (CASE p_partkey % 5 WHEN 0 THEN '_sg1' WHEN 1 THEN '-guide2' WHEN 2 THEN '_ -3' WHEN 3 THEN '_12' ELSE '' END)"
 _S = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_NUM = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _MICRO = "translate(input, 'μµ', 'uu')"
+_DEC = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
+_DU, _TU = "[A-Za-zµμ%]+(?:/[A-Za-zµμ%]+)?", "[A-Za-z]+"
 
 
 def _quantity(units: str, group: int) -> str:
-    return rf"nullif(regexp_extract({_MICRO}, '(?i)^\s*({_NUM})\s*({units})\s*$', {group}), '')"
+    return rf"nullif(regexp_extract(trim(input), '^\s*({_DEC})\s*({units})\s*$', {group}), '')"
 
 
-_DU, _TU = "mg/kg|mg/ml|ng/ml|ug/ml|g/l|mm|nm|pm|um|m", "minutes|minute|hours|days|hour|mins|day|hrs|min|hr|d|h|m"
-_UNIT = lambda x: f"CASE lower({x}) WHEN 'nm' THEN 'nM' WHEN 'um' THEN 'uM' WHEN 'mg/kg' THEN 'mg/kg' WHEN 'mm' THEN 'mM' WHEN 'm' THEN 'M' END"
-_TUNIT = lambda x: f"CASE WHEN lower({x}) IN ('h', 'hr', 'hrs', 'hour', 'hours') THEN 'h' WHEN lower({x}) IN ('d', 'day', 'days') THEN 'd' WHEN lower({x}) IN ('m', 'min', 'mins', 'minute', 'minutes') THEN 'm' END"
-_BARE = rf"CASE WHEN regexp_matches({_S.format('input')}, '^{_NUM}$') THEN {_S.format('input')} END"
+_UNIT = lambda x: f"CASE lower(translate({x}, 'μµ', 'uu')) WHEN 'nm' THEN 'nm' WHEN 'um' THEN 'um' WHEN 'mg/kg' THEN 'mg/kg' WHEN 'mm' THEN 'mm' WHEN '%' THEN '%' ELSE {x} END"
+_TUNIT = lambda x: f"CASE WHEN lower({x}) IN ('h', 'hr', 'hrs', 'hour', 'hours') THEN 'h' WHEN lower({x}) IN ('d', 'day', 'days') THEN 'd' WHEN lower({x}) IN ('m', 'min', 'mins', 'minute', 'minutes') THEN 'm' ELSE {x} END"
+_BARE = r"CASE WHEN regexp_matches(trim(input), '^[0-9.]+$') THEN trim(input) END"
 
 _on_parts("fn1_map_control_labels", lambda c: t.map_control_labels(c, ["Small Ring", " blue bolt"]), f"CASE WHEN lower({_S.format('input')}) IN ('small ring', 'blue bolt') THEN 'ctrl' ELSE input END", _padded, _PADDED)
 _on_parts("fn2_strip_whitespace", t.strip_whitespace, _S.format("input"), _padded, _PADDED)
 _on_parts("fn3_replace_empty_with_null", t.replace_empty_with_null, f"CASE WHEN {_S.format('input')} = '' THEN 'NA' ELSE input END", _null, _NULL)
 _on_parts("fn4_strip_prefix", lambda c: t.strip_prefix(c, "Brand#"), "CASE WHEN starts_with(input, 'Brand#') THEN substr(input, 7) ELSE input END", _STR("p_brand"), "p_brand")
 _on_parts("fn5_strip_suffix", lambda c: t.strip_suffix(c, "ring"), "CASE WHEN suffix(input, 'ring') THEN left(input, length(input) - 4) ELSE input END")
-_on_parts("fn6_strip_guide_suffix", t.strip_guide_suffix, r"""CASE WHEN regexp_matches(input, '(?i)[_-]sg(RNA)?[0-9]+$') THEN regexp_replace(regexp_replace(input, '(?i)[_-]sg(RNA)?[0-9]+$', ''), '[_ -]+$', '')
- WHEN regexp_matches(input, '(?i)[_-]g(uide)?[0-9]+$') THEN regexp_replace(regexp_replace(input, '(?i)[_-]g(uide)?[0-9]+$', ''), '[_ -]+$', '')
+_on_parts("fn6_strip_guide_suffix", t.strip_guide_suffix, r"""CASE WHEN regexp_matches(input, '(?i)[_\-\s](?:sg|guide|grna)\d+$') THEN regexp_replace(regexp_replace(input, '(?i)[_\-\s](?:sg|guide|grna)\d+$', ''), '[_ -]+$', '')
+ WHEN regexp_matches(input, '(?i)[_\-]g\d+$') THEN regexp_replace(regexp_replace(input, '(?i)[_\-]g\d+$', ''), '[_ -]+$', '')
  WHEN regexp_matches(input, '[_-][0-9]+$') THEN regexp_replace(regexp_replace(input, '[_-][0-9]+$', ''), '[_ -]+$', '') ELSE input END""", _guide, _GUIDE)
 _on_parts("fn7_regex_sub", lambda c: t.regex_sub(c, "([aeiou])([a-z])", r"\2$\1"), r"regexp_replace(input, '([aeiou])([a-z])', '\2$\1', 'g')")
 _on_parts("fn8_normalize_case", lambda c: F.concat(t.normalize_case(c, "title"), F.lit("|"), t.normalize_case(c, "upper")), "upper(input[1]) || substr(input, 2, position(' ' IN input) - 1) || upper(input[position(' ' IN input) + 1]) || substr(input, position(' ' IN input) + 2) || '|' || upper(input)")
@@ -66,14 +66,12 @@ _on_parts("fn12_split_on_delimiter", lambda c: F.concat_ws("|", t.split_on_delim
 _on_parts("fn13_map_values", lambda c: t.map_values(c, {"small ring": "A", "blue bolt": "B"}), "CASE input WHEN 'small ring' THEN 'A' WHEN 'blue bolt' THEN 'B' ELSE input END")
 _on_parts("fn14_dose_parse", t.dose_parse, f"coalesce({_quantity(_DU, 1)}, {_BARE}, 'NA')", _dose, _DOSE)
 _on_parts("fn15_dose_unit", t.dose_unit, f"coalesce({_UNIT(_quantity(_DU, 2))}, 'NA')", _dose, _DOSE)
-_on_parts("fn16_normalize_dose_unit", lambda c: t.normalize_dose_unit(t.split_on_delimiter(c, " ", 1)), f"coalesce({_UNIT('translate(u, $$μµ$$, $$uu$$)')}, u)", _dose, _DOSE)
+_on_parts("fn16_normalize_dose_unit", t.normalize_dose_unit, f"CASE WHEN trim(input) = '' THEN 'NA' WHEN {_quantity(_DU, 2)} IS NULL OR {_UNIT(_quantity(_DU, 2))} = {_quantity(_DU, 2)} AND {_quantity(_DU, 2)} NOT IN ('mg/kg') THEN trim(input) ELSE {_UNIT(_quantity(_DU, 2))} END", _dose, _DOSE)
 _on_parts("fn17_timepoint_parse", t.timepoint_parse, f"coalesce({_quantity(_TU, 1)}, {_BARE}, 'NA')", _time, _TIME)
 _on_parts("fn18_timepoint_unit", t.timepoint_unit, f"coalesce({_TUNIT(_quantity(_TU, 2))}, 'NA')", _time, _TIME)
-_on_parts("fn19_normalize_time_unit", lambda c: t.normalize_time_unit(t.split_on_delimiter(c, " ", 1)), f"coalesce({_TUNIT('u')}, u)", _time, _TIME)
-for _n in ("fn16_normalize_dose_unit", "fn19_normalize_time_unit"):
-    GROUP.oracles[_n] = GROUP.oracles[_n].replace("FROM s", "FROM (SELECT *, coalesce(nullif(trim(split_part(input, ' ', 2)), ''), 'NA') AS u FROM s)")
+_on_parts("fn19_normalize_time_unit", t.normalize_time_unit, f"CASE WHEN trim(input) = '' THEN 'NA' WHEN {_quantity(_TU, 2)} IS NULL OR lower({_quantity(_TU, 2)}) = 'weeks' THEN trim(input) ELSE {_TUNIT(_quantity(_TU, 2))} END", _time, _TIME)
 _on_parts("fn20_strip_ensembl_version", t.strip_ensembl_version, r"CASE WHEN starts_with(upper(input), 'ENS') THEN regexp_replace(input, '\.[0-9]+$', '') ELSE input END", _gene, _GENE)
-_on_parts("fn21_normalize_boolean", t.normalize_boolean, "CASE WHEN lower(trim(input)) IN ('true', '1', 'yes', 'y', 't') THEN 'True' WHEN lower(trim(input)) IN ('false', '0', 'no', 'n', 'f') THEN 'False' ELSE input END", _flag, _FLAG)
+_on_parts("fn21_normalize_boolean", t.normalize_boolean, "CASE WHEN lower(trim(input)) IN ('true', '1', 'yes', 'y', 't') THEN 'true' WHEN lower(trim(input)) IN ('false', '0', 'no', 'n', 'f') THEN 'false' ELSE input END", _flag, _FLAG)
 _on_parts("fn22_is_null_like", t.is_null_like, f"lower({_S.format('input')}) IN ('', 'na', 'n/a', 'none', 'null', 'nan', '.', '-')", _null, _NULL)
 _on_parts("fn23_read_null", t.read_null, f"CASE WHEN lower({_S.format('input')}) NOT IN ('', 'na', 'none', 'null', 'nan', '.', '-') THEN input END", _null, _NULL)
 _on_parts("fn24_fold_micro", t.fold_micro, _MICRO, _dose, _DOSE)

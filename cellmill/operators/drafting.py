@@ -1,0 +1,128 @@
+"""Drafting a schema from column names: which raw column may feed which canonical one."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from .harmonize import OBS_MUST_HAVE, Mapping
+
+# Raw names of each canonical column, best first.
+OBS_ALIASES = {
+    "assay": ("assay", "protocol", "technology", "platform", "assay_type"),
+    "batch_id": ("batch", "batch_id", "batch_name", "sample_batch", "library_batch", "sequencing_batch", "plate_id", "pool_id"),
+    "cell_context": ("cell_type", "cell_context", "cluster", "cell_ontology", "cell_label", "cell_type_label", "celltype"),
+    "cell_id": ("cell_id", "cell_barcode", "barcode", "cell_name", "cell_bc", "barcode_sequence"),
+    "cell_line_or_type": ("cellline", "cell_line", "cell_line_or_type", "cell_line_name", "line", "cell_line_id"),
+    "condition": ("genotype", "condition", "genetic_background", "background", "strain", "genetic_condition"),
+    "dataset_id": ("dataset_id", "study_id", "dataset", "source_dataset"),
+    "disease_state": ("disease_state", "disease", "health_status", "condition_status", "pathology", "disease_status"),
+    "donor_id": ("donor_id", "donor", "subject_id", "patient_id", "sample_donor_id", "individual_id"),
+    "dose": ("dose", "concentration", "amount", "dose_value", "dosage", "dose_concentration"),
+    "dose_unit": ("dose_unit", "concentration_unit", "unit", "dosage_unit"),
+    "perturb_label": ("guide_1", "perturb_label", "guide", "sgrna", "guide_id", "perturbation", "perturbation_name", "target_gene", "target_label"),
+    "perturb_type": ("treatment", "perturb_type", "perturbation_type", "intervention_type", "moa", "treatment_type", "intervention"),
+    "sex": ("sex", "gender", "biological_sex"),
+    "size_factor": ("size_factor", "size_factors", "sf", "norm_factor", "library_size", "total_counts"),
+    "species": ("species", "organism", "source_organism"),
+    "timepoint": ("timepoint", "time", "treatment_time", "exposure_time", "duration", "time_point"),
+    "timepoint_unit": ("timepoint_unit", "time_unit", "duration_unit"),
+    "tissue": ("tissue", "organ", "tissue_type", "source_tissue"),
+}
+# Literals and fallbacks of columns without a source.
+LITERALS = {
+    "dataset_index": "0",
+    "species": "human",
+    "tissue": "unknown",
+    "assay": "unknown",
+    "disease_state": "healthy",
+    "sex": "unknown",
+}
+FALLBACKS = {
+    "dose": "NA",
+    "dose_unit": "NA",
+    "timepoint": "NA",
+    "timepoint_unit": "NA",
+    "cell_context": "unknown",
+    "cell_line_or_type": "unknown",
+    "condition": "WT",
+    "batch_id": "NA",
+    "donor_id": "unknown",
+    "perturb_type": "untreated",
+    "perturb_label": "NA",
+    "cell_id": "NA",
+    "dataset_id": "NA",
+}
+ROW_INDEX = ("global_row_index", "local_row_index")
+#: Values of a column that are looked at for a suggestion, and the share that must agree.
+LOOKED_AT, AGREE = 50, 0.5
+
+
+def match(name: str, columns: Iterable[str], aliases: tuple[str, ...] = ()) -> str | None:
+    """The raw column for a canonical name: exact, then without underscores and case, alias, part of an alias, part of the name."""
+    columns = list(columns)
+    bare = lambda s: s.lower().replace("_", "").replace("-", "").replace(" ", "")
+    by = {}
+    for c in columns:
+        by.setdefault(bare(c), c)
+    if name in columns:
+        return name
+    if bare(name) in by:
+        return by[bare(name)]
+    for a in aliases:
+        if bare(a) in by:
+            return by[bare(a)]
+    for a in aliases:
+        for k, c in by.items():
+            if len(k) > 3 and (bare(a) in k or k in bare(a)):
+                return c
+    for k, c in by.items():
+        if len(k) > 3 and (bare(name) in k or k in bare(name)):
+            return c
+    return None
+
+
+def suggest_transforms(values: DataFrame, column: str) -> list[tuple[str, dict]]:
+    """Transforms for a column, by what over half of its first values look like."""
+    seen = values.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).limit(LOOKED_AT)
+    row = seen.agg(*(F.avg(t.looks_like(F.col("v"), k).cast("double")).alias(k) for k in t.VALUE_PATTERNS)).first()
+    out: list[tuple[str, dict]] = []
+    for kind, name in (("dose", "dose_parse"), ("time", "timepoint_parse"), ("guide", "strip_guide_suffix"), ("ensembl_versioned", "strip_ensembl_version")):
+        if (row[kind] or 0) > AGREE:
+            out.append((name, {}))
+    return out
+
+
+def draft_obs(columns: list[str], hints: dict[str, str] | None = None, values: DataFrame | None = None) -> tuple[list[Mapping], dict[str, str]]:
+    """Mappings of all canonical columns and review notes by column."""
+    hints, out, notes = hints or {}, [], {}
+    for name in OBS_MUST_HAVE:
+        if name in ROW_INDEX:
+            out.append(Mapping(name, "row-index"))
+            continue
+        if name == "dataset_index":
+            out.append(Mapping(name, "literal", literal=LITERALS[name]))
+            continue
+        source = hints.get(name) or match(name, columns, OBS_ALIASES.get(name, ()))
+        if source:
+            rules = suggest_transforms(values, source) if values is not None and name not in ("cell_id", "size_factor") else []
+            out.append(Mapping(name, "source-field", source=source, transforms=rules, fallback=FALLBACKS.get(name, LITERALS.get(name, t.NA))))
+            if source != name:
+                notes[name] = f"from {source}: please review"
+        elif name in LITERALS:
+            out.append(Mapping(name, "literal", literal=LITERALS[name]))
+            notes[name] = "no column found: a literal"
+        else:
+            out.append(Mapping(name, "null", fallback=FALLBACKS.get(name, t.NA)))
+            notes[name] = "no column found"
+    return out, notes
+
+
+def gene_mapping_engine(values: DataFrame, column: str) -> str:
+    """identity, or ensembl if over half of the first values are Ensembl ids."""
+    seen = values.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).limit(LOOKED_AT)
+    share = seen.agg(F.avg(t.looks_like(F.col("v"), "ensembl").cast("double")).alias("x")).first()["x"] or 0
+    return "ensembl" if share > AGREE else "identity"

@@ -51,7 +51,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     n = len(texts)
     if not n:
         return
-    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0

@@ -134,7 +134,7 @@ def linked(first: list[int], second: list[int], sets: list[np.ndarray], signatur
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
     offs = np.concatenate([[0], np.cumsum(size)])
     flag = np.zeros(len(vocabulary), bool)
-    other = np.array(second)
+    other = np.array(second, np.int64)
     for x, i in enumerate(first):
         js = other[x + 1 :] if first is second else other
         js = js[(bands[js] == bands[i]).any(axis=1)]

@@ -26,6 +26,8 @@ from .common import held_out, slices
 LENGTHS, BUCKETS, SAMPLE = (1, 2, 3), 1 << 15, 3000
 #: A posterior weighs at most so many n-grams, else every longer text has a score of 1.
 EVIDENCE = 60
+#: Bytes of text that are scored at once.
+SLICE = 1 << 19
 _fold: list[np.ndarray] = []
 
 
@@ -65,9 +67,9 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 inner &= c > 0  # never over two words
         inner &= x[n - 1 :] > 0 if n == 1 else (x[: len(h)] > 0) | (x[n - 1 :] > 0)
         h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
-        last = n - 1 if n == 1 else n - 2
+        mine = owner[: len(h)] if n == 1 else np.where(x[: len(h)] > 0, owner[: len(h)], owner[1 : len(h) + 1])  # of the first letter
         rows.append((h[inner] + np.uint64(k * BUCKETS)).astype(np.int64))
-        whose.append(owner[last : last + len(h)][inner])
+        whose.append(mine[inner])
     return (np.concatenate(rows), np.concatenate(whose)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -87,7 +89,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
         number = {k: i for i, k in enumerate(langs)}
         for batch in batches:
             texts, lang = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 rows, whose = features(texts[a:b].to_pylist())
                 which = np.array([number[x] for x in lang[a:b]], np.int64)
                 flat = which[np.minimum(whose, b - a - 1)] * total.shape[1] + rows
@@ -115,7 +117,7 @@ def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tupl
     best, value = ["und"] * len(texts), np.zeros(len(texts))
     some = np.flatnonzero(count)
     if len(some) and langs:
-        sums = np.add.reduceat(matrix[rows].astype(np.float64), np.searchsorted(whose, some), axis=0)
+        sums = np.add.reduceat(matrix[rows], np.searchsorted(whose, some), axis=0, dtype=np.float64)
         z = sums * np.minimum(1.0, EVIDENCE / count[some])[:, None] + matrix[-1]
         top = (sums + matrix[-1]).argmax(axis=1)
         z -= z.max(axis=1, keepdims=True)
@@ -134,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, values = [], []
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), SLICE):
                 x, y = score(batch.column(at)[a:b].to_pylist(), langs, shared.value)
                 best += x
                 values.append(y)

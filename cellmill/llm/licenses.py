@@ -168,7 +168,7 @@ def scan(text: str) -> dict:
         at = start
         if kind == "tag":
             if ends is None:
-                ends = [m.end() for m in _WORD.finditer(data)]
+                ends = [m.end() for m in _WORD.finditer(data.lower())]
             line = data[ends[number + n - 1] :].split(b"\n", 1)[0].decode("utf-8", "replace").lstrip(" \t:=\"'")
             if (said := evaluate(line)) is None:
                 continue

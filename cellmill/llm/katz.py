@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, checkpointed, free_shuffles, held_out, mix, raw, slices, text_column, tokens
 
-VOCABULARY, DISCOUNTED, BUCKET_TOKENS = 1 << 16, 5, 6_000_000
+VOCABULARY, DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 1 << 16, 5, 4_000_000, 500_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _BITS = np.uint64(17)  # VOCABULARY words, the class and the start fit
 
@@ -203,33 +203,55 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
             out.append(pa.array([None] * n, t) if v is None and k in ("unseen", "doc_id") else pa.array(zero[t] if v is None else v, t) if not isinstance(v, pa.Array) else v)
         return pa.RecordBatch.from_arrays(out, names=names)
 
-    def solve(pairs: list, tails: list, table: list, m: Unigrams) -> Iterator[pa.RecordBatch]:
-        head = len(m.words)
-        if pairs:
-            key, row, train = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    def solve_pairs(blocks: list[tuple], m: Unigrams) -> Iterator[pa.RecordBatch]:
+        """Counts and looks up the pairs of a bucket, a range of pairs after the other. blocks: sorted pairs, local text of each, rows and train flags of the texts."""
+        texts = np.unique(np.concatenate([b[2] for b in blocks]))
+        blocks = [(key, np.searchsorted(texts, row).astype(np.int32)[local], train[local]) for key, local, row, train in blocks]
+        n, heads = len(texts), len(m.contexts)
+        logs, by = np.zeros(n), np.zeros((DISCOUNTED, n), np.int64)
+        share, more, of = np.zeros(heads), np.zeros(heads, np.int64), np.zeros((DISCOUNTED + 1, heads), np.int64)
+        some = np.sort(np.concatenate([b[0][::64] for b in blocks]))
+        many = sum(len(b[0]) for b in blocks)
+        cuts = np.unique(some[np.linspace(0, len(some) - 1, many // CHUNK_TOKENS + 2).astype(int)[1:-1]])
+        places = [[0, *np.searchsorted(b[0], cuts).tolist(), len(b[0])] for b in blocks]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(len(cuts) + 1):
+            key, at, train = (np.concatenate([b[i][p[k] : p[k + 1]] for b, p in zip(blocks, places, strict=True)]) for i in range(3))
+            if not len(key):
+                continue
             order = np.argsort(key, kind="stable")
-            key, row, train = key[order], row[order], train[order]
+            key, at, train = key[order], at[order], train[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            many = np.diff(np.append(first, len(key)))
+            each = np.diff(np.append(first, len(key)))
             count = np.add.reduceat(train.astype(np.int64), first)
-            seen, context, event = count > 0, (key[first] >> _BITS).astype(np.int64), (key[first] & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
-            ids, at = np.unique(context[seen], return_inverse=True)
-            c = count[seen]
-            by = {f"n{r}": np.bincount(at, weights=c == r, minlength=len(ids)).astype(np.int64) for r in range(1, DISCOUNTED + 2)}
-            if len(ids):
-                yield batch_of("h", ids, share=np.bincount(at, weights=10 ** m.events[event[seen]]), more=np.bincount(at, weights=np.where(c > DISCOUNTED, c, 0)).astype(np.int64), **by)
-            each, what = np.repeat(count, many), np.repeat(context, many)
-            rest = each == 0
-            texts, at = np.unique(row, return_inverse=True)
-            logs = np.where(rest, m.events[np.repeat(event, many)], np.log10(np.maximum(each, 1)))
-            by = {f"n{r}": np.bincount(at, weights=each == r, minlength=len(texts)).astype(np.int64) for r in range(1, DISCOUNTED + 1)}
+            context, event = (key[first] >> _BITS).astype(np.int64), (key[first] & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
+            seen = count > 0
+            c, h = count[seen], context[seen]
+            share += np.bincount(h, weights=10 ** m.events[event[seen]], minlength=heads)
+            more += np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=heads).astype(np.int64)
+            for r in range(1, DISCOUNTED + 2):
+                of[r - 1] += np.bincount(h[c == r], minlength=heads)
             # every seen pair is divided by its context's count, every unseen one waits for its context's alpha
-            logs = np.bincount(at, weights=np.where(rest, logs, logs - np.log10(np.maximum(m.contexts[what], 1))), minlength=len(texts))
-            waiting = np.flatnonzero(rest)
-            waiting = waiting[np.argsort(at[waiting], kind="stable")]
-            ends = np.searchsorted(at[waiting], np.arange(len(texts) + 1))
-            unseen = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(what[waiting].astype(np.int32)))
-            yield batch_of("x", texts, logs=logs, unseen=unseen, **by)
+            own = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(m.contexts[context], 1)), m.events[event])
+            logs += np.bincount(at, weights=np.repeat(own, each), minlength=n)
+            c = np.repeat(count, each)
+            for r in range(1, DISCOUNTED + 1):
+                by[r - 1] += np.bincount(at[c == r], minlength=n)
+            rest = c == 0
+            if rest.any():
+                waiting.append((at[rest], np.repeat(context, each)[rest].astype(np.int32)))
+        ids = np.flatnonzero(of.sum(axis=0) + more)
+        if len(ids):
+            yield batch_of("h", ids, share=share[ids], more=more[ids], **{f"n{r}": of[r - 1][ids] for r in range(1, DISCOUNTED + 2)})
+        at, what = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(n + 1))
+        unseen = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(what[order]))
+        yield batch_of("x", texts, logs=logs, unseen=unseen, **{f"n{r}": by[r - 1] for r in range(1, DISCOUNTED + 1)})
+
+    def solve(pairs: list, tails: list, table: list, m: Unigrams) -> Iterator[pa.RecordBatch]:
+        if pairs:
+            yield from solve_pairs(pairs, m)
         if tails:
             w, row = (np.concatenate(c) for c in zip(*tails, strict=True))
             words, counts = (np.concatenate(c) for c in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -245,7 +267,8 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
         m = shared.value
         now, pairs, tails, table = None, [], [], []
         for batch in batches:
-            for bucket, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k in range(batch.num_rows):  # one block at a time: only its arrays are kept
+                bucket, kind, a, b, c = (x[k].as_py() for x in batch.columns)
                 if bucket != now:
                     yield from solve(pairs, tails, table, m)
                     now, pairs, tails, table = bucket, [], [], []
@@ -258,7 +281,7 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
                     row, train = rows_of(c)
                     local = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
                     if kind == "p":
-                        pairs.append((unplanes(a), row[local], train[local]))
+                        pairs.append((unplanes(a), local, row, train))
                     else:
                         tails.append((unplanes(a), row[local]))
         yield from solve(pairs, tails, table, m)

@@ -140,7 +140,7 @@ def groups(contexts: list[bytes], left: list[int], gram: list[int], length: int
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts: doc, x, h, g, lo, hi, and key (where to deal it): repeats within a slice have settled and h is null."""
+    """Anchors of all texts: doc, x, key (the gram), g, lo, hi, open; those that repeat within a slice have settled (not open) and are dealt anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,16 +155,17 @@ def found_in(docs: DataFrame) -> DataFrame:
                 first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
                 again = (d != d[first]) | (x != x[first])
                 key = np.where(again, mix(d.view(np.uint64) * np.uint64(31) + x.view(np.uint64)).view(np.int64), h)
-                cols = [pa.array(d), pa.array(x.astype(np.int32)), pa.array(h, mask=again), pa.array(g), pa.array(f["lo"][order].astype(np.int8)), pa.array(f["hi"][order].astype(np.int8)), pa.array(key)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "x", "h", "g", "lo", "hi", "key"])
+                back = np.lexsort((x, f["text"][order]))  # rows of one text together, which compresses better
+                cols = [d, x.astype(np.int32), key, np.where(again, 0, g), f["lo"][order].astype(np.int8), f["hi"][order].astype(np.int8), ~again]
+                yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in cols], names=["doc", "x", "key", "g", "lo", "hi", "open"])
 
-    return docs.mapInArrow(run, "doc long, x int, h long, g long, lo byte, hi byte, key long")
+    return docs.mapInArrow(run, "doc long, x int, key long, g long, lo byte, hi byte, open boolean")
 
 
 def settle(dealt: DataFrame) -> DataFrame:
     """doc, first, end of removed bytes (h null), or an entry (doc, first: its place, h, lo, hi) whose gram has other entries.
 
-    dealt is sorted by h, g, doc, x; only the entry and the gram at hand are kept.
+    dealt is sorted by key, g, doc, x; only the entry and the gram at hand are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def settle(dealt: DataFrame) -> DataFrame:
 
         for batch in batches:
             doc, x, g, lo, hi = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
-            known = ~batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            known = batch.column(6).to_numpy(zero_copy_only=False)
             if not len(x):
                 continue
             x, lo, hi = x.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)
@@ -187,7 +188,7 @@ def settle(dealt: DataFrame) -> DataFrame:
             at = np.flatnonzero(known)
             if not len(at):
                 continue
-            h = batch.column(2).drop_null().to_numpy()
+            h = batch.column(2).to_numpy()[at]
             doc, x, g, lo, hi = doc[at], x[at], g[at], lo[at], hi[at]
             new = np.concatenate([[last is None or (h[0], g[0]) != last[:2]], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
@@ -261,7 +262,7 @@ def repeats(sorted_contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc (id, a null as the least long), first, end: byte ranges to remove; they may overlap. docs: doc_id, text."""
     texts = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = found_in(texts).repartition("key").sortWithinPartitions("h", "g", "doc", "x")
+    dealt = found_in(texts).repartition("key").sortWithinPartitions("open", "key", "g", "doc", "x")
     found = checkpointed(settle(dealt))
     del dealt
     free_shuffles(docs.sparkSession)

@@ -16,7 +16,9 @@ sampled suffixes, bucket by bucket, without losing a match:
    prefixes gives the interval tree. Each interval's occurrences are split by
    what they extend to on the left; where extensions differ, a maximal repeat
    ends, and its occurrences other than the first are removed. Lengths run
-   from KGRAM to LENGTH, so the tree is no deeper than that.
+   from KGRAM to LENGTH, so the tree is no deeper than that. A gram of more
+   contexts than one task may sort (MOST) is not gathered: the strings that own
+   it are hashed, and the first place of each is pre-aggregated.
 
 Order is by doc_id, then place. Matches never cross documents.
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import _INV, _MULT, checkpointed, free_shuffles, mix, powers, raw, slices, text_column
 
 LENGTH, KGRAM = 100, 32
-#: Contexts that are sorted at once (whole grams only).
-CHUNK = 8_000
+#: Contexts that are sorted at once (whole grams only), and the most contexts of one gram that one task may sort.
+CHUNK, MOST = 8_000, 50_000
 _FIRST = -(1 << 63)
 
 
@@ -259,6 +261,30 @@ def repeats(sorted_contexts: DataFrame) -> DataFrame:
     return sorted_contexts.mapInArrow(run, "doc long, first int, end int")
 
 
+def windows(contexts: DataFrame) -> DataFrame:
+    """w, doc, start: every string of LENGTH bytes that a context's text owns, by a 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, doc, start = [], [], []
+            for _, d, x, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i in range(len(data) - LENGTH + 1):
+                    w.append(hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest())
+                    doc.append(d)
+                    start.append(x - before + i)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], names=["w", "doc", "start"])
+
+    return contexts.mapInArrow(run, "w binary, doc long, start int")
+
+
+def repeats_of_common(contexts: DataFrame) -> DataFrame:
+    """doc, first, end of what grams of over MOST contexts remove: their strings are hashed and the first place of each is pre-aggregated, so no task gathers a gram."""
+    every = windows(contexts)
+    first = every.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("least"))
+    later = every.join(first, "w").where(F.struct("doc", "start") != F.col("least"))
+    return later.select("doc", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("end"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc (id, a null as the least long), first, end: byte ranges to remove; they may overlap. docs: doc_id, text."""
     texts = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -266,12 +292,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = checkpointed(settle(dealt))
     del dealt
     free_shuffles(docs.sparkSession)
-    entries = found.where(F.col("h").isNotNull()).groupBy("doc").agg(F.collect_list(F.struct("h", "first", "lo", "hi")).alias("entries"))
-    contexts = around(texts.join(entries, "doc").select("doc", "text", "entries"))
-    more = checkpointed(repeats(contexts.repartition("h").sortWithinPartitions("h")))
-    del contexts
+    open_ = found.where(F.col("h").isNotNull())
+    common = checkpointed(open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("h"))
+    gather = lambda rows: around(texts.join(rows.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "lo", "hi")).alias("entries")), "doc").select("doc", "text", "entries"))
+    removed = found.where(F.col("h").isNull()).select("doc", "first", "end")
+    if not common.isEmpty():
+        removed = removed.unionByName(checkpointed(repeats_of_common(gather(open_.join(common, "h", "left_semi")))))
+        open_ = open_.join(common, "h", "left_anti")
+    more = checkpointed(repeats(gather(open_).repartition("h").sortWithinPartitions("h")))
     free_shuffles(docs.sparkSession)
-    return found.where(F.col("h").isNull()).select("doc", "first", "end").unionByName(more)
+    return removed.unionByName(more)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from cases import ODD, docs, none
 
 from cellmill.llm import suffix_dedup as S
@@ -30,7 +31,9 @@ def test_odd_rows(spark):
     same(spark, [(i, t) for i, t, *_ in ODD])
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("most", [S.MOST, 3])
+def test_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST", most)
     rng = random.Random(4)
     base = "".join(rng.choice("abcd é") for _ in range(2500))
     rows = [(i, base[rng.randrange(2000) :][: rng.randrange(900)] + "".join(rng.choice("ab") for _ in range(rng.randrange(200))) + base[rng.randrange(2400) :][:300]) for i in range(25)]

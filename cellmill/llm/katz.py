@@ -12,7 +12,9 @@ so pairs are pairs of a bounded vocabulary (and its class), while counts of all
 words, frequent or not, are kept in a table that grows with the corpus. c
 counts come from all documents that may be learned from; nothing is pruned.
 
-Jobs: word counts (a table, partitioned by word hash); then every token's pair
+Jobs: word counts (a table, partitioned by word hash); counts of pairs of the
+COMMON most frequent words, a table of fixed size, which settles the pairs that
+could be hot where they stand; then every other token's pair
 goes, in delta-coded blocks, to the partition of its hash, where the pair is
 counted and, right there, looked up for all texts that hold it. What a text
 and what a context gather is summed by Spark; alpha and the discounts need
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, checkpointed, free_shuffles, held_out, mix, raw, slices, text_column, tokens
 
 VOCABULARY, DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 1 << 16, 5, 4_000_000, 500_000
+#: Pairs of the COMMON most frequent words are counted first and never dealt out.
+COMMON = 1024
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _BITS = np.uint64(17)  # VOCABULARY words, the class and the start fit
 
@@ -111,13 +115,60 @@ class Unigrams:
         return np.log10(np.where(counts > 0, self.share(np.maximum(counts, 1)), self.unknown) / mass)
 
 
-def deal(docs: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
+def numbered(w: np.ndarray, offs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number (place among the sorted head words; the class is their number) of each token, and of the token before it (the start is one more)."""
+    head = len(words)
+    at = np.minimum(np.searchsorted(words, w), max(0, head - 1))
+    number = np.where(words[at] == w, at, head) if head else np.zeros(len(w), np.int64)
+    before = np.concatenate([[0], number[:-1]])
+    before[offs[:-1]] = head + 1
+    return number, before
+
+
+def common_ids(counts: np.ndarray) -> np.ndarray:
+    """Of each head word, the class and the start: its place among the common ones (the start is the last), else -1."""
+    out = np.full(len(counts) + 2, -1)
+    top = np.argsort(-counts, kind="stable")[:COMMON]
+    out[top] = np.arange(len(top))
+    out[-1] = COMMON
+    return out
+
+
+def count_common(docs: DataFrame, model: Unigrams) -> np.ndarray:
+    """Counts of pairs of common words (COMMON + 1 contexts by COMMON words, a bounded table). docs: text of what may be learned from.
+
+    A pair that holds over 1 / COMMON of all tokens is made of common words, so
+    no pair that is dealt out later is more frequent than that.
+    """
+    shared, most = docs.sparkSession.sparkContext.broadcast((model.words, common_ids(model.counts))), COMMON
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = shared.value
+        total = np.zeros((most + 1) * most, np.int64)
+        for batch in batches:
+            texts = text_column(batch)
+            for a, b in slices(texts):
+                w, offs = stream(texts[a:b])
+                number, before = numbered(w, offs, words)
+                x, y = ids[before], ids[number]
+                both = (x >= 0) & (y >= 0)
+                total += np.bincount(x[both] * most + y[both], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["pair", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((COMMON + 1) * COMMON, np.int64)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(COMMON + 1, COMMON)
+
+
+def deal(docs: DataFrame, model: Unigrams, common: np.ndarray, buckets: int) -> DataFrame:
     """Blocks (bucket, kind, a, b, c) of pairs (p), words beyond the head (t) and texts (d). docs: row, doc_id, train, text."""
     head = len(model.words)
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.total, model.kinds))
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.total, model.kinds, model.contexts, common, common_ids(model.counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, total, kinds = shared.value
+        words, counts, total, kinds, contexts, common, ids_of = shared.value
         base = np.log10((counts + 1.0) / (total + 1.0 * (kinds + 1))) if total else np.zeros(len(counts))
         for batch in batches:
             texts = text_column(batch, "text")
@@ -127,14 +178,19 @@ def deal(docs: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
                 w, offs = stream(texts[a:b])
                 n = np.diff(offs)
                 text = np.repeat(np.arange(b - a), n)
-                at = np.minimum(np.searchsorted(words, w), max(0, head - 1))
-                known = words[at] == w if head else np.zeros(len(w), bool)
-                number = np.where(known, at, head)
-                before = np.concatenate([[0], number[:-1]])
-                before[offs[:-1]] = head + 1
-                pair = (before.astype(np.uint64) << _BITS) | number.astype(np.uint64)
+                number, before = numbered(w, offs, words)
+                known = number < head
+                x, y = ids_of[before], ids_of[number]
+                both = np.flatnonzero((x >= 0) & (y >= 0))
+                c = common[x[both], y[both]]
+                both, c = both[c > 0], c[c > 0]  # settled here
+                own = np.log10(c) - np.log10(np.maximum(contexts[before[both]], 1))
+                settled = [np.bincount(text[both], weights=own, minlength=b - a), *(np.bincount(text[both], weights=c == r, minlength=b - a) for r in range(1, DISCOUNTED + 1))]
+                open_ = np.ones(len(w), bool)
+                open_[both] = False
+                pair = (before[open_].astype(np.uint64) << _BITS) | number[open_].astype(np.uint64)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                blocks = [("p", pair, text)]
+                blocks = [("p", pair, text[open_])]
                 rest = np.flatnonzero(~known)
                 if len(rest):
                     blocks.append(("t", w[rest], text[rest]))
@@ -149,9 +205,9 @@ def deal(docs: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
                         used, local = np.unique(owner[part], return_inverse=True)
                         for box, v in zip(out, (k, kind, planes(keys[part]), local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), code(used)), strict=True):
                             box.append(v)
-                sums = np.bincount(text, weights=np.where(known, base[at] if head else 0.0, 0.0), minlength=b - a)
+                sums = np.bincount(text[known], weights=base[number[known]], minlength=b - a)
                 found = np.bincount(text, weights=known, minlength=b - a)
-                for box, v in zip(out, (int(row[a] % buckets), "d", np.ascontiguousarray(row[a:b]).tobytes(), sums.tobytes(), np.stack([n, found.astype(np.int64), ids[a:b], none[a:b]]).tobytes()), strict=True):
+                for box, v in zip(out, (int(row[a] % buckets), "d", np.ascontiguousarray(row[a:b]).tobytes(), np.stack([sums, *settled]).tobytes(), np.stack([n, found.astype(np.int64), ids[a:b], none[a:b]]).tobytes()), strict=True):
                     box.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["bucket", "kind", "a", "b", "c"])
 
@@ -274,7 +330,9 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
                     now, pairs, tails, table = bucket, [], [], []
                 if kind == "d":
                     n = np.frombuffer(c, np.int64).reshape(4, -1)
-                    yield batch_of("x", np.frombuffer(a, np.int64), base=np.frombuffer(b), n_tokens=n[0], known=n[1], doc_id=pa.array(n[2], mask=n[3] > 0))
+                    f = np.frombuffer(b).reshape(DISCOUNTED + 2, -1)
+                    by = {f"n{r}": f[1 + r].astype(np.int64) for r in range(1, DISCOUNTED + 1)}
+                    yield batch_of("x", np.frombuffer(a, np.int64), base=f[0], logs=f[1], n_tokens=n[0], known=n[1], doc_id=pa.array(n[2], mask=n[3] > 0), **by)
                 elif kind == "u":
                     table.append((unplanes(a), np.frombuffer(b, np.int64)))
                 else:
@@ -290,17 +348,29 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{k} {kinds[t]}" for k, t in _TOLD))
 
 
-def close(gathered: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the pair discounts (1 .. DISCOUNTED) and of alpha by context, from one row a context."""
+def close(gathered: DataFrame, model: Unigrams, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the pair discounts (1 .. DISCOUNTED) and of alpha by context, from one row a context and the common pairs."""
     rows = gathered.where("kind = 'h'").drop("unseen").toArrow()
-    by = np.stack([rows[f"n{r}"].to_numpy() for r in range(1, DISCOUNTED + 2)]) if rows.num_rows else np.zeros((DISCOUNTED + 1, 0))
-    d = discounts({r: int(by[r - 1].sum()) for r in range(1, DISCOUNTED + 2)})
-    total = model.contexts
-    alpha = np.zeros(len(total))
+    heads = len(model.contexts)
+    by, more, share = np.zeros((DISCOUNTED + 1, heads), np.int64), np.zeros(heads, np.int64), np.zeros(heads)
     ids = rows["id"].to_numpy()
-    mass = rows["more"].to_numpy() + sum(by[r - 1] * r * d[r] for r in range(1, DISCOUNTED + 1))
-    share = rows["share"].to_numpy()
-    alpha[ids] = np.log10(np.maximum(1 - mass / total[ids], 1e-300) / np.maximum(1 - share, 1e-300))
+    for r in range(1, DISCOUNTED + 2):
+        by[r - 1, ids] = rows[f"n{r}"].to_numpy()
+    more[ids], share[ids] = rows["more"].to_numpy(), rows["share"].to_numpy()
+    place = common_ids(model.counts)
+    word = np.zeros(COMMON + 1, np.int64)
+    word[place[place >= 0]] = np.flatnonzero(place >= 0)
+    x, y = np.nonzero(common)
+    c, h = common[x, y], word[x]
+    for r in range(1, DISCOUNTED + 2):
+        by[r - 1] += np.bincount(h[c == r], minlength=heads)
+    more += np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=heads).astype(np.int64)
+    share += np.bincount(h, weights=10 ** model.events[word[y]], minlength=heads)
+    d = discounts({r: int(by[r - 1].sum()) for r in range(1, DISCOUNTED + 2)})
+    mass = more + sum(by[r - 1] * r * d[r] for r in range(1, DISCOUNTED + 1))
+    some = mass > 0
+    alpha = np.zeros(heads)
+    alpha[some] = np.log10(np.maximum(1 - mass[some] / model.contexts[some], 1e-300) / np.maximum(1 - share[some], 1e-300))
     return np.log10(d[1:]), alpha
 
 
@@ -322,12 +392,13 @@ def katz(docs: DataFrame, train) -> DataFrame:
     least = int(top["c"].to_numpy().min()) if top.num_rows == VOCABULARY else -1
     rest = counts.where(F.col("c") <= least).join(F.broadcast(seen), F.col("w") == F.col("head"), "left_anti")
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_TOKENS))
-    dealt = deal(base, model, buckets).unionByName(words_blocks(rest, buckets, least))
+    common = count_common(base.where("train"), model)
+    dealt = deal(base, model, common, buckets).unionByName(words_blocks(rest, buckets, least))
     told = tell(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket"), model)
     sums = [F.sum(k).alias(k) for k, t in _TOLD[2:] if k not in ("unseen", "doc_id")]
     gathered = checkpointed(told.groupBy("kind", "id").agg(*sums, F.max("doc_id").alias("doc_id"), F.flatten(F.collect_list("unseen")).alias("unseen")))
     free_shuffles(spark)
-    d, alpha = close(gathered, model)
+    d, alpha = close(gathered, model, common)
     shared = spark.sparkContext.broadcast(alpha)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,9 +70,10 @@ def reference(rows, learn, vocabulary):
     return [(i, len(words(t)), sum(uni[w] > 0 for w in words(t)), total, base(t), score(t)) for i, t in rows], p, e1, of, reserved
 
 
-@pytest.mark.parametrize("size", [3, 1 << 16])
-def test_matches_the_definition(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "common"), [(3, K.COMMON), (1 << 16, 4), (1 << 16, K.COMMON)])
+def test_matches_the_definition(spark, monkeypatch, size, common):
     monkeypatch.setattr(K, "VOCABULARY", size)
+    monkeypatch.setattr(K, "COMMON", common)
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
     got = K.katz(df, F.coalesce(F.col("doc_id") != 5, F.lit(True))).drop("row").collect()
     # ties among words of equal count go by hash: take the head that the model took

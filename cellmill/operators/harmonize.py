@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.ordering import dense_position
 
 # Columns that every canonical table has.
 OBS_MUST_HAVE = (
@@ -123,15 +124,18 @@ def _test(df: DataFrame, case: Case) -> Column:
     raise ValueError(f"unknown test {case.test!r}")
 
 
-def obs_column(df: DataFrame, m: Mapping, order: list[str]) -> Column:
-    """The Column of one mapping over raw columns of df; order numbers rows (row-index)."""
+_ROW = "_row_index"
+
+
+def obs_column(df: DataFrame, m: Mapping) -> Column:
+    """The Column of one mapping over raw columns of df."""
     m.check()
     if m.strategy == "literal":
         return F.lit(m.literal if m.literal is not None else m.fallback)
     if m.strategy == "null":
         return _finish(F.lit(m.fallback), m) if m.name in TYPED else F.lit(m.fallback)
     if m.strategy == "row-index":
-        return F.row_number().over(Window.orderBy(*order)) - 1
+        return F.col(_ROW).cast("int")  # numbered by canonical_obs
     if m.strategy == "passthrough":
         for name in (m.name, m.source):
             if name in df.columns:
@@ -160,7 +164,7 @@ def obs_column(df: DataFrame, m: Mapping, order: list[str]) -> Column:
 
 
 def canonical_obs(df: DataFrame, mappings: list[Mapping], order: list[str], extensible: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
-    """The canonical table of raw rows: mapped columns, then extensible ones as text (missing: NA, with a warning)."""
+    """The canonical table of raw rows: mapped columns, then extensible ones as text (missing: NA, with a warning). order, which must be total, numbers rows (row-index)."""
     if strict:
         check_schema(mappings)
     more = []
@@ -168,7 +172,9 @@ def canonical_obs(df: DataFrame, mappings: list[Mapping], order: list[str], exte
         if c not in df.columns:
             warnings.warn(f"no column {c!r}")
         more.append((F.coalesce(F.col(c).cast("string"), F.lit(t.NA)) if c in df.columns else F.lit(t.NA)).alias(c))
-    return df.select(*(obs_column(df, m, order).alias(m.name) for m in mappings), *more)
+    if any(m.strategy == "row-index" for m in mappings):  # by ranges of the order, never in one task
+        df = dense_position(df, [F.col(c) for c in order], _ROW)
+    return df.select(*(obs_column(df, m).alias(m.name) for m in mappings), *more)
 
 
 def with_size_factor(raw: DataFrame, factors: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _one(name: str, mapping: Mapping, sql: str) -> None:
     @query(name, _RAW.format(sql))
     def _(c: Corpus):
         raw = _raw(c)
-        return raw.select("c_custkey", ha.obs_column(raw, mapping, ["c_custkey"]).alias("value"))
+        return raw.select("c_custkey", ha.obs_column(raw, mapping).alias("value"))
 
 
 _one("c6a_literal", Mapping("species", "literal", literal="human"), "'human'")
@@ -45,8 +45,8 @@ _one("c6i_conditional", Mapping("perturb_type", "conditional", cases=(Case("segm
 
 @query("c6c_row_index", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INT) AS value FROM customer")
 def _(c: Corpus):
-    raw = _raw(c)
-    return raw.select("c_custkey", ha.obs_column(raw, Mapping("local_row_index", "row-index"), ["c_custkey"]).alias("value"))
+    mappings = [Mapping("c_custkey", "passthrough"), Mapping("value", "row-index")]
+    return ha.canonical_obs(_raw(c), mappings, ["c_custkey"], strict=False).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
 @query("c9_extensible_columns", "SELECT c_custkey, coalesce('N' || CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey AS VARCHAR) END, 'NA') AS nation, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer")

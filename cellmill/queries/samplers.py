@@ -18,11 +18,18 @@ query = GROUP.query
 _U = "(CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) + 1) / 4294967297.0"
 
 
-@query("d4_random_batches", """+ k AS (SELECT b.i AS batch_id, c.global_row_index, row_number() OVER (PARTITION BY b.i ORDER BY md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(c.global_row_index AS VARCHAR)), c.global_row_index) AS n FROM cell c, range(10) b(i))
-SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM k WHERE n <= 128""", True)
+@query("d4_random_batches", """WITH t AS (SELECT b.i AS batch_id, t.i AS n, CAST(('0x' || substr(md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(t.i AS VARCHAR)), 1, 15)) AS BIGINT) % (SELECT count(*) FROM orders) AS global_row_index FROM range(40) b(i), range(320) t(i)),
+k AS (SELECT batch_id, global_row_index, min(n) AS key FROM t GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY key) AS place FROM k)
+SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM p WHERE place <= 128""")
+def _(c: Corpus):
+    return sa.random_batches(c.spark, c.table("orders").count(), 128, 40, seed=7, epoch=1)
+
+
+@query("d4_large_batches", """+ k AS (SELECT b.i AS batch_id, c.global_row_index, row_number() OVER (PARTITION BY b.i ORDER BY md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(c.global_row_index AS VARCHAR)), c.global_row_index) AS n, (SELECT count(*) FROM orders) // 2 AS size FROM cell c, range(3) b(i))
+SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM k WHERE n <= size""", True)
 def _(c: Corpus):
     n = c.table("orders").count()
-    return sa.random_batches(c.cells, n, 128, 10, seed=7, epoch=1)
+    return sa.random_batches(c.spark, n, n // 2, 3, seed=7, epoch=1)
 
 
 @query("d5_context_batches", """+ k AS (SELECT cell_context, global_row_index, row_number() OVER (PARTITION BY cell_context ORDER BY md5('3|0|' || CAST(global_row_index AS VARCHAR)), global_row_index) - 1 AS n, count(*) OVER (PARTITION BY cell_context) AS many FROM obs)

@@ -65,9 +65,9 @@ def test_strategies_check():
 def test_coalesce_needs_its_columns(spark):
     df = spark.createDataFrame([("x",)], "a string")
     with pytest.raises(KeyError):
-        ha.obs_column(df, ha.Mapping("m", "coalesce", sources=("a", "b")), ["a"])
+        ha.obs_column(df, ha.Mapping("m", "coalesce", sources=("a", "b")))
     with pytest.warns(UserWarning):
-        assert df.select(ha.obs_column(df, ha.Mapping("m", source="b", fallback="f"), ["a"]).alias("m")).first()["m"] == "f"
+        assert df.select(ha.obs_column(df, ha.Mapping("m", source="b", fallback="f")).alias("m")).first()["m"] == "f"
 
 
 def test_drafting():

@@ -92,7 +92,7 @@ def _(c: Corpus):
     return sizes.select("dataset_id", F.explode(ins.sample_rows(F.col("n"))).alias("row"))
 
 
-@query("b1_direct_counts", "SELECT l_orderkey AS row, l_partkey AS gene, sum(CAST(l_quantity AS INT)) AS count FROM lineitem GROUP BY 1, 2")
+@query("b1_direct_counts", "SELECT l_orderkey AS row, l_partkey AS gene, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS count FROM lineitem GROUP BY 1, 2")
 def _(c: Corpus):
     values = c.table("lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("value"))
     return ma.direct_counts(values).groupBy("row", "gene").agg(F.sum("count").alias("count"))

@@ -223,7 +223,7 @@ def _(c: Corpus):
     return rows.select("global_row_index", F.size("expressed_gene_indices").cast("long").alias("n"), F.element_at("expressed_gene_indices", -1).alias("last_gene"), F.element_at("expression_counts", -1).alias("last_count"))
 
 
-@query("a7_readiness", "SELECT '.raw.X' AS source, 'pass' AS status, false AS uses_recovery, 'pass' AS materialization_readiness, 1 AS control_columns")
+@query("a7_readiness", "SELECT '.raw.X' AS source, 'pass' AS status, false AS uses_recovery, 'pass' AS materialization_readiness, CAST(1 AS BIGINT) AS control_columns")
 def _(c: Corpus):
     from .inspection import _shapes, _sources
 

@@ -28,8 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     A folder of our own is set only where the session has none (tests).
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/cellmill-{uuid.uuid4().hex}")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/cellmill-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 

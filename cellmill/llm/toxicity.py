@@ -9,7 +9,8 @@
    logistic curve fitted on the same sample.
 
 The classifier is fitted on at most SAMPLE labelled documents (those of the
-smallest hashes), a bound that lets their ids be broadcast.
+smallest hashes), a bound that lets their ids be broadcast, and keeps at most
+TOKENS scored tokens, the most significant ones.
 
 Defined cases: a null text is empty; an empty text has no segment and gets
 the curve's value at 0; several labels of one id count as toxic if any is;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, held_out, text_column
 
-SAMPLE, PRIOR, SIGNIFICANT, DRIFT, HIGHEST = 24_000, 0.5, 3.0, 0.4, 8.0
+SAMPLE, TOKENS, PRIOR, SIGNIFICANT, DRIFT, HIGHEST = 24_000, 100_000, 0.5, 3.0, 0.4, 8.0
 _BYTES = WORD.tobytes()
 
 
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     delta = odds("toxic", n1) - odds("clean", n0)
     spread = F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("clean") + PRIOR))
     scored = counted.where((F.length("w") > 0) & (F.col("toxic") > 1)).select("w", "clean", delta.alias("delta"), (delta / spread).alias("z")).where(F.col("z") >= SIGNIFICANT)
-    rows = scored.orderBy(F.desc("z"), "w").limit(100_000).collect()
+    rows = scored.orderBy(F.desc("z"), "w").limit(TOKENS).collect()
     chance: dict[float, float] = {}
     for r in rows:
         s = min(HIGHEST, r["delta"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import dense_position
@@ -15,10 +15,10 @@ CONTENT = ("cell_id", "size_factor")
 
 def derive_indices(obs: DataFrame, ledger: DataFrame, stored_order: str) -> DataFrame:
     """obs with local and global row numbers from the stored order and the ledger, whatever was stored."""
-    local = F.row_number().over(Window.partitionBy("dataset_id").orderBy(stored_order)) - 1
-    own = F.broadcast(ledger.select("dataset_id", F.col("dataset_index").alias("_index"), F.col("global_start").alias("_start")))
-    rows = obs.drop("dataset_index", "global_row_index").withColumn("local_row_index", local.cast("long")).join(own, "dataset_id")
-    return rows.withColumns({"dataset_index": F.col("_index"), "global_row_index": F.col("_start") + F.col("local_row_index")}).drop("_index", "_start")
+    own = F.broadcast(ledger.select("dataset_id", "dataset_index", F.col("global_start").alias("_start")))  # one row a dataset
+    rows = obs.drop("dataset_index", "global_row_index", "local_row_index").join(own, "dataset_id")
+    placed = dense_position(rows, [F.col("_start"), F.col(stored_order)], "global_row_index")
+    return placed.withColumn("local_row_index", F.col("global_row_index") - F.col("_start")).drop("_start")
 
 
 def ordered(obs: DataFrame) -> DataFrame:

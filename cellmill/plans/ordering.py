@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpointed
+
 
 def dense_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with `name`: the row's position (from 0) in the order, which must be total.
 
     Rows are range-partitioned, numbered within their partition, and offset by
-    the sizes of the partitions before (one row a partition).
+    the sizes of the partitions before (one row a partition). The placed rows
+    are checkpointed: ranges come from a sample, and all uses must see the same.
     """
     keys = [f"_key{i}" for i in range(len(order))]
-    placed = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    placed = checkpointed(df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
     numbered = placed.withColumn("_inner", inner)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -16,6 +16,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordering import dense_position
+
 CONTROL = "BUILDING"
 
 WITH = """
@@ -75,11 +77,11 @@ class Corpus:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """o_orderkey, o_custkey, dataset_id, dataset_index, local_row_index, global_row_index: numbered in each dataset, offset by the ledger."""
-        local = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
-        rows = self.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("dataset_id"), local.cast("long").alias("local_row_index"))
-        offsets = self.ledger.select("dataset_id", "dataset_index", "global_start")
-        return rows.join(F.broadcast(offsets), "dataset_id").select("o_orderkey", "o_custkey", "dataset_id", "dataset_index", "local_row_index", (F.col("global_start") + F.col("local_row_index")).alias("global_row_index"))
+        """o_orderkey, o_custkey, dataset_id, dataset_index, local_row_index, global_row_index: positions by dataset and key, without one task a dataset."""
+        own = F.broadcast(self.ledger.select("dataset_id", "dataset_index", "global_start"))  # one row a dataset
+        rows = self.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("dataset_id")).join(own, "dataset_id")
+        placed = dense_position(rows, [F.col("dataset_index"), F.col("o_orderkey")], "global_row_index")
+        return placed.select("o_orderkey", "o_custkey", "dataset_id", "dataset_index", (F.col("global_row_index") - F.col("global_start")).alias("local_row_index"), "global_row_index")
 
     @cached_property
     def entries(self) -> DataFrame:

@@ -47,8 +47,8 @@ def targets(hist: DataFrame) -> DataFrame:
     cap = F.col("source_size") * MOST
     by = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     every = Window.partitionBy()
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = left / F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
+    before = lambda c: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) - F.col(c)  # noqa: E731  a growing frame is linear
+    level = (F.sum("source_size").over(every) - before("cap")) / (F.sum("weight").over(every) - before("weight"))
     ranked = sums.withColumns({"rank": rank, "weight": weight, "cap": cap})
     return ranked.withColumn("level", level).withColumn("target", F.least("cap", F.max("level").over(every) * F.col("weight"))).select("source", "source_size", "target")
 

@@ -34,23 +34,33 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     lgamma = np.vectorize(math.lgamma, otypes=[float])
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a if len(a) else a
-    tiny = 1e-300
+    h = _fraction(a, b, x)
+    value = np.where(x <= 0, 0.0, front * h)
+    return np.where(turned, 1 - value, value)
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction; only elements that have not settled are carried on."""
+    keep = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    out = np.ones_like(x)
+    at = np.arange(len(x))
     c = np.ones_like(x)
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    d = 1 / keep(1 - (a + b) * x / (a + 1))
     h = d.copy()
-    for m in range(1, 100_000):
+    for m in range(1, 20_000):
+        if not len(at):
+            break
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + top / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
+            d = 1 / keep(1 + top * d)
+            c = keep(1 + top / c)
             step = c * d
             h = h * step
-        if not len(x) or np.abs(step - 1).max() < 1e-15:
-            break
-    value = np.where(x <= 0, 0.0, front * h)
-    return np.where(turned, 1 - value, value)
+        going = np.abs(step - 1) > 3e-15
+        if not going.all():
+            out[at] = h
+            at, a, b, x, c, d, h = (v[going] for v in (at, a, b, x, c, d, h))
+    out[at] = h
+    return out
 
 
 def p_value(t: Column, df: Column) -> Column:
@@ -99,7 +109,7 @@ def adjusted(rows: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
     place = F.row_number().over(inside.orderBy(F.col(p).asc_nulls_last()))
     many = F.count(p).over(inside)
     rows = rows.withColumn("_place", place).withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * many / place))
-    back = F.min("_raw").over(inside.orderBy("_place").rowsBetween(0, Window.unboundedFollowing))
+    back = F.min("_raw").over(inside.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0))  # a growing frame is linear
     return rows.withColumn("p_adj", F.when(F.col(p).isNotNull(), F.greatest(F.least(back, F.lit(1.0)), F.lit(0.0)))).drop("_place", "_raw")
 
 

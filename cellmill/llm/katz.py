@@ -4,21 +4,24 @@ Words are lower-cased and split at ASCII white space; every text ends with an
 end token. The model has three levels, each exactly normalised:
 
   P(w | h)  = d(c) c(h, w) / c(h) if the pair was seen, else alpha(h) P(w)
-  P(w)      = discounted share of w; words beyond the VOCABULARY most frequent
-              ones are reached through one class, P(w) = P(class) P(w | class)
-  unknown   = the mass that Good-Turing discounting leaves, within the class
+  P(w)      = discounted share of w
+  unknown   = the mass that Good-Turing discounting leaves
 
-so pairs are pairs of a bounded vocabulary (and its class), while counts of all
-words, frequent or not, are kept in a table that grows with the corpus. c
-counts come from all documents that may be learned from; nothing is pruned.
+for every word and pair of the corpus: counts of words and of pairs, and what
+belongs to a context, are kept by hash in tables that grow with the corpus.
+c counts come from all documents that may be learned from; nothing is pruned.
+(VOCABULARY can bound the model's words; those beyond it then are one class.)
 
 Jobs: word counts (a table, partitioned by word hash); counts of pairs of the
 COMMON most frequent words, a table of fixed size, which settles the pairs that
-could be hot where they stand; then every other token's pair
-goes, in delta-coded blocks, to the partition of its hash, where the pair is
-counted and, right there, looked up for all texts that hold it. What a text
-and what a context gather is summed by Spark; alpha and the discounts need
-only one row a context (a bounded number) and close the sums at the end.
+could be hot where they stand. Counts of the HEAD most frequent words are
+broadcast; a token beyond them goes to the partition of its word, which adds
+the word's count. Then every other token goes, in delta-coded blocks, to the
+partition of the context before it (of the pair, for the COMMON contexts),
+where pairs are counted and, right there, looked up for all texts that hold
+them. As all of a context is in one partition, a text that waits for its alpha
+takes along what alpha is made of; alphas of the COMMON contexts and the
+discounts need a bounded number of rows and close the sums at the end.
 
 Defined cases: a null text is empty (its end token is scored); rows are scored
 one by one, so repeated rows and ids repeat results; a null id is learned
@@ -38,11 +41,13 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, checkpointed, free_shuffles, held_out, mix, raw, slices, text_column, tokens
 
-VOCABULARY, DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 1 << 16, 5, 4_000_000, 500_000
+VOCABULARY: int | None = None
+DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 5, 4_000_000, 500_000
+#: Counts of the HEAD most frequent words are broadcast; those of the others are joined by hash. Results do not depend on it.
+HEAD = 1 << 16
 #: Pairs of the COMMON most frequent words are counted first and never dealt out.
 COMMON = 1024
-END = np.uint64(0x0E0D0E0D0E0D0E0D)
-_BITS = np.uint64(17)  # VOCABULARY words, the class and the start fit
+END, START, CLASS = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A257A257A257A2), np.uint64(0xC1A5C1A5C1A5C1A5)
 
 
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +97,8 @@ def discounts(n: dict[int, int]) -> np.ndarray:
 class Unigrams:
     """The word level: head words by hash, their numbers and log10 probabilities, the class and the unknown."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int, of_counts: dict[int, int]) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int, of_counts: dict[int, int], bounded: bool = False) -> None:
+        self.bounded = bounded
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.total, self.kinds = total, kinds
@@ -100,17 +106,27 @@ class Unigrams:
         kept = total - sum((1 - self.d[r]) * r * of_counts.get(r, 0) for r in range(1, DISCOUNTED + 1))
         self.unknown = max(1 - kept / total, 1 / (total + 1)) if total else 1.0
         self.scale = (1 - self.unknown) / kept if kept else 0.0
-        reserved = 1 / (total + 1)  # keeps some mass unseen after every context
+        self.reserved = reserved = 1 / (total + 1)  # keeps some mass unseen after every context
         head = self.share(self.counts) * (1 - reserved)
         self.events = np.log10(np.append(head, max(1 - reserved - head.sum(), self.unknown * (1 - reserved)) if len(head) else 1.0))
         self.contexts = np.concatenate([self.counts, [total - self.counts.sum()]]).astype(np.float64)  # the start is added
 
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of the add-one share of words by count."""
+        return np.log10((counts + 1.0) / (self.total + 1.0 * (self.kinds + 1))) if self.total else np.zeros(len(counts))
+
     def share(self, counts: np.ndarray) -> np.ndarray:
         """P(w) of words by count (above 0)."""
         return np.where(counts <= DISCOUNTED, self.d[np.minimum(counts, DISCOUNTED)], 1.0) * counts * self.scale
 
+    def event(self, counts: np.ndarray) -> np.ndarray:
+        """log10 P(w) of words beyond the head; an unknown word takes the unknown mass."""
+        if self.bounded:
+            return np.full(len(counts), self.events[-1])
+        return np.log10(np.where(counts > 0, self.share(np.maximum(counts, 1)), self.unknown) * (1 - self.reserved)) if self.total else np.zeros(len(counts))
+
     def within(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P(w | class) of words beyond the head; an unknown word takes the unknown mass."""
+        """log10 P(w | class) of words beyond a bounded vocabulary; an unknown word takes the unknown mass."""
         mass = max(1 - self.share(self.counts).sum(), self.unknown)
         return np.log10(np.where(counts > 0, self.share(np.maximum(counts, 1)), self.unknown) / mass)
 
@@ -162,14 +178,145 @@ def count_common(docs: DataFrame, model: Unigrams) -> np.ndarray:
     return out.reshape(COMMON + 1, COMMON)
 
 
-def deal(docs: DataFrame, model: Unigrams, common: np.ndarray, buckets: int) -> DataFrame:
-    """Blocks (bucket, kind, a, b, c) of pairs (p), words beyond the head (t) and texts (d). docs: row, doc_id, train, text."""
-    head = len(model.words)
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.total, model.kinds, model.contexts, common, common_ids(model.counts)))
+class Contexts:
+    """What deals pairs out: the common contexts (ids as by common_ids) by hash."""
+
+    def __init__(self, model: Unigrams) -> None:
+        place = common_ids(model.counts)
+        some = np.flatnonzero(place[:-2] >= 0)
+        hashes, ids = np.append(model.words[some], START), np.append(place[some], COMMON)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], ids[order]
+        self.counts = np.zeros(COMMON + 1)
+        self.counts[place[some]], self.counts[COMMON] = model.counts[some], model.contexts[-1]
+
+    def of(self, context: np.ndarray) -> np.ndarray:
+        """The id of a common context, else -1."""
+        at = np.minimum(np.searchsorted(self.hashes, context), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == context, self.ids[at], -1)
+
+    def bucket(self, context: np.ndarray, event: np.ndarray, buckets: int) -> np.ndarray:
+        return (mix(np.where(self.of(context) >= 0, context ^ mix(event), context)) % np.uint64(buckets)).astype(np.int64)
+
+
+def contexts_of(w: np.ndarray, offs: np.ndarray, before: np.ndarray, model: Unigrams) -> np.ndarray:
+    """Hash of the token before each token (before: its number); a bounded vocabulary has one class for the words beyond it."""
+    out = np.concatenate([np.zeros(1, np.uint64), w[:-1]])
+    out[offs[:-1]] = START
+    return np.where(before == len(model.words), CLASS, out) if model.bounded else out
+
+
+_BLOCK = [("bucket", pa.int64()), ("kind", pa.string()), *((k, pa.binary()) for k in "abcef")]
+_BLOCKS = "bucket long, kind string, a binary, b binary, c binary, e binary, f binary"
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else data
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else data
+
+
+def blocks_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of blocks. rows: (bucket, kind, some of a, b, c, e, f)."""
+    full = [(*r[:2], *map(squeeze, r[2:]), *[b""] * (len(_BLOCK) - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in full], t) for k, (_, t) in enumerate(_BLOCK)], names=[n for n, _ in _BLOCK])
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Byte planes of numbers below 2 ** 32."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unnarrow(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def parts(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets that occur in a sorted array and where."""
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, slice(cuts[k], cuts[k + 1])
+
+
+def deal_rare(docs: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
+    """Blocks (kind t) of tokens beyond the head by word: words, texts' places, rows, contexts. docs: row, doc_id, train, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = text_column(batch, "text")
+            row, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in slices(texts):
+                w, offs = stream(texts[a:b])
+                number, before = numbered(w, offs, m.words)
+                rest = np.flatnonzero(number == len(m.words))
+                text = (np.searchsorted(offs, rest, side="right") - 1).astype(np.int64)
+                context, w = contexts_of(w, offs, before, m)[rest], w[rest]
+                bucket = (mix(w) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((w, bucket))
+                w, text, context, bucket = w[order], text[order], context[order], bucket[order]
+                code, rows = planes_of_rows(row[a:b], train[a:b]), []
+                for k, part in parts(bucket, buckets):
+                    used, local = np.unique(text[part], return_inverse=True)
+                    rows.append((k, "t", planes(w[part]), narrow(local), code(used), context[part].tobytes()))
+                yield blocks_batch(rows)
+
+    return docs.mapInArrow(run, _BLOCKS)
+
+
+def count_rare(dealt: DataFrame, model: Unigrams, contexts: Contexts, buckets: int) -> DataFrame:
+    """Blocks (kind f) of the tokens of deal_rare by context: contexts, texts' places, rows, words, counts of the words. dealt comes sorted by bucket."""
+    shared = dealt.sparkSession.sparkContext.broadcast((model.bounded, contexts))
+
+    def solve(tails: list, table: list) -> pa.RecordBatch:
+        bounded, common = shared.value
+        w, code, context = (np.concatenate(c) for c in zip(*tails, strict=True))
+        words, counts = (np.concatenate(c) for c in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
+        c = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
+        if bounded:
+            w = np.full(len(w), CLASS)
+        bucket = common.bucket(context, w, buckets)
+        order = np.lexsort((context, bucket))
+        w, code, context, c, bucket = w[order], code[order], context[order], c[order], bucket[order]
+        rows = []
+        for k, part in parts(bucket, buckets):
+            used, local = np.unique(code[part], return_inverse=True)
+            rows.append((k, "f", planes(context[part]), narrow(local), planes(used), w[part].tobytes(), narrow(np.minimum(c[part], 2**32 - 1))))
+        return blocks_batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tails, table = None, [], []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bucket, kind = (x[k].as_py() for x in batch.columns[:2])
+                a, b, c, e = (unsqueeze(x[k].as_py()) for x in batch.columns[2:6])
+                if bucket != now:
+                    if tails:
+                        yield solve(tails, table)
+                    now, tails, table = bucket, [], []
+                if kind == "u":
+                    table.append((unplanes(a), np.frombuffer(b, np.int64)))
+                else:
+                    tails.append((unplanes(a), unplanes(c)[unnarrow(b)], np.frombuffer(e, np.uint64)))
+        if tails:
+            yield solve(tails, table)
+
+    return dealt.mapInArrow(run, _BLOCKS)
+
+
+def deal(docs: DataFrame, model: Unigrams, common: np.ndarray, contexts: Contexts, buckets: int) -> DataFrame:
+    """Blocks of tokens of the head by context (p: contexts, texts' places, rows, numbers of the words) and of texts (d). docs: row, doc_id, train, text."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, common, common_ids(model.counts), contexts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, total, kinds, contexts, common, ids_of = shared.value
-        base = np.log10((counts + 1.0) / (total + 1.0 * (kinds + 1))) if total else np.zeros(len(counts))
+        m, common, ids_of, contexts = shared.value
+        base = m.base(m.counts)
         for batch in batches:
             texts = text_column(batch, "text")
             row, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
@@ -178,40 +325,30 @@ def deal(docs: DataFrame, model: Unigrams, common: np.ndarray, buckets: int) ->
                 w, offs = stream(texts[a:b])
                 n = np.diff(offs)
                 text = np.repeat(np.arange(b - a), n)
-                number, before = numbered(w, offs, words)
-                known = number < head
+                number, before = numbered(w, offs, m.words)
+                known = number < len(m.words)
                 x, y = ids_of[before], ids_of[number]
                 both = np.flatnonzero((x >= 0) & (y >= 0))
                 c = common[x[both], y[both]]
                 both, c = both[c > 0], c[c > 0]  # settled here
-                own = np.log10(c) - np.log10(np.maximum(contexts[before[both]], 1))
+                own = np.log10(c) - np.log10(np.maximum(m.contexts[before[both]], 1))
                 settled = [np.bincount(text[both], weights=own, minlength=b - a), *(np.bincount(text[both], weights=c == r, minlength=b - a) for r in range(1, DISCOUNTED + 1))]
-                open_ = np.ones(len(w), bool)
+                open_ = known.copy()
                 open_[both] = False
-                pair = (before[open_].astype(np.uint64) << _BITS) | number[open_].astype(np.uint64)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                blocks = [("p", pair, text[open_])]
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    blocks.append(("t", w[rest], text[rest]))
-                code = planes_of_rows(row[a:b], train[a:b])
-                for kind, keys, owner in blocks:
-                    bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-                    order = np.lexsort((keys, bucket))
-                    keys, owner, bucket = keys[order], owner[order], bucket[order]
-                    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                    for k in np.flatnonzero(np.diff(cuts)).tolist():
-                        part = slice(cuts[k], cuts[k + 1])
-                        used, local = np.unique(owner[part], return_inverse=True)
-                        for box, v in zip(out, (k, kind, planes(keys[part]), local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), code(used)), strict=True):
-                            box.append(v)
+                context, owner, event = contexts_of(w, offs, before, m)[open_], text[open_], number[open_]
+                bucket = contexts.bucket(context, w[open_], buckets)
+                order = np.lexsort((context, bucket))
+                context, owner, event, bucket = context[order], owner[order], event[order], bucket[order]
+                code, rows = planes_of_rows(row[a:b], train[a:b]), []
+                for k, part in parts(bucket, buckets):
+                    used, local = np.unique(owner[part], return_inverse=True)
+                    rows.append((k, "p", planes(context[part]), narrow(local), code(used), narrow(event[part])))
                 sums = np.bincount(text[known], weights=base[number[known]], minlength=b - a)
                 found = np.bincount(text, weights=known, minlength=b - a)
-                for box, v in zip(out, (int(row[a] % buckets), "d", np.ascontiguousarray(row[a:b]).tobytes(), np.stack([sums, *settled]).tobytes(), np.stack([n, found.astype(np.int64), ids[a:b], none[a:b]]).tobytes()), strict=True):
-                    box.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["bucket", "kind", "a", "b", "c"])
+                rows.append((int(row[a] % buckets), "d", np.ascontiguousarray(row[a:b]).tobytes(), np.stack([sums, *settled]).tobytes(), np.stack([n, found.astype(np.int64), ids[a:b], none[a:b]]).tobytes()))
+                yield blocks_batch(rows)
 
-    return docs.mapInArrow(run, "bucket long, kind string, a binary, b binary, c binary")
+    return docs.mapInArrow(run, _BLOCKS)
 
 
 def planes_of_rows(row: np.ndarray, train: np.ndarray):
@@ -234,20 +371,37 @@ def words_blocks(counts: DataFrame, buckets: int, least: int) -> DataFrame:
             bucket = (mix(w) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((w, bucket))
             w, c, bucket = w[order], c[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cuts)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(["u"] * len(some)), pa.array([planes(w[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()), pa.array([c[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([b""] * len(some), pa.binary())], names=["bucket", "kind", "a", "b", "c"])
+            yield blocks_batch([(k, "u", planes(w[part]), c[part].tobytes()) for k, part in parts(bucket, buckets)])
+
+    return counts.where(F.col("c") <= least).select("w", "c").mapInArrow(run, _BLOCKS)
+
+
+#: What one bucket tells of a text (x) or a common context (h; the sums of all others are -1's): n1 .. n6 count pairs by count. Texts that wait for an alpha are in blocks (w).
+_TOLD = [("kind", pa.string()), ("id", pa.int64()), ("logs", pa.float64()), ("base", pa.float64()), ("share", pa.float64()), ("n_tokens", pa.int64()), ("known", pa.int64()), *((f"n{r}", pa.int64()) for r in range(1, DISCOUNTED + 2)), ("more", pa.int64()), ("doc_id", pa.int64()), ("block", pa.binary())]
+
 
-    return counts.where(F.col("c") <= least).select("w", "c").mapInArrow(run, "bucket long, kind string, a binary, b binary, c binary")
+def pack(rows: np.ndarray, codes: np.ndarray, parts: np.ndarray) -> bytes:
+    """Rows that wait (sorted), what for (a common context, or beyond those a column of parts), and what alpha is made of: DISCOUNTED + 3 rows of parts."""
+    return np.array([len(rows)]).tobytes() + planes(rows) + narrow(codes) + parts.tobytes()
 
 
-#: What one bucket tells of a text (x) or a context (h): seen and logs sum their terms, base and known the contract's; n1 .. n6 count pairs by count.
-_TOLD = [("kind", pa.string()), ("id", pa.int64()), ("logs", pa.float64()), ("base", pa.float64()), ("share", pa.float64()), ("n_tokens", pa.int64()), ("known", pa.int64()), *((f"n{r}", pa.int64()) for r in range(1, DISCOUNTED + 2)), ("more", pa.int64()), ("doc_id", pa.int64()), ("unseen", pa.list_(pa.int32()))]
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    return unplanes(data[8 : 8 + 8 * n]).astype(np.int64), unnarrow(data[8 + 8 * n : 8 + 12 * n]), np.frombuffer(data[8 + 12 * n :]).reshape(DISCOUNTED + 3, -1)
 
 
-def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
-    """One row for each bucket and text or context in it. dealt comes sorted by bucket."""
-    shared = dealt.sparkSession.sparkContext.broadcast(model)
+def alphas(parts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 of alpha from n1 .. n5, the counts above, the context's count and the P(w) of what was seen."""
+    mass = parts[DISCOUNTED] + sum(parts[r - 1] * r * d[r] for r in range(1, DISCOUNTED + 1))
+    out = np.zeros(parts.shape[1])
+    some = mass > 0
+    out[some] = np.log10(np.maximum(1 - mass[some] / parts[-2][some], 1e-300) / np.maximum(1 - parts[-1][some], 1e-300))
+    return out
+
+
+def tell(dealt: DataFrame, model: Unigrams, contexts: Contexts) -> DataFrame:
+    """One row for each bucket and text or common context in it, and blocks of what waits. dealt comes sorted by bucket."""
+    shared = dealt.sparkSession.sparkContext.broadcast((model, contexts))
     names = [k for k, _ in _TOLD]
 
     def batch_of(kind: str, ids: np.ndarray, **cols) -> pa.RecordBatch:
@@ -256,122 +410,130 @@ def tell(dealt: DataFrame, model: Unigrams) -> DataFrame:
         out = [pa.array([kind] * n, pa.string()), pa.array(ids, pa.int64())]
         for k, t in _TOLD[2:]:
             v = cols.get(k)
-            out.append(pa.array([None] * n, t) if v is None and k in ("unseen", "doc_id") else pa.array(zero[t] if v is None else v, t) if not isinstance(v, pa.Array) else v)
+            out.append(pa.array([None] * n, t) if v is None and k in ("block", "doc_id") else pa.array(zero[t] if v is None else v, t) if not isinstance(v, pa.Array) else v)
         return pa.RecordBatch.from_arrays(out, names=names)
 
-    def solve_pairs(blocks: list[tuple], m: Unigrams) -> Iterator[pa.RecordBatch]:
-        """Counts and looks up the pairs of a bucket, a range of pairs after the other. blocks: sorted pairs, local text of each, rows and train flags of the texts."""
+    def solve(bucket: int, blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Counts and looks up the pairs of a bucket, a range of contexts after the other. blocks: sorted contexts, local text of each, rows and train flags of the texts, numbers of words or (words, counts)."""
+        m, common = shared.value
         texts = np.unique(np.concatenate([b[2] for b in blocks]))
-        blocks = [(key, np.searchsorted(texts, row).astype(np.int32)[local], train[local]) for key, local, row, train in blocks]
-        n, heads = len(texts), len(m.contexts)
-        logs, by = np.zeros(n), np.zeros((DISCOUNTED, n), np.int64)
-        share, more, of = np.zeros(heads), np.zeros(heads, np.int64), np.zeros((DISCOUNTED + 1, heads), np.int64)
+        for k, (context, local, row, train, event) in enumerate(blocks):
+            blocks[k] = (context, np.searchsorted(texts, row).astype(np.int32)[local], train[local], event)
+        n = len(texts)
+        logs, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        by, most = np.zeros((DISCOUNTED, n), np.int64), COMMON + 1
+        of, share = np.zeros((DISCOUNTED + 2, most + 1), np.int64), np.zeros(most + 1)  # the last is all others
+        for _, at, _, event in blocks:
+            if isinstance(event, tuple):
+                c = event[1]
+                base += np.bincount(at, weights=m.base(c), minlength=n)
+                known += np.bincount(at, weights=c > 0, minlength=n).astype(np.int64)
+                if m.bounded:
+                    logs += np.bincount(at, weights=m.within(c), minlength=n)
         some = np.sort(np.concatenate([b[0][::64] for b in blocks]))
         many = sum(len(b[0]) for b in blocks)
         cuts = np.unique(some[np.linspace(0, len(some) - 1, many // CHUNK_TOKENS + 2).astype(int)[1:-1]])
         places = [[0, *np.searchsorted(b[0], cuts).tolist(), len(b[0])] for b in blocks]
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(len(cuts) + 1):
-            key, at, train = (np.concatenate([b[i][p[k] : p[k + 1]] for b, p in zip(blocks, places, strict=True)]) for i in range(3))
-            if not len(key):
+            chunk = []
+            for (context, at, train, event), p in zip(blocks, places, strict=True):
+                part = slice(p[k], p[k + 1])
+                if p[k] == p[k + 1]:
+                    continue
+                if isinstance(event, tuple):
+                    word, log = event[0][part], m.event(event[1][part])
+                else:
+                    word, log = m.words[event[part]], m.events[event[part]]
+                chunk.append((context[part], word, log, at[part], train[part]))
+            if not chunk:
                 continue
-            order = np.argsort(key, kind="stable")
-            key, at, train = key[order], at[order], train[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            each = np.diff(np.append(first, len(key)))
-            count = np.add.reduceat(train.astype(np.int64), first)
-            context, event = (key[first] >> _BITS).astype(np.int64), (key[first] & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
+            context, word, log, at, train = (np.concatenate(c) for c in zip(*chunk, strict=True))
+            order = np.lexsort((word, context))
+            context, word, log, at, train = context[order], word[order], log[order], at[order], train[order]
+            first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+            each = np.diff(np.append(first, len(context)))
+            count, log, pair_context = np.add.reduceat(train.astype(np.int64), first), log[first], context[first]
+            new = np.concatenate([[True], pair_context[1:] != pair_context[:-1]])
+            own, kinds = np.cumsum(new) - 1, int(new.sum())
+            ids = common.of(pair_context[new])
             seen = count > 0
-            c, h = count[seen], context[seen]
-            share += np.bincount(h, weights=10 ** m.events[event[seen]], minlength=heads)
-            more += np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=heads).astype(np.int64)
-            for r in range(1, DISCOUNTED + 2):
-                of[r - 1] += np.bincount(h[c == r], minlength=heads)
+            c, h = count[seen], own[seen]
+            parts = np.zeros((DISCOUNTED + 3, kinds))
+            for r in range(1, DISCOUNTED + 1):
+                parts[r - 1] = np.bincount(h[c == r], minlength=kinds)
+            parts[DISCOUNTED] = np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=kinds)
+            parts[-2] = np.where(ids >= 0, common.counts[ids], np.bincount(h, weights=c, minlength=kinds))
+            parts[-1] = np.bincount(h, weights=10 ** log[seen], minlength=kinds)
+            to = np.where(ids >= 0, ids, most)
+            for r in range(DISCOUNTED + 1):
+                np.add.at(of[r if r < DISCOUNTED else DISCOUNTED + 1], to, parts[r].astype(np.int64))
+            of[DISCOUNTED] += np.bincount(to[h[c == DISCOUNTED + 1]], minlength=most + 1)
+            np.add.at(share, to, parts[-1])
             # every seen pair is divided by its context's count, every unseen one waits for its context's alpha
-            own = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(m.contexts[context], 1)), m.events[event])
-            logs += np.bincount(at, weights=np.repeat(own, each), minlength=n)
+            value = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(parts[-2][own], 1)), log)
+            logs += np.bincount(at, weights=np.repeat(value, each), minlength=n)
             c = np.repeat(count, each)
             for r in range(1, DISCOUNTED + 1):
                 by[r - 1] += np.bincount(at[c == r], minlength=n)
-            rest = c == 0
+            wait = (~seen & (parts[-2] > 0)[own])  # a context that was never learned from has an alpha of 1
+            rest = np.repeat(wait, each)
             if rest.any():
-                waiting.append((at[rest], np.repeat(context, each)[rest].astype(np.int32)))
-        ids = np.flatnonzero(of.sum(axis=0) + more)
-        if len(ids):
-            yield batch_of("h", ids, share=share[ids], more=more[ids], **{f"n{r}": of[r - 1][ids] for r in range(1, DISCOUNTED + 2)})
-        at, what = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-        order = np.argsort(at, kind="stable")
-        ends = np.searchsorted(at[order], np.arange(n + 1))
-        unseen = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(what[order]))
-        yield batch_of("x", texts, logs=logs, unseen=unseen, **{f"n{r}": by[r - 1] for r in range(1, DISCOUNTED + 1)})
-
-    def solve(pairs: list, tails: list, table: list, m: Unigrams) -> Iterator[pa.RecordBatch]:
-        if pairs:
-            yield from solve_pairs(pairs, m)
-        if tails:
-            w, row = (np.concatenate(c) for c in zip(*tails, strict=True))
-            words, counts = (np.concatenate(c) for c in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            order = np.argsort(words)
-            words, counts = words[order], counts[order]
-            at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-            c = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
-            texts, at = np.unique(row, return_inverse=True)
-            base = np.log10((c + 1.0) / (m.total + 1.0 * (m.kinds + 1)))
-            yield batch_of("x", texts, base=np.bincount(at, weights=base), known=np.bincount(at, weights=c > 0).astype(np.int64), logs=np.bincount(at, weights=m.within(c)))
+                code = np.where(ids >= 0, ids, most)
+                asked = np.unique(own[wait & (ids < 0)[own]])
+                code[asked] = most + np.arange(len(asked))
+                rows, code = texts[at[rest]], code[np.repeat(own, each)[rest]]
+                order = np.argsort(rows, kind="stable")
+                yield batch_of("w", np.array([bucket]), block=pa.array([pack(rows[order], code[order], np.ascontiguousarray(parts[:, asked]))], pa.binary()))
+        some = np.flatnonzero(of.sum(axis=0))
+        if len(some):
+            yield batch_of("h", np.where(some == most, -1, some), share=share[some], more=of[DISCOUNTED + 1][some], **{f"n{r}": of[r - 1][some] for r in range(1, DISCOUNTED + 2)})
+        yield batch_of("x", texts, logs=logs, base=base, known=known, **{f"n{r}": by[r - 1] for r in range(1, DISCOUNTED + 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        now, pairs, tails, table = None, [], [], []
+        now, pairs = None, []
         for batch in batches:
             for k in range(batch.num_rows):  # one block at a time: only its arrays are kept
-                bucket, kind, a, b, c = (x[k].as_py() for x in batch.columns)
+                bucket, kind = (x[k].as_py() for x in batch.columns[:2])
+                a, b, c, e, f = (unsqueeze(x[k].as_py()) for x in batch.columns[2:])
                 if bucket != now:
-                    yield from solve(pairs, tails, table, m)
-                    now, pairs, tails, table = bucket, [], [], []
+                    if pairs:
+                        yield from solve(now, pairs)
+                    now, pairs = bucket, []
                 if kind == "d":
                     n = np.frombuffer(c, np.int64).reshape(4, -1)
-                    f = np.frombuffer(b).reshape(DISCOUNTED + 2, -1)
-                    by = {f"n{r}": f[1 + r].astype(np.int64) for r in range(1, DISCOUNTED + 1)}
-                    yield batch_of("x", np.frombuffer(a, np.int64), base=f[0], logs=f[1], n_tokens=n[0], known=n[1], doc_id=pa.array(n[2], mask=n[3] > 0), **by)
-                elif kind == "u":
-                    table.append((unplanes(a), np.frombuffer(b, np.int64)))
+                    t = np.frombuffer(b).reshape(DISCOUNTED + 2, -1)
+                    by = {f"n{r}": t[1 + r].astype(np.int64) for r in range(1, DISCOUNTED + 1)}
+                    yield batch_of("x", np.frombuffer(a, np.int64), base=t[0], logs=t[1], n_tokens=n[0], known=n[1], doc_id=pa.array(n[2], mask=n[3] > 0), **by)
                 else:
-                    row, train = rows_of(c)
-                    local = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                    if kind == "p":
-                        pairs.append((unplanes(a), local, row, train))
-                    else:
-                        tails.append((unplanes(a), row[local]))
-        yield from solve(pairs, tails, table, m)
-
-    kinds = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.list_(pa.int32()): "array<int>"}
+                    event = unnarrow(e) if kind == "p" else (np.frombuffer(e, np.uint64), unnarrow(f).astype(np.int64))
+                    pairs.append((unplanes(a), unnarrow(b), *rows_of(c), event))
+        if pairs:
+            yield from solve(now, pairs)
+
+    kinds = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
     return dealt.mapInArrow(run, ", ".join(f"{k} {kinds[t]}" for k, t in _TOLD))
 
 
-def close(gathered: DataFrame, model: Unigrams, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the pair discounts (1 .. DISCOUNTED) and of alpha by context, from one row a context and the common pairs."""
-    rows = gathered.where("kind = 'h'").drop("unseen").toArrow()
-    heads = len(model.contexts)
-    by, more, share = np.zeros((DISCOUNTED + 1, heads), np.int64), np.zeros(heads, np.int64), np.zeros(heads)
-    ids = rows["id"].to_numpy()
+def close(gathered: DataFrame, model: Unigrams, common: np.ndarray, contexts: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """Discounts of pairs (0 .. DISCOUNTED) and log10 of alpha by common context, from one row a common context and the common pairs."""
+    rows = gathered.where("kind = 'h'").drop("blocks").toArrow()
+    most = COMMON + 1
+    by, more, share = np.zeros((DISCOUNTED + 1, most + 1), np.int64), np.zeros(most + 1), np.zeros(most + 1)
+    ids = np.where(rows["id"].to_numpy() < 0, most, rows["id"].to_numpy())
     for r in range(1, DISCOUNTED + 2):
         by[r - 1, ids] = rows[f"n{r}"].to_numpy()
     more[ids], share[ids] = rows["more"].to_numpy(), rows["share"].to_numpy()
-    place = common_ids(model.counts)
-    word = np.zeros(COMMON + 1, np.int64)
+    place = common_ids(model.counts)[:-2]
+    word = np.zeros(most, np.int64)
     word[place[place >= 0]] = np.flatnonzero(place >= 0)
-    x, y = np.nonzero(common)
-    c, h = common[x, y], word[x]
+    h, y = np.nonzero(common)
+    c = common[h, y]
     for r in range(1, DISCOUNTED + 2):
-        by[r - 1] += np.bincount(h[c == r], minlength=heads)
-    more += np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=heads).astype(np.int64)
-    share += np.bincount(h, weights=10 ** model.events[word[y]], minlength=heads)
+        by[r - 1] += np.bincount(h[c == r], minlength=most + 1)
+    more += np.bincount(h, weights=np.where(c > DISCOUNTED, c, 0), minlength=most + 1)
+    share += np.bincount(h, weights=10 ** model.events[word[y]], minlength=most + 1)
     d = discounts({r: int(by[r - 1].sum()) for r in range(1, DISCOUNTED + 2)})
-    mass = more + sum(by[r - 1] * r * d[r] for r in range(1, DISCOUNTED + 1))
-    some = mass > 0
-    alpha = np.zeros(heads)
-    alpha[some] = np.log10(np.maximum(1 - mass[some] / model.contexts[some], 1e-300) / np.maximum(1 - share[some], 1e-300))
-    return np.log10(d[1:]), alpha
+    return d, alphas(np.vstack([by[:DISCOUNTED, :most], more[:most], contexts.counts, share[:most]]), d)
 
 
 def katz(docs: DataFrame, train) -> DataFrame:
@@ -381,39 +543,44 @@ def katz(docs: DataFrame, train) -> DataFrame:
     counts = checkpointed(count_words(base.where("train")))
     free_shuffles(spark)
     sizes = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *(F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, DISCOUNTED + 2))).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).toArrow()
+    size = VOCABULARY or HEAD
+    top = counts.orderBy(F.desc("c"), "w").limit(size).toArrow()
     total, kinds = sizes["n"] or 0, sizes["v"]
-    model = Unigrams(top["w"].to_numpy().view(np.uint64), top["c"].to_numpy(), total, kinds, {r: sizes[f"n{r}"] or 0 for r in range(1, DISCOUNTED + 2)})
+    model = Unigrams(top["w"].to_numpy().view(np.uint64), top["c"].to_numpy(), total, kinds, {r: sizes[f"n{r}"] or 0 for r in range(1, DISCOUNTED + 2)}, VOCABULARY is not None)
     starts = base.where("train").count()
     if not (model.words == END).any():
         model.contexts[-1] -= starts  # ends are no contexts
     model.contexts = np.append(model.contexts, starts)
     seen = spark.createDataFrame(top.select(["w"])).withColumnRenamed("w", "head")
-    least = int(top["c"].to_numpy().min()) if top.num_rows == VOCABULARY else -1
+    least = int(top["c"].to_numpy().min()) if top.num_rows == size else -1
     rest = counts.where(F.col("c") <= least).join(F.broadcast(seen), F.col("w") == F.col("head"), "left_anti")
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_TOKENS))
-    common = count_common(base.where("train"), model)
-    dealt = deal(base, model, common, buckets).unionByName(words_blocks(rest, buckets, least))
-    told = tell(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket"), model)
-    sums = [F.sum(k).alias(k) for k, t in _TOLD[2:] if k not in ("unseen", "doc_id")]
-    gathered = checkpointed(told.groupBy("kind", "id").agg(*sums, F.max("doc_id").alias("doc_id"), F.flatten(F.collect_list("unseen")).alias("unseen")))
+    common, contexts = count_common(base.where("train"), model), Contexts(model)
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+
+    rare = count_rare(by_bucket(deal_rare(base, model, buckets).unionByName(words_blocks(rest, buckets, least))), model, contexts, buckets)
+    told = tell(by_bucket(deal(base, model, common, contexts, buckets).unionByName(rare)), model, contexts)
+    sums = [F.sum(k).alias(k) for k, t in _TOLD[2:] if k not in ("block", "doc_id")]
+    gathered = checkpointed(told.groupBy("kind", "id").agg(*sums, F.max("doc_id").alias("doc_id"), F.collect_list("block").alias("blocks")))
     free_shuffles(spark)
-    d, alpha = close(gathered, model, common)
-    shared = spark.sparkContext.broadcast(alpha)
+    d, alpha = close(gathered, model, common, contexts)
+    shared = spark.sparkContext.broadcast((d, alpha))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
+        d, alpha = shared.value
         for batch in batches:
-            lists = batch.column(2)
-            values, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            sums = np.concatenate([[0.0], np.cumsum(weights[values])])[offs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + np.diff(sums))], names=["id", "score"])
-
-    logs = F.col("logs") + sum((F.col(f"n{r}") * float(d[r - 1]) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
-    texts = gathered.where("kind = 'x'")
-    scored = texts.select("id", logs.alias("logs"), "unseen").mapInArrow(finish, "id long, score double")
-    known = texts.select(F.col("id").alias("row"), "doc_id", "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"))
-    out = known.join(scored, F.col("row") == F.col("id"))
+            for blocks in batch.column(0):
+                for block in blocks:
+                    rows, codes, parts = unpack(block.as_py())
+                    ids, at = np.unique(rows, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, weights=np.append(alpha, alphas(parts, d))[codes]))], names=["row", "logs"])
+
+    logs = F.col("logs") + sum((F.col(f"n{r}") * float(np.log10(d[r])) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
+    texts = gathered.where("kind = 'x'").select(F.col("id").alias("row"), logs.alias("logs"), "doc_id", "n_tokens", "known", "base")
+    waited = gathered.where("kind = 'w'").select("blocks").mapInArrow(finish, "row long, logs double")
+    out = texts.unionByName(waited, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("logs").alias("score"))
     return out.select("row", "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -95,6 +95,21 @@ def test_matches_the_definition(spark, monkeypatch, size, common):
             assert sum(p(w, h) for w in e1) + reserved * p("<reserved>", h) == pytest.approx(1, rel=1e-9)
 
 
+@pytest.mark.parametrize(("head", "common"), [(3, 2), (5, 5), (1 << 16, 4)])
+def test_rare_words_keep_their_pairs(spark, monkeypatch, head, common):
+    """Words beyond the broadcast head have contexts and events of their own: the result does not depend on its size."""
+    monkeypatch.setattr(K, "HEAD", head)
+    monkeypatch.setattr(K, "COMMON", common)
+    monkeypatch.setattr(K, "CHUNK_TOKENS", 8)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    got = K.katz(df, F.coalesce(F.col("doc_id") != 5, F.lit(True))).drop("row").collect()
+    want = reference(ROWS, lambda i: i != 5, set)[0]
+    order = lambda r: (r[0] is None, r[0] or 0, r[5])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:4] == b[:4]
+        assert a[4] == pytest.approx(b[4], rel=1e-9) and a[5] == pytest.approx(b[5], rel=1e-9)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert K.katz_score(df).collect() == []

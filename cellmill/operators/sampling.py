@@ -18,25 +18,33 @@ def uniform(*parts: Column | int | str) -> Column:
     return (F.conv(F.substring(draw(*parts), 1, 8), 16, 10).cast("long") + 1) / F.lit(4294967297.0)
 
 
-def random_batches(spark: SparkSession, n_rows: int, batch_size: int, n_batches: int, seed: int, epoch: int = 0) -> DataFrame:
+def random_batches(spark: SparkSession, n_rows: int, batch_size: int, n_batches: int | None, seed: int, epoch: int = 0, drop_last: bool = False) -> DataFrame:
     """batch_id, pos, global_row_index: every batch an independent draw without replacement of rows 0 .. n_rows - 1, sorted.
 
+    Without n_batches, an epoch: as many batches as the rows fill, the last one
+    of the rows that are left over (drop_last: without it).
     Batches of up to a quarter of the rows draw row numbers straight (twice as
     many as needed, each once, the first ones count), in time that does not
     depend on the number of rows; larger ones take the smallest keys of all rows.
     """
     if batch_size <= 0 or n_rows < 0:
         raise ValueError("batch_size must be above 0")
+    tail = 0
+    if n_batches is None:
+        n_batches, tail = divmod(n_rows, batch_size)
+        tail = 0 if drop_last else tail
+        n_batches += tail > 0
     batches = spark.range(n_batches).select(F.col("id").cast("int").alias("batch_id"))
     if 4 * batch_size <= n_rows:
         tries = batches.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(2 * batch_size + 63))).alias("n"))
         row = F.pmod(F.conv(F.substring(draw(seed, epoch, F.col("batch_id"), F.col("n")), 1, 15), 16, 10).cast("long"), F.lit(n_rows))
         keyed = tries.select("batch_id", "n", row.alias("global_row_index")).groupBy("batch_id", "global_row_index").agg(F.min("n").alias("key"))
     else:
-        every = spark.range(n_rows).select(F.col("id").alias("global_row_index"), F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch_id"))
+        every = spark.range(n_rows).select(F.col("id").alias("global_row_index"), F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch_id")).where(F.col("batch_id") < n_batches).where("batch_id >= 0")
         keyed = every.withColumn("key", draw(seed, epoch, F.col("batch_id"), F.col("global_row_index")))
     place = F.row_number().over(Window.partitionBy("batch_id").orderBy("key", "global_row_index"))
-    kept = keyed.withColumn("place", place).where(F.col("place") <= batch_size)
+    size = F.when(F.col("batch_id") == n_batches - 1, tail).otherwise(batch_size) if tail else F.lit(batch_size)
+    kept = keyed.withColumn("place", place).where(F.col("place") <= size)
     return kept.select("batch_id", (F.row_number().over(Window.partitionBy("batch_id").orderBy("global_row_index")) - 1).alias("pos"), "global_row_index")
 
 

@@ -306,3 +306,12 @@ def test_nothing_else_imports_llm():
 
     root = Path(ha.__file__).resolve().parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"(import|from)\b.*\bllm\b", p.read_text())]
+
+
+@pytest.mark.parametrize(("rows", "size", "drop_last", "want"), [(103, 10, False, [10] * 10 + [3]), (103, 10, True, [10] * 10), (100, 10, False, [10] * 10), (7, 5, False, [5, 2]), (3, 5, False, [3]), (3, 5, True, []), (0, 5, False, [])])
+def test_random_batches_of_an_epoch(spark, rows, size, drop_last, want):
+    got = {}
+    for r in sa.random_batches(spark, rows, size, None, seed=7, drop_last=drop_last).collect():
+        got.setdefault(r["batch_id"], []).append(r["global_row_index"])
+    assert [len(got[k]) for k in sorted(got)] == want and sorted(got) == list(range(len(want)))
+    assert all(len(set(x)) == len(x) and set(x) <= set(range(rows)) for x in got.values())

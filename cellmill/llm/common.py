@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..packaging import ship
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are worked on at once, and of which word hashes are made at once.
+SLICE_BYTES, CHUNK_BYTES = 1 << 19, 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,10 +96,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        p = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 4 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -112,23 +113,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of consecutive texts: 64-bit hash, start byte, and for each text the number of words before it (n + 1)."""
+def _words(data: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start byte of each word; no word goes over a cut."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     b = table[data]
     inside = b != 32
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    cut = offs[:-1][offs[:-1] < n]
-    first[cut] = inside[cut]
+    first[cuts] = inside[cuts]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(_MULT, n), out=sums[1:])
-    h = mix((sums[e + 1] - sums[s]) * powers(_INV, n)[s])
+    return mix((sums[e + 1] - sums[s]) * powers(_INV, n)[s]), s
+
+
+def _cut(data: np.ndarray, offs: np.ndarray, at: int, table: np.ndarray) -> int:
+    """Where a chunk that starts at `at` ends: between words, after CHUNK_BYTES at most but for a longer word."""
+    to = at + CHUNK_BYTES
+    if to >= len(data):
+        return len(data)
+    blank = np.flatnonzero(table[data[at:to]] == 32)
+    cut = max(at + int(blank[-1]) + 1 if len(blank) else at, int(offs[np.searchsorted(offs, to, side="right") - 1]))
+    if cut > at:
+        return cut
+    bound = int(offs[np.searchsorted(offs, at, side="right")])
+    while to < bound:
+        ahead = np.flatnonzero(table[data[to : to + CHUNK_BYTES]] == 32)
+        if len(ahead):
+            return min(bound, to + int(ahead[0]))
+        to += CHUNK_BYTES
+    return bound
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of consecutive texts: 64-bit hash, start byte, and for each text the number of words before it (n + 1).
+
+    Bytes are hashed CHUNK_BYTES at a time, so that a long text takes little
+    more than its words' hashes.
+    """
+    at, found = 0, []
+    while at < len(data):
+        to = _cut(data, offs, at, table)
+        own = offs[np.searchsorted(offs, at, side="left") : np.searchsorted(offs, to, side="left")] - at
+        h, s = _words(data[at:to], own, table)
+        found.append((h, s + at))
+        at = to
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    h, s = (np.concatenate(c) for c in zip(*found, strict=True))
     return h, s, np.searchsorted(s, offs).astype(np.int64)
 
 
@@ -149,5 +183,17 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     return h, offs
 
 
-def add_column(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Names like these that none of `taken` (in any case) has, for helper columns beside an input's own."""
+    have, out = {n.lower() for n in taken}, []
+    for n in names:
+        while (n := f"_{n}").lower() in have:
+            pass
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_hash(text: str = "text") -> Column:
+    """64-bit hash of a text, a null as an empty one; tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

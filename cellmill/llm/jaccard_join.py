@@ -8,9 +8,9 @@ or more.
    likeness of 0.8 a pair shares no band with a probability under 1e-5.
 2. Texts that share a band key are tied by star edges to the least of them;
    connected components of those edges are the groups within which links can
-   be. A group's texts are dealt out in blocks of bounded size, and each pair
-   of blocks is one unit of work, so no task holds an unbounded group and no
-   pair of a group is emitted as a row.
+   be. A group's texts are dealt out in small blocks, and each pair of blocks
+   is one unit of work, so no task holds an unbounded group and no pair of a
+   group is emitted as a row.
 3. Within a unit, pairs that share a band compare MinHash values in steps. A
    pair is dropped once the posterior probability (uniform prior) that its
    likeness reaches the threshold falls below TOLERANCE; the rest is verified
@@ -24,8 +24,9 @@ documents that are linked to it, copies counted), n_copies (of its text).
 Defined cases: words are lower-cased runs of letters, digits and non-ASCII
 characters; a text of fewer than five words is one shingle; a text without
 words is like its exact copies only; a null text is empty; a null id sorts
-first and names no class if another id is there; rows that repeat an id are
-separate documents with that id.
+last and names no class if another id is there; rows that repeat an id are
+separate documents with that id, told apart by a hash of their texts. Columns
+other than doc_id and text do not matter, and the stage keeps them all.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_shuffles, mix, raw, shingle_hashes, slices, text_column, tokens
+from .common import checkpointed, free_names, free_shuffles, mix, raw, shingle_hashes, slices, text_column, text_hash, tokens
 from .graph import components
 
 SHINGLE, LIKENESS, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
-#: Texts and shingles that a block holds at most (a longer text is a block of its own).
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 400_000
+#: Texts and shingles that a block holds on average at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 64_000
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -104,18 +105,18 @@ def least_matches(threshold: float = LIKENESS, tolerance: float = TOLERANCE) ->
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, k (content), n (shingles), bands."""
+    """doc_id, t (hash of the text), k (content), n (shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text_column(batch), batch.column(0)
+            texts, (ids, t) = text_column(batch), batch.columns[:2]
             for a, b in slices(texts):
                 h, at = shingles(texts[a:b])
                 keys = band_keys(minhashes(h, at))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(content_keys(h, at)), pa.array(np.diff(at)), bands], names=["doc_id", "k", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], t[a:b], pa.array(content_keys(h, at)), pa.array(np.diff(at)), bands], names=["doc_id", "t", "k", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k long, n long, bands array<long>")
+    return docs.select("doc_id", text_hash().alias("t"), "text").mapInArrow(run, "doc_id long, t long, k long, n long, bands array<long>")
 
 
 def linked(first: list[int], second: list[int], sets: list[np.ndarray], signature: np.ndarray, copies: np.ndarray, floors: dict[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -161,20 +162,20 @@ def linked(first: list[int], second: list[int], sets: list[np.ndarray], signatur
 
 
 def verify(units: DataFrame) -> DataFrame:
-    """a, b, links: links of text a (b null), or the root b of a's class in this unit. units: text, k, copies, comp, i, j, own; sorted by comp, i, j."""
+    """a, b, links: links of text a (b null), or the root b of a's class in this unit. units: text, k, copies, comp, i, j, own; sorted by comp, i, j, k."""
     floors = least_matches()
 
     def solve(rows: list[tuple], i: int, j: int) -> pa.RecordBatch:
-        h, at = shingles(pa.array([r[0] for r in rows], pa.string()))
-        keys = content_keys(h, at)
-        keep = [x for x, r in enumerate(rows) if r[1] == keys[x]]  # rows that repeat an id with another text go
-        keep = [x for _, x in sorted({rows[x][1]: x for x in keep}.items())]  # so that a class's root is its least key
-        signature = minhashes(h, at)[keep]
-        sets = [np.unique(h[at[x] : at[x + 1]]) for x in keep]
-        k, copies = np.array([rows[x][1] for x in keep]), np.array([rows[x][2] for x in keep])
-        one = [x for x, y in enumerate(keep) if rows[y][3] == i]
-        two = one if i == j else [x for x, y in enumerate(keep) if rows[y][3] == j]
-        links, forest = linked(one, two, sets, signature, copies, floors)
+        texts = pa.array([r[0] for r in rows], pa.string())
+        sets, signature = [], []
+        for a, b in slices(texts):
+            h, at = shingles(texts[a:b])
+            signature.append(minhashes(h, at))
+            sets += [np.unique(h[at[x] : at[x + 1]]) for x in range(b - a)]
+        k, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])  # in order of k, so that a class's root is its least key
+        one = [x for x, r in enumerate(rows) if r[3] == i]
+        two = one if i == j else [x for x, r in enumerate(rows) if r[3] == j]
+        links, forest = linked(one, two, sets, np.concatenate(signature), copies, floors)
         some = np.flatnonzero(links)
         a = np.concatenate([k[some], k[[x for x, _ in forest]]]) if len(some) else np.zeros(0, np.int64)
         b = [None] * len(some) + [int(k[y]) for _, y in forest]
@@ -183,48 +184,75 @@ def verify(units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for text, k, copies, comp, i, j, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, i, j) != now:
-                    if len(rows) > 1:
-                        yield solve(rows, now[1], now[2])
-                    now, rows = (comp, i, j), []
-                rows.append((text, k, copies, own))
+            for at in range(0, batch.num_rows, BLOCK_TEXTS):  # few rows as Python objects at a time
+                for text, k, copies, comp, i, j, own in zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_TEXTS).columns), strict=True):
+                    if (comp, i, j) != now:
+                        if len(rows) > 1:
+                            yield solve(rows, now[1], now[2])
+                        now, rows = (comp, i, j), []
+                    rows.append((text, k, copies, own))
         if len(rows) > 1:
             yield solve(rows, now[1], now[2])
 
     return units.mapInArrow(run, "a long, b long, links long")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every document."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def units_of(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """Units of work (as verify takes them) of member: rep, k, copies, comp, blocks. docs: doc_id, text."""
+    least = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce("doc_id", least).alias("d"), text_hash().alias("h"), "text")
+    named = member.select(F.coalesce("rep.doc_id", least).alias("d"), F.col("rep.t").alias("h"), F.col("rep.rows").alias("rows"), "k", "copies", "comp", "blocks")
+    texts = rows.join(named.where("rows = 1"), ["d", "h"])
+    if not named.where("rows > 1").isEmpty():  # rows that repeat an id and a text: one of them is enough
+        texts = texts.unionByName(rows.join(named.where("rows > 1"), ["d", "h"]).dropDuplicates(["k"]))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("k"), F.col("blocks"))).otherwise(0)
+    texts = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return texts.select("text", "k", "copies", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, t, rep (what stands for the class: none (no id), doc_id, t, rows), n_links, n_copies of every row of docs (doc_id, text)."""
     base = checkpointed(sign(docs))
-    texts = checkpointed(base.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
+    same = base.groupBy("k", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rows")
+    texts = checkpointed(same.groupBy("k").agg(F.min(rep).alias("rep"), F.sum("rows").alias("copies"), F.max("n").alias("n")))
     keys = base.select("k", F.explode("bands").alias("band"))
-    stars = keys.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least")
+    stars = checkpointed(keys.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least"))
     edges = keys.join(stars, "band").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b")).distinct()
     groups = components(edges)
 
     member = texts.join(groups, texts["k"] == groups["node"]).select("rep", "k", "copies", "n", F.col("root").alias("comp"))
-    sizes = member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("k"), F.col("blocks"))).otherwise(0)
-    member = member.join(sizes, "comp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = member.select("rep", "k", "copies", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    units = docs.join(member, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.coalesce("rep", F.lit(-(1 << 63)))).select("text", "k", "copies", "comp", "i", "j", "own")
+    sizes = checkpointed(member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
+    units = units_of(docs, checkpointed(member.join(sizes, "comp")))
     free_shuffles(docs.sparkSession)
-    found = checkpointed(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")))
+    found = checkpointed(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "k")))
 
     roots = components(found.where(F.col("b").isNotNull()).select("a", "b"))
     degree = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     named = texts.join(roots, texts["k"] == roots["node"], "left").join(degree, texts["k"] == degree["a"], "left").select("k", "rep", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     named = checkpointed(named)
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = named.join(least, "root").select(F.col("k").alias("key"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return base.join(classes, base["k"] == classes["key"]).select("doc_id", "class_id", "n_links", "n_copies")
+    least = checkpointed(named.groupBy("root").agg(F.min("rep").alias("least")))
+    found = named.join(least, "root").select("k", F.col("least").alias("rep"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return base.join(found, "k").select("doc_id", "t", "rep", "n_links", "n_copies")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document."""
+    return classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", F.col("rep.doc_id").alias("class_id"), "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that another one of their class stands for; all columns are kept."""
-    names = jaccard_join(docs)
-    gone = names.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of docs for each class of near copies, that of the least id (of its texts, the one of the least hash); all columns are kept."""
+    rows = classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    one = checkpointed(rows.where(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.t"))).select("rep").distinct())
+    t, d, h = free_names(docs.columns, "t", "d", "h")
+    whole = docs.withColumn(t, text_hash())
+    stay = one.select(F.col("rep.doc_id").alias(d), F.col("rep.t").alias(h), F.col("rep.rows").alias("rows"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return whole.join(chosen.drop("rows"), whole["doc_id"].eqNullSafe(chosen[d]) & (whole[t] == chosen[h]), "left_semi")
+
+    out = of(stay.where("rows = 1"))
+    if not stay.where("rows > 1").isEmpty():
+        out = out.unionByName(of(stay.where("rows > 1")).dropDuplicates(["doc_id", t]))
+    return out.drop(t)

@@ -43,6 +43,8 @@ from .common import BLANK, checkpointed, free_shuffles, held_out, mix, raw, slic
 
 VOCABULARY: int | None = None
 DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 5, 4_000_000, 500_000
+#: Bytes of text that make one set of blocks.
+SLICE = 2 << 20
 #: Counts of the HEAD most frequent words are broadcast; those of the others are joined by hash. Results do not depend on it.
 HEAD = 1 << 16
 #: Pairs of the COMMON most frequent words are counted first and never dealt out.
@@ -73,7 +75,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
-            parts = [np.unique(stream(texts[a:b])[0], return_counts=True) for a, b in slices(texts)]
+            parts = [np.unique(stream(texts[a:b])[0], return_counts=True) for a, b in slices(texts, SLICE)]
             w, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             own, at = np.unique(w, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(at, weights=c).astype(np.int64))], names=["w", "c"])
@@ -163,7 +165,7 @@ def count_common(docs: DataFrame, model: Unigrams) -> np.ndarray:
         total = np.zeros((most + 1) * most, np.int64)
         for batch in batches:
             texts = text_column(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 w, offs = stream(texts[a:b])
                 number, before = numbered(w, offs, words)
                 x, y = ids[before], ids[number]
@@ -249,7 +251,7 @@ def deal_rare(docs: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
         for batch in batches:
             texts = text_column(batch, "text")
             row, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 w, offs = stream(texts[a:b])
                 number, before = numbered(w, offs, m.words)
                 rest = np.flatnonzero(number == len(m.words))
@@ -321,7 +323,7 @@ def deal(docs: DataFrame, model: Unigrams, common: np.ndarray, contexts: Context
             texts = text_column(batch, "text")
             row, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             ids, none = pc.fill_null(batch.column(1), 0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 w, offs = stream(texts[a:b])
                 n = np.diff(offs)
                 text = np.repeat(np.arange(b - a), n)

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from cases import ODD, docs, none, words
 
 from cellmill.llm import decontaminate as D
@@ -61,7 +62,24 @@ def test_join_empty_and_stage(spark):
     assert J.jaccard_join(none(spark)).collect() == []
     out = J.one_of_each(docs(spark))
     assert out.columns == docs(spark).columns
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["1", "1", "2", "4", "5", "6", "7", "9", "None"])
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["1", "2", "4", "5", "6", "7", "9", "None"])
+
+
+def test_stage_decides_by_row(spark):
+    """Rows that share an id, or have none, are judged by their own texts; columns with a helper's name stay."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    near = text[0] + " more"
+    rows = [(1, text[0], 7), (None, near, 7), (None, text[1], 7), (2, text[2], 7), (2, near, 7), (2, text[2], 8), (3, text[3], 7), (None, text[1], 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    for c in ("t", "d", "h", "rows", "rep", "_t"):
+        df = df.withColumn(c, F.lit(c))
+    out = J.one_of_each(df.repartition(3))
+    got = out.collect()
+    assert out.columns == df.columns and {r["_t"] for r in got} == {"_t"}
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, text[0]), (None, text[1]), (2, text[2]), (3, text[3])], key=str)
+    links = {(r["doc_id"], r["class_id"], r["n_links"]) for r in J.jaccard_join(df).collect()}
+    assert links == {(1, 1, 2), (None, 1, 2), (2, 1, 2), (None, None, 1), (2, 2, 1), (3, 3, 0)}
+    assert J.one_of_each(df.limit(0)).collect() == []
 
 
 def test_pruning_floor():

@@ -20,11 +20,14 @@ sampled suffixes, bucket by bucket, without losing a match:
    contexts than one task may sort (MOST) is not gathered: the strings that own
    it are hashed, and the first place of each is pre-aggregated.
 
-Order is by doc_id, then place. Matches never cross documents.
+Order is by doc_id, then place. Matches never cross documents. Long texts are
+worked on in pieces of PIECE bytes that overlap by a string's length.
 
 Defined cases: a null text is empty and loses nothing; a null id comes first;
-rows that repeat an id are one document, so they are no copies of each other;
-texts shorter than LENGTH bytes lose nothing; no documents give no rows.
+rows of one id and different texts are documents of their own, in order of a
+hash of the text; rows that repeat an id and a text are one document, so they
+are no copies of each other; texts shorter than LENGTH bytes lose nothing; no
+documents give no rows; all other columns are left alone.
 """
 
 from __future__ import annotations
@@ -34,14 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INV, _MULT, checkpointed, free_shuffles, mix, powers, raw, slices, text_column
+from .common import _INV, _MULT, checkpointed, free_names, free_shuffles, mix, powers, raw, slices, text_column, text_hash
 
 LENGTH, KGRAM = 100, 32
 #: Contexts that are sorted at once (whole grams only), and the most contexts of one gram that one task may sort.
 CHUNK, MOST = 8_000, 50_000
+#: Bytes of text whose grams are hashed at once; repeated ids that are broadcast at most.
+PIECE, FEW = 1 << 20, 1_000_000
 _FIRST = -(1 << 63)
 
 
@@ -141,65 +147,76 @@ def groups(contexts: list[bytes], left: list[int], gram: list[int], length: int
             stack.append((depth, first))
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes and offsets of texts, and where they start; a text longer than `limit` comes in pieces that hold each string once."""
+    if len(offs) > 2 or len(data) <= limit + LENGTH:
+        yield data, offs, 0
+        return
+    for at in range(0, len(data) - LENGTH + 1, limit):
+        piece = data[at : at + limit + LENGTH - 1]
+        yield piece, np.array([0, len(piece)]), at
+
+
 def found_in(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts: doc, x, key (the gram), g, lo, hi, open; those that repeat within a slice have settled (not open) and are dealt anywhere."""
+    """Anchors of all texts: doc, t, x, key (the gram), g, lo, hi, open; those that repeat within a slice have settled (not open) and are dealt anywhere. docs: doc, t, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text_column(batch), batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
-                data, offs = raw(texts[a:b])
-                f = anchors(data, offs)
-                doc = ids[a:b][f["text"]].astype(np.int64)
-                order = np.lexsort((f["x"], doc, f["g"], f["h"]))
-                h, g, d, x = f["h"][order], f["g"][order], doc[order], f["x"][order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(h)]
-                first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-                again = (d != d[first]) | (x != x[first])
-                key = np.where(again, mix(d.view(np.uint64) * np.uint64(31) + x.view(np.uint64)).view(np.int64), h)
-                back = np.lexsort((x, f["text"][order]))  # rows of one text together, which compresses better
-                cols = [d, x.astype(np.int32), key, np.where(again, 0, g), f["lo"][order].astype(np.int8), f["hi"][order].astype(np.int8), ~again]
-                yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in cols], names=["doc", "x", "key", "g", "lo", "hi", "open"])
-
-    return docs.mapInArrow(run, "doc long, x int, key long, g long, lo byte, hi byte, open boolean")
+            texts, (ids, ties) = text_column(batch), (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b in slices(texts, PIECE):
+                for data, offs, start in pieces(*raw(texts[a:b]), PIECE):
+                    f = anchors(data, offs)
+                    doc, tie, place = ids[a:b][f["text"]].astype(np.int64), ties[a:b][f["text"]].astype(np.int64), f["x"] + start
+                    order = np.lexsort((place, tie, doc, f["g"], f["h"]))
+                    h, g, d, t, x = f["h"][order], f["g"][order], doc[order], tie[order], place[order]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(h)]
+                    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+                    again = (d != d[first]) | (t != t[first]) | (x != x[first])
+                    key = np.where(again, mix(d.view(np.uint64) * np.uint64(31) + x.view(np.uint64)).view(np.int64), h)
+                    back = np.lexsort((x, f["text"][order]))  # rows of one text together, which compresses better
+                    cols = [d, t, x.astype(np.int32), key, np.where(again, 0, g), f["lo"][order].astype(np.int8), f["hi"][order].astype(np.int8), ~again]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in cols], names=["doc", "t", "x", "key", "g", "lo", "hi", "open"])
+
+    return docs.select("doc", "t", "text").mapInArrow(run, "doc long, t long, x int, key long, g long, lo byte, hi byte, open boolean")
 
 
 def settle(dealt: DataFrame) -> DataFrame:
-    """doc, first, end of removed bytes (h null), or an entry (doc, first: its place, h, lo, hi) whose gram has other entries.
+    """doc, t, first, end of removed bytes (h null), or an entry (doc, t, first: its place, h, lo, hi) whose gram has other entries.
 
-    dealt is sorted by key, g, doc, x; only the entry and the gram at hand are kept.
+    dealt is sorted by key, g, doc, t, x; only the entry and the gram at hand are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "first", "end", "h", "lo", "hi"]
-        last: tuple | None = None  # h, g, doc, x of the entry at hand
+        kinds = {"doc": pa.int64(), "t": pa.int64(), "first": pa.int32(), "end": pa.int32(), "h": pa.int64(), "lo": pa.int8(), "hi": pa.int8()}
+        last: tuple | None = None  # h, g, doc, t, x of the entry at hand
         held, many = None, False  # a gram's only entry so far; whether the gram at hand has more
 
-        def out(doc, first, end, h, lo, hi) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(h, pa.int64()), pa.array(lo, pa.int8()), pa.array(hi, pa.int8())], names=names)
+        def out(*cols) -> pa.RecordBatch:
+            none = [None] * len(cols[0])
+            return pa.RecordBatch.from_arrays([pa.array(none if c is None else c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
         for batch in batches:
-            doc, x, g, lo, hi = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
-            known = batch.column(6).to_numpy(zero_copy_only=False)
+            doc, t, x, g, lo, hi = (batch.column(i).to_numpy() for i in (0, 1, 2, 4, 5, 6))
+            known = batch.column(7).to_numpy(zero_copy_only=False)
             if not len(x):
                 continue
             x, lo, hi = x.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)
+            gone = lambda k: out(doc[k], t[k], x[k] - lo[k], x[k] - hi[k] + LENGTH, None, None, None)  # noqa: B023, E731
             rest = np.flatnonzero(~known)
             if len(rest):
-                yield out(doc[rest], x[rest] - lo[rest], x[rest] - hi[rest] + LENGTH, [None] * len(rest), [None] * len(rest), [None] * len(rest))
+                yield gone(rest)
             at = np.flatnonzero(known)
             if not len(at):
                 continue
-            h = batch.column(2).to_numpy()[at]
-            doc, x, g, lo, hi = doc[at], x[at], g[at], lo[at], hi[at]
+            h = batch.column(3).to_numpy()[at]
+            doc, t, x, g, lo, hi = doc[at], t[at], x[at], g[at], lo[at], hi[at]
             new = np.concatenate([[last is None or (h[0], g[0]) != last[:2]], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            fd, fx = doc[first], x[first]
-            fd[first < 0], fx[first < 0] = (last[2], last[3]) if last else (0, 0)
-            again = (doc != fd) | (x != fx)
+            fd, ft, fx = doc[first], t[first], x[first]
+            fd[first < 0], ft[first < 0], fx[first < 0] = last[2:] if last else (0, 0, 0)
+            again = (doc != fd) | (t != ft) | (x != fx)
             if again.any():
-                k = np.flatnonzero(again)
-                yield out(doc[k], x[k] - lo[k], x[k] - hi[k] + LENGTH, [None] * len(k), [None] * len(k), [None] * len(k))
+                yield gone(np.flatnonzero(again))
             entry = np.flatnonzero(new)
             same = np.concatenate([[last is not None and len(entry) > 0 and h[entry[0]] == last[0]], h[entry[1:]] == h[entry[:-1]]])[: len(entry)]
             shared = same | np.concatenate([same[1:], [False]])[: len(entry)]
@@ -211,41 +228,50 @@ def settle(dealt: DataFrame) -> DataFrame:
                 alone = not shared[-1] and not (same[-1])
                 k = entry[shared]
                 if len(k):
-                    yield out(doc[k], x[k], [None] * len(k), h[k], lo[k], hi[k])
+                    yield out(doc[k], t[k], x[k], None, h[k], lo[k], hi[k])
                 e = entry[-1]
-                held, many = ((doc[e], x[e], None, h[e], lo[e], hi[e]), False) if alone else (None, True)
-            last = (h[-1], g[-1], fd[-1], fx[-1])
+                held, many = ((doc[e], t[e], x[e], None, h[e], lo[e], hi[e]), False) if alone else (None, True)
+            last = (h[-1], g[-1], fd[-1], ft[-1], fx[-1])
 
-    return dealt.mapInArrow(run, "doc long, first int, end int, h long, lo byte, hi byte")
+    return dealt.mapInArrow(run, "doc long, t long, first int, end int, h long, lo byte, hi byte")
 
 
-def around(texts: DataFrame) -> DataFrame:
-    """h, doc, x, left and the bytes around each entry. texts: doc, text, entries."""
+def around(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """h, doc, t, x, before and the bytes around each entry (doc, t, first, h, lo, hi). texts: doc, t, text, one row of each."""
+    part = (F.col("first") / PIECE).cast("int")
+    gathered = entries.groupBy("doc", "t", part.alias("part")).agg(F.collect_list(F.struct("h", "first", "lo", "hi")).alias("entries"))
+    start = F.greatest(F.col("part") * PIECE - LENGTH, F.lit(0))
+    rows = texts.join(gathered, ["doc", "t"]).select("doc", "t", start.alias("start"), F.substring(F.col("text").cast("binary"), start + 1, F.lit(PIECE + 2 * LENGTH)).alias("data"), "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
-            for doc, text, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                for e in entries:
-                    for box, v in zip(out, (e["h"], doc, e["first"], e["lo"], data[e["first"] - e["lo"] : e["first"] - e["hi"] + LENGTH]), strict=True):
-                        box.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["h", "doc", "x", "before", "bytes"])
-
-    return texts.mapInArrow(run, "h long, doc long, x int, before int, bytes binary")
+            doc, t, start, data, lists = batch.columns
+            many = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), many)
+            h, first, lo, hi = lists.flatten().flatten()
+            a = first.to_numpy() - lo.to_numpy() - start.to_numpy()[owner]
+            b = a + lo.to_numpy().astype(np.int64) - hi.to_numpy() + LENGTH
+            cut, held, of = [], b"", -1
+            for i, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
+                if i != of:
+                    held, of = data[i].as_py(), i
+                cut.append(held[x:y])
+            yield pa.RecordBatch.from_arrays([h, doc.take(pa.array(owner)), t.take(pa.array(owner)), first, lo.cast(pa.int32()), pa.array(cut, pa.binary())], names=["h", "doc", "t", "x", "before", "bytes"])
+
+    return rows.mapInArrow(run, "h long, doc long, t long, x int, before int, bytes binary")
 
 
 def repeats(sorted_contexts: DataFrame) -> DataFrame:
-    """doc, first, end of what the maximal repeats of each gram remove. Rows come sorted by h."""
+    """doc, t, first, end of what the maximal repeats of each gram remove. Rows come sorted by h."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        where = [(r[1], r[2]) for r in rows]
+        where = [r[1:4] for r in rows]
         out = set()
-        for some, _, least, most in groups([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows]):
+        for some, _, least, most in groups([r[5] for r in rows], [r[4] for r in rows], [r[0] for r in rows]):
             first = min(where[i] for i in some)
             out.update((*where[i], least, most) for i in some if where[i] != first)
-        cols = list(zip(*((d, x - most, x - least + LENGTH) for d, x, least, most in out), strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc", "first", "end"])
+        cols = list(zip(*((d, t, x - most, x - least + LENGTH) for d, t, x, least, most in out), strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc", "t", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -258,98 +284,128 @@ def repeats(sorted_contexts: DataFrame) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return sorted_contexts.mapInArrow(run, "doc long, first int, end int")
+    return sorted_contexts.mapInArrow(run, "doc long, t long, first int, end int")
 
 
 def windows(contexts: DataFrame) -> DataFrame:
-    """w, doc, start: every string of LENGTH bytes that a context's text owns, by a 128-bit hash."""
+    """w, doc, t, start: every string of LENGTH bytes that a context's text owns, by a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, doc, start = [], [], []
-            for _, d, x, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w, doc, tie, start = [], [], [], []
+            for _, d, t, x, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i in range(len(data) - LENGTH + 1):
                     w.append(hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest())
                     doc.append(d)
+                    tie.append(t)
                     start.append(x - before + i)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], names=["w", "doc", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(start, pa.int32())], names=["w", "doc", "t", "start"])
 
-    return contexts.mapInArrow(run, "w binary, doc long, start int")
+    return contexts.mapInArrow(run, "w binary, doc long, t long, start int")
 
 
 def repeats_of_common(contexts: DataFrame) -> DataFrame:
-    """doc, first, end of what grams of over MOST contexts remove: their strings are hashed and the first place of each is pre-aggregated, so no task gathers a gram."""
+    """doc, t, first, end of what grams of over MOST contexts remove: their strings are hashed and the first place of each is pre-aggregated, so no task gathers a gram."""
     every = windows(contexts)
-    first = every.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("least"))
-    later = every.join(first, "w").where(F.struct("doc", "start") != F.col("least"))
-    return later.select("doc", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("end"))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc (id, a null as the least long), first, end: byte ranges to remove; they may overlap. docs: doc_id, text."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = found_in(texts).repartition("key").sortWithinPartitions("open", "key", "g", "doc", "x")
+    place = F.struct("doc", "t", "start")
+    first = every.groupBy("w").agg(F.min(place).alias("least"))
+    later = every.join(first, "w").where(place != F.col("least"))
+    return later.select("doc", "t", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("end"))
+
+
+def keyed(docs: DataFrame, doc: str, t: str) -> tuple[DataFrame, DataFrame]:
+    """docs with the columns doc (id, a null as the least long) and t (0, or a hash of the text where an id has several texts); and doc, t, text of each document once."""
+    whole = docs.withColumn(doc, F.coalesce("doc_id", F.lit(_FIRST)))
+    h = text_hash()
+    some = whole.groupBy(doc).agg(F.count(F.lit(1)).alias("rows"), F.min(h).alias("a"), F.max(h).alias("b")).where("rows > 1").select(doc, (F.col("a") != F.col("b")).alias(t))
+    some = checkpointed(some)
+    n = some.count()
+    if n:
+        several = F.broadcast(some) if n <= FEW else some
+        whole = whole.join(several, doc, "left")
+    else:
+        whole = whole.withColumn(t, F.lit(None).cast("boolean"))
+    text = F.coalesce("text", F.lit(""))
+    tie = F.when(F.col(t), h).otherwise(F.lit(0).cast("long"))
+    texts = whole.where(F.col(t).isNull()).select(F.col(doc).alias("doc"), tie.alias("t"), text.alias("text"))
+    if n:
+        texts = texts.unionByName(whole.where(F.col(t).isNotNull()).select(F.col(doc).alias("doc"), tie.alias("t"), text.alias("text")).dropDuplicates(["doc", "t"]))
+    return whole.withColumn(t, tie), texts
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """doc, t, first, end: byte ranges to remove; they may overlap. texts: doc, t, text of each document."""
+    dealt = found_in(texts).repartition("key").sortWithinPartitions("open", "key", "g", "doc", "t", "x")
     found = checkpointed(settle(dealt))
     del dealt
-    free_shuffles(docs.sparkSession)
+    free_shuffles(texts.sparkSession)
     open_ = found.where(F.col("h").isNotNull())
     common = checkpointed(open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("h"))
-    gather = lambda rows: around(texts.join(rows.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "lo", "hi")).alias("entries")), "doc").select("doc", "text", "entries"))
-    removed = found.where(F.col("h").isNull()).select("doc", "first", "end")
+    removed = found.where(F.col("h").isNull()).select("doc", "t", "first", "end")
     if not common.isEmpty():
-        removed = removed.unionByName(checkpointed(repeats_of_common(gather(open_.join(common, "h", "left_semi")))))
+        removed = removed.unionByName(checkpointed(repeats_of_common(around(texts, open_.join(common, "h", "left_semi")))))
         open_ = open_.join(common, "h", "left_anti")
-    more = checkpointed(repeats(gather(open_).repartition("h").sortWithinPartitions("h")))
-    free_shuffles(docs.sparkSession)
+    more = checkpointed(repeats(around(texts, open_).repartition("h").sortWithinPartitions("h")))
+    free_shuffles(texts.sparkSession)
     return removed.unionByName(more)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with a column _spans of removable byte ranges (null: none)."""
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
-    key = F.coalesce(docs["doc_id"], F.lit(_FIRST))
-    return docs.join(spans, key == spans["doc"], "left").drop("doc")
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, of removable byte ranges (null: none), and its name."""
+    doc, t, d, h, name = free_names(docs.columns, "doc", "t", "d", "h", "spans")
+    whole, texts = keyed(docs, doc, t)
+    spans = repeated_spans(texts).groupBy("doc", "t").agg(F.collect_list(F.struct("first", "end")).alias(name)).withColumnsRenamed({"doc": d, "t": h})
+    return whole.join(spans, (whole[doc] == spans[d]) & (whole[t] == spans[h]), "left").drop(doc, t, d, h), name
 
 
-def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
-    """What is left of data, and the number of maximal removed runs."""
-    if not spans:
+def cut(data: bytes, first: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """What is left of data without the ranges first to end, and the number of maximal removed runs."""
+    if not len(first):
         return data, 0
-    kept, at, n = [], 0, 0
-    for a, b in sorted((s["first"], s["end"]) for s in spans):
-        if n == 0 or a > at:
-            n += 1
-            kept.append(data[at:a])
-        at = max(at, b)
-    return b"".join([*kept, data[at:]]), n
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], a[1:] > b[:-1]])
+    starts, ends = a[new], b[np.concatenate([new[1:], [True]])]
+    edges = [0, *np.column_stack([starts, ends]).ravel().tolist(), len(data)]
+    return b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)), len(starts)
+
+
+def cut_all(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes | None, bytes, int]]:
+    """Each text, what is left of it, and the number of its removed runs."""
+    many = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    first, end = (c.to_numpy().astype(np.int64) for c in spans.flatten().flatten())
+    ends = np.cumsum(many)
+    for text, a, b in zip(texts, (ends - many).tolist(), ends.tolist(), strict=True):
+        data = text.as_py()
+        data = None if data is None else data.encode()
+        yield (data, *cut(data or b"", first[a:b], end[a:b]))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
-    rows = with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows, name = with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = text.encode()
-                kept, n = cut(data, spans)
+            for data, kept, n in cut_all(batch.column(1), batch.column(2)):
                 for box, v in zip(out, (len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
                     box.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", name).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with their texts cut (characters of which bytes are removed go as a whole) and n_chars after them; all columns are kept."""
-    rows = with_spans(docs)
+    rows, name = with_spans(docs)
     names = docs.columns
     at, last = names.index("text"), len(names)
+    rows = rows.select(*names, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+            texts = [None if data is None else kept.decode("utf-8", "ignore") for data, kept, _ in cut_all(batch.column(at), batch.column(last))]
             cols = [*batch.columns[:last]]
             cols[at] = pa.array(texts, pa.string())
             if "n_chars" in names:  # the documents' own column of text lengths follows

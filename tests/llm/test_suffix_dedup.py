@@ -47,6 +47,31 @@ def test_repeats(spark, monkeypatch, most):
     same(spark, rows)
 
 
+def test_same_id_and_different_texts(spark, monkeypatch):
+    """Rows of one id, or of none, lose only what their own texts repeat; very long texts come in pieces."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "PIECE", 1000)
+    rng = random.Random(8)
+    a, b, c, d = ("".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (400, 400, 300, 5000))
+    rows = [(1, a), (5, b), (5, a), (5, b), (None, c), (None, b[:200]), (None, c), (7, d), (8, d[700:4100] + c), (9, d[:90] + a[50:350])]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int").repartition(3)
+    order = {}  # a document is an id and a text; texts of one id are in order of their hash
+    hashes = dict(df.select("text", F.xxhash64("text")).collect())
+    for i, t in rows:
+        order[(i is not None, i or 0, hashes[t])] = t
+    want = {(k[1] if k[0] else None, order[k]): v for k, v in brute([((n,), order[k]) for n, k in enumerate(sorted(order))]).items() for k in [sorted(order)[k[0]]]}
+    got = S.suffix_dedup(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *want[i, t]) for i, t in rows), key=str)
+    for name in ("doc", "t", "d", "h", "_spans", "_doc", "spans"):
+        df = df.withColumn(name, F.lit(1))
+    out = S.without_repeats(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert r["n_chars"] == len(r["text"]) and r["_spans"] == r["doc"] == 1
+    assert sorted(len(r["text"]) for r in out.where("doc_id = 5").collect())[-1] >= 200
+
+
 def test_stage_keeps_columns(spark):
     df = docs(spark).withColumnRenamed("score", "n_chars")
     out = S.without_repeats(df)

@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from cases import ODD, docs, none, words
@@ -117,6 +119,54 @@ def test_chains(spark):
     assert len(row[0]["s"]) == 3 and len(row[1]["s"]) == 5
 
 
+def held(text, item, equal=D.EQUAL, share=D.SHARE):
+    """Most equal words of a stretch that counts, over all places of the item and all stretches; 0 if none counts."""
+    need, best = D.needed(len(item), equal, share), 0
+    if len(item) < D.SHORTEST:
+        return len(item) if item and text == item else 0
+    for d in range(1 - len(item), len(text)):
+        same = [0 <= d + k < len(text) and text[d + k] == w for k, w in enumerate(item)]
+        for a in range(len(item)):
+            for b in range(a + need, len(item) + 1):
+                n = sum(same[a:b])
+                if n >= need and n >= share * (b - a) - 1e-9:
+                    best = max(best, n)
+    return best
+
+
+def test_masks_lose_nothing():
+    """Every placement of the substitutions that the rule allows leaves a seed."""
+    for n in range(D.SHORTEST, 21):
+        need = D.needed(n) if n <= 17 else -(-7 * n // 10)
+        bad = np.array(list(itertools.combinations(range(n), n - need)), int)
+        same = np.ones((len(bad), n), bool)
+        if n > need:
+            np.put_along_axis(same, bad, False, axis=1)
+        found = np.zeros(len(bad), bool)
+        for m in D.MASKS if n > D.SHORTEST else ("1" * n,):
+            at = np.flatnonzero([x == "1" for x in m])
+            for k in range(n - len(m) + 1):
+                found |= same[:, at + k].all(axis=1)
+        assert found.all(), n
+
+
+def test_decontamination_against_definition(spark):
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (1, 2, 4, 5, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 18, 20, 25, 31)]
+    rows = []
+    for i in range(150):
+        item = rng.choice(items)
+        a = rng.randrange(len(item)) if rng.random() < 0.3 else 0
+        part = [w if rng.random() > rng.choice([0.0, 0.2, 0.3, 0.4]) else f"z{rng.randrange(9)}" for w in item[a:]]
+        pad = lambda: [f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 0, 3, 30]))]
+        rows.append((i, " ".join(pad() + part + pad())))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["equal"] for r in D.contaminated(df, bench).collect()}
+    want = {(i, k): n for i, t in rows for k, x in enumerate(items) if (n := held(t.split(), x))}
+    assert got == want and len(want) > 60
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     item = [f"b{rng.randrange(9999)}" for _ in range(40)]
@@ -125,15 +175,20 @@ def test_decontamination(spark):
     noise = lambda n: [f"n{rng.randrange(99999)}" for _ in range(n)]
     rows = [
         (1, " ".join(noise(50) + item + noise(30))), (2, " ".join(noise(9) + changed)), (3, " ".join(noise(200))), (4, " ".join(noise(5) + short + noise(5)).upper()),
-        (5, None), (6, ""), (7, " ".join(item[:6] + noise(50))), (8, " ".join(noise(3000) + item[10:35])), (1, " ".join(item)), (None, " ".join(item)),
+        (5, None), (6, ""), (7, " ".join(item[:6] + noise(50))), (8, " ".join(noise(200_000) + item[10:35])), (1, " ".join(item)), (None, " ".join(item)), (9, "A  b!"), (10, "a b c"), (None, "other words"), (1, "not this"),
     ]
     bench = spark.createDataFrame([(100, " ".join(item), 1), (101, " ".join(short), 1), (102, None, 1), (103, "a b", 1), (100, " ".join(item), 1)], "item_id long, text string, doc_id int")
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(df, bench).collect()}
-    assert set(got) == {(1, 100), (2, 100), (4, 101), (8, 100), (None, 100)}
+    assert set(got) == {(1, 100), (2, 100), (4, 101), (8, 100), (None, 100), (9, 103)}
     assert got[1, 100]["equal"] == 40 and got[1, 100]["coverage"] == 1.0 and got[8, 100]["equal"] == 25
-    assert sorted(r["doc_id"] for r in D.clean(df, bench).collect()) == [3, 5, 6, 7]
+    for c in ("t", "d", "h", "_t", "item_id", "equal", "end_word"):
+        df = df.withColumn(c, F.lit(c))
+    out = D.clean(df, bench)
+    assert out.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"] in ("not this", "other words")) for r in out.collect()) == [("1", True), ("10", False), ("3", False), ("5", False), ("6", False), ("7", False), ("None", True)]
     assert D.contaminated(df.limit(0), bench).collect() == [] and D.contaminated(df, bench.limit(0)).collect() == []
+    assert D.clean(df.limit(0), bench).collect() == [] and D.clean(df, bench.limit(0)).count() == len(rows)
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):

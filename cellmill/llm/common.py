@@ -23,15 +23,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of one file of a checkpoint whose size is known.
+FILE_ROWS = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with its lineage cut by files in the shared folder of spark.checkpoint.dir.
 
-    A folder of our own is set only where the session has none (tests).
+    rows: a bound on the rows of df, where one is known; few rows then go to
+    few files, whatever the number of shuffle partitions. A folder of our own
+    is set only where the session has none (tests).
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/cellmill-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(-(-rows // FILE_ROWS) or 1)).checkpoint()
 
 
 def free_shuffles(spark: SparkSession) -> None:

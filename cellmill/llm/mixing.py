@@ -7,14 +7,17 @@
 3. A source takes every document floor(target / words) times. What is left of
    the target is shared over lengths in proportion, then filled by seeded
    single documents, and the last words are fitted by a bounded-knapsack
-   dynamic program over lengths (a bit set of reachable sums).
-4. Of each length, the documents with the smallest seeded hashes are selected:
-   the hash of the last one is found inside one slice of the hash range, so
-   that a hot source and length is never sorted in one task.
+   dynamic program over lengths (a bit set of reachable sums): at least the
+   last FITTED words, and the last four of the longest documents.
+4. Of each length, the documents with the smallest seeded hashes of id and
+   text are selected: the hash of the last one is found inside one slice of
+   the hash range, so that a hot source and length is never sorted in one task.
 
 Defined cases: a null text has size 0; a null source ranks last; documents of
-size 0 take 0 words; rows that repeat an id and a text are taken together;
-no documents give no rows.
+size 0 take 0 words; rows that repeat an id and a text are taken together (of
+one id and different texts, each on its own); ties of length are broken by the
+hash; a very long text is one document of its length; no documents give no
+rows; all columns but those that the result adds are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,39 +29,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..plans.ordering import dense_position
+from .common import checkpointed, free_names, text_hash
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3.0, 20240
-#: Documents of one slice of the hash range; words that the dynamic program fits at most.
-SLICE, FITTED = 5_000, 1 << 16
+#: Documents of one slice of the hash range; words that the dynamic program fits at least.
+SLICE, FITTED = 1_000, 1 << 16
+#: Sources that one task may number (more are numbered by ranges), and lengths of sources that are broadcast at most.
+FEW = 100_000
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """docs with size (words by ASCII white space) and the seeded hash h, not negative."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumns({"size": size, "h": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(SEED)), 1)})
+def with_size(docs: DataFrame, size: str, h: str) -> DataFrame:
+    """docs with the columns size (words by ASCII white space) and h (the seeded hash, not negative)."""
+    blank = " \t\n\x0b\x0c\r"
+    each = F.regexp_replace(F.rtrim(F.col("text"), F.lit(blank)), f"[{blank}]*+[^{blank}]++", "x")  # a letter a word
+    words = F.coalesce(F.length(each), F.lit(0)).cast("long")
+    return docs.withColumns({size: words, h: F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text_hash(), F.lit(SEED)), 1)})
 
 
 def targets(hist: DataFrame) -> DataFrame:
-    """source, source_size, target: the level of a water-filling by weight under the caps, in two running sums over sources."""
+    """source, source_size, target: a water-filling by weight under the caps.
+
+    The level rises until no more sources are capped below it; each round is
+    one aggregate over sources, so no task holds all of them.
+    """
     sums = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    cap = F.col("source_size") * MOST
-    by = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    every = Window.partitionBy()
-    before = lambda c: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) - F.col(c)  # noqa: E731  a growing frame is linear
-    level = (F.sum("source_size").over(every) - before("cap")) / (F.sum("weight").over(every) - before("weight"))
-    ranked = sums.withColumns({"rank": rank, "weight": weight, "cap": cap})
-    return ranked.withColumn("level", level).withColumn("target", F.least("cap", F.max("level").over(every) * F.col("weight"))).select("source", "source_size", "target")
+    many = sums.count()
+    if many > FEW:
+        ranked = dense_position(sums, [F.col("source").isNull(), F.col("source")], "rank")
+    else:
+        ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    rows = checkpointed(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("cap")), many)
+    total, level, last = None, 0.0, -1.0
+    while level > last:
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        r = rows.agg(F.sum("source_size").alias("total"), F.sum(F.when(capped, F.col("cap"))).alias("capped"), F.sum(F.when(~capped, F.col("weight"))).alias("weight")).first()
+        total, last = r["total"] or 0, level
+        level = max(level, (total - (r["capped"] or 0.0)) / r["weight"]) if total and r["weight"] else level
+    return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def knapsack(lengths: list[int], counts: list[int], goal: int) -> dict[int, int]:
-    """How many of each length come nearest to goal from below; exact if the goal can be reached."""
-    mask = (1 << (goal + 1)) - 1
+    """How many of each length come nearest to goal (of two as near, from below); exact if the goal can be reached."""
+    most = goal + max(lengths, default=0)
+    mask = (1 << (most + 1)) - 1
     reach, pieces, before = 1, [], []
     for length, count in zip(lengths, counts, strict=True):
-        count = min(count, goal // length)
+        count = min(count, most // length)
         step = 1
         while count and not reach >> goal & 1:
             step = min(step, count)
@@ -69,7 +87,11 @@ def knapsack(lengths: list[int], counts: list[int], goal: int) -> dict[int, int]
             step *= 2
         if reach >> goal & 1:
             break
-    at, out = reach.bit_length() - 1, {}
+    above = reach >> goal
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    if above and (above & -above).bit_length() - 1 < goal - at:
+        at = goal + (above & -above).bit_length() - 1
+    out: dict[int, int] = {}
     for (length, step), old in zip(reversed(pieces), reversed(before), strict=True):
         if not old >> at & 1:
             out[length] = out.get(length, 0) + step
@@ -87,22 +109,22 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float, seed: str) -> tupl
     extra = np.where(sizes > 0, (counts * (budget / total)).astype(np.int64), 0)
     left = budget - int((sizes * extra).sum())
     order = np.array(random.Random(seed).sample(range(len(sizes)), len(sizes)))
-    while left > FITTED:
-        free = order[(extra[order] < counts[order]) & (sizes[order] > 0) & (sizes[order] <= left)]
-        free = free[np.cumsum(sizes[free]) <= left - FITTED // 2]
+    fitted = max(FITTED, 4 * int(sizes.max()))
+    while left > fitted:
+        free = order[(extra[order] < counts[order]) & (sizes[order] > 0)]
+        free = free[np.cumsum(sizes[free]) <= left - fitted // 2]
         if not len(free):
             break
         extra[free] += 1
         left -= int(sizes[free].sum())
-    goal = min(left, 4 * FITTED)
-    open_ = [i for i in order if 0 < sizes[i] <= goal and extra[i] < counts[i]]
-    found = knapsack([int(sizes[i]) for i in open_], [int(counts[i] - extra[i]) for i in open_], goal) if goal > 0 else {}
+    open_ = [i for i in order if sizes[i] > 0 and extra[i] < counts[i]]
+    found = knapsack([int(sizes[i]) for i in open_], [int(counts[i] - extra[i]) for i in open_], left) if left > 0 else {}
     return whole, extra + np.array([found.get(int(s), 0) for s in sizes], np.int64)
 
 
-def plan(sized: DataFrame) -> DataFrame:
+def plan(sized: DataFrame, rows: int) -> DataFrame:
     """For each source and size: source_size, target, n documents, whole copies of all, extra documents with one copy more."""
-    hist = checkpointed(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    hist = checkpointed(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), rows)
     goal = targets(hist).withColumnRenamed("source", "own")
     rows = hist.join(goal, hist["source"].eqNullSafe(goal["own"])).drop("own")
 
@@ -128,15 +150,21 @@ def cuts(sized: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target and copies (0 to 3), all other columns kept."""
-    sized = checkpointed(with_size(docs.select("doc_id", "text", "source")).select("source", "size", "h"))
-    planned = checkpointed(plan(sized))
+    """docs (doc_id, text, source, ...) with size, source_size, target and copies (0 to 3); all other columns are kept."""
+    sized = checkpointed(with_size(docs.select("doc_id", "text", "source"), "size", "h").select("source", "size", "h"))
+    rows = sized.count()
+    planned = checkpointed(plan(sized, rows).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism))
+    most = planned.count()
     last = cuts(sized, planned)
-    chosen = planned.join(last, planned["source"].eqNullSafe(last["s3"]) & (planned["size"] == last["z3"]), "left").select(F.col("source").alias("s1"), F.col("size").alias("z1"), "source_size", "target", "whole", "extra", "n", "cut")
-    chosen = checkpointed(chosen)
-    rows = with_size(docs.drop("size", "source_size", "target", "copies", "h"))
-    more = F.when(F.col("extra") >= F.col("n"), 1).when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(chosen, rows["source"].eqNullSafe(chosen["s1"]) & (rows["size"] == chosen["z1"])).withColumn("copies", F.col("whole") + more).drop("s1", "z1", "whole", "extra", "n", "cut", "h")
+    chosen = planned.join(last, planned["source"].eqNullSafe(last["s3"]) & (planned["size"] == last["z3"]), "left")
+    rows = docs.drop("size", "source_size", "target", "copies")
+    h, s1, z1, x = free_names([*rows.columns, "size", "source_size", "target", "copies"], "h", "s1", "z1", "x")
+    chosen = checkpointed(chosen.select(F.col("source").alias(s1), F.col("size").alias(z1), F.struct("source_size", "target", "whole", "extra", "n", "cut").alias(x)), most)
+    rows = with_size(rows, "size", h)
+    more = F.when(F.col(f"{x}.extra") >= F.col(f"{x}.n"), 1).when(F.col(h) <= F.col(f"{x}.cut"), 1).otherwise(0)
+    chosen = F.broadcast(chosen) if most <= FEW else chosen
+    joined = rows.join(chosen, rows["source"].eqNullSafe(chosen[s1]) & (rows["size"] == chosen[z1]))
+    return joined.withColumns({"source_size": F.col(f"{x}.source_size"), "target": F.col(f"{x}.target"), "copies": F.col(f"{x}.whole") + more}).drop(s1, z1, x, h)
 
 
 def mixing(docs: DataFrame) -> DataFrame:

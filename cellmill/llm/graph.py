@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node of edges (a, b); a root is any node of the component.
+def components(edges: DataFrame, nodes: int, most: int) -> DataFrame:
+    """node, root of every node of edges (a, b); a root is any node of the component. nodes, most: bounds on the nodes and edges.
 
     Nodes should be hashes, so that chains of ever smaller nodes are short: a
     round then shrinks every chain by a constant factor, and a star whose
@@ -20,16 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
     component. No edges give no rows.
     """
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left, hooks = both, []
+    left, hooks, rows = both, [], min(nodes, 2 * most)
     for _ in range(1_000):
-        hook = checkpointed(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("child"), F.least("a", "b").alias("parent")))
-        if hook.isEmpty():
+        hook = checkpointed(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("child"), F.least("a", "b").alias("parent")), rows)
+        rows = hook.count()
+        if not rows:
             break
         hooks.append(hook)
         up, over = hook.select(F.col("child").alias("a"), F.col("parent").alias("pa")), hook.select(F.col("child").alias("b"), F.col("parent").alias("pb"))
-        left = checkpointed(left.join(up, "a").join(over, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-        if left.isEmpty():
+        left = checkpointed(left.join(up, "a").join(over, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), 2 * most)
+        most = left.count()
+        if not most:
             break
+        rows = min(rows, most)
     else:
         raise RuntimeError("components did not settle")
     if not hooks:

@@ -213,25 +213,26 @@ def units_of(docs: DataFrame, member: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, t, rep (what stands for the class: none (no id), doc_id, t, rows), n_links, n_copies of every row of docs (doc_id, text)."""
     base = checkpointed(sign(docs))
+    rows = base.count()
     same = base.groupBy("k", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rows")
-    texts = checkpointed(same.groupBy("k").agg(F.min(rep).alias("rep"), F.sum("rows").alias("copies"), F.max("n").alias("n")))
+    texts = checkpointed(same.groupBy("k").agg(F.min(rep).alias("rep"), F.sum("rows").alias("copies"), F.max("n").alias("n")), rows)
     keys = base.select("k", F.explode("bands").alias("band"))
-    stars = checkpointed(keys.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least"))
+    stars = checkpointed(keys.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least"), rows * BANDS)
     edges = keys.join(stars, "band").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b")).distinct()
-    groups = components(edges)
+    groups = components(edges, rows, rows * BANDS)
 
     member = texts.join(groups, texts["k"] == groups["node"]).select("rep", "k", "copies", "n", F.col("root").alias("comp"))
-    sizes = checkpointed(member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
-    units = units_of(docs, checkpointed(member.join(sizes, "comp")))
+    sizes = checkpointed(member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), rows)
+    units = units_of(docs, checkpointed(member.join(sizes, "comp"), rows))
     free_shuffles(docs.sparkSession)
     found = checkpointed(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "k")))
 
-    roots = components(found.where(F.col("b").isNotNull()).select("a", "b"))
+    roots = components(found.where(F.col("b").isNotNull()).select("a", "b"), rows, found.count())
     degree = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     named = texts.join(roots, texts["k"] == roots["node"], "left").join(degree, texts["k"] == degree["a"], "left").select("k", "rep", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = checkpointed(named)
-    least = checkpointed(named.groupBy("root").agg(F.min("rep").alias("least")))
+    named = checkpointed(named, rows)
+    least = checkpointed(named.groupBy("root").agg(F.min("rep").alias("least")), rows)
     found = named.join(least, "root").select("k", F.col("least").alias("rep"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     return base.join(found, "k").select("doc_id", "t", "rep", "n_links", "n_copies")
 
@@ -244,7 +245,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each class of near copies, that of the least id (of its texts, the one of the least hash); all columns are kept."""
     rows = classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    one = checkpointed(rows.where(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.t"))).select("rep").distinct())
+    one = rows.where(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.t"))).select("rep").distinct()
+    one = checkpointed(one.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism))  # three numbers a class
     t, d, h = free_names(docs.columns, "t", "d", "h")
     whole = docs.withColumn(t, text_hash())
     stay = one.select(F.col("rep.doc_id").alias(d), F.col("rep.t").alias(h), F.col("rep.rows").alias("rows"))

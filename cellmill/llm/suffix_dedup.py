@@ -318,9 +318,9 @@ def keyed(docs: DataFrame, doc: str, t: str) -> tuple[DataFrame, DataFrame]:
     whole = docs.withColumn(doc, F.coalesce("doc_id", F.lit(_FIRST)))
     h = text_hash()
     some = whole.groupBy(doc).agg(F.count(F.lit(1)).alias("rows"), F.min(h).alias("a"), F.max(h).alias("b")).where("rows > 1").select(doc, (F.col("a") != F.col("b")).alias(t))
-    some = checkpointed(some)
     n = some.count()
     if n:
+        some = checkpointed(some, n)
         several = F.broadcast(some) if n <= FEW else some
         whole = whole.join(several, doc, "left")
     else:
@@ -340,9 +340,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     del dealt
     free_shuffles(texts.sparkSession)
     open_ = found.where(F.col("h").isNotNull())
-    common = checkpointed(open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("h"))
+    common = open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("h")
     removed = found.where(F.col("h").isNull()).select("doc", "t", "first", "end")
-    if not common.isEmpty():
+    if n := common.count():
+        common = checkpointed(common, n)
         removed = removed.unionByName(checkpointed(repeats_of_common(around(texts, open_.join(common, "h", "left_semi")))))
         open_ = open_.join(common, "h", "left_anti")
     more = checkpointed(repeats(around(texts, open_).repartition("h").sortWithinPartitions("h")))

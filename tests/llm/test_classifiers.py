@@ -1,5 +1,10 @@
+import math
 import random
+import time
+from collections import Counter
 
+import numpy as np
+import pytest
 from cases import ODD, docs, none
 from pyspark.sql import functions as F
 
@@ -68,9 +73,79 @@ def best(scores, at=0):
 
 def test_segments_against_definition():
     rng = random.Random(3)
-    for _ in range(300):
-        n = rng.randint(1, 25)
-        full = [rng.choice([2.3, 1.1, 3.7]) + rng.random() / 100 if rng.random() < 0.3 else -T.DRIFT for _ in range(n)]
-        places = [i for i, s in enumerate(full) if s > 0]
-        got = [(a, b, round(s, 9)) for a, b, s in T.segments(places, [full[i] for i in places])]
+    for _ in range(400):
+        n = rng.randint(0, 25)
+        full = [rng.choice([2.3, 1.1, 3.7]) + rng.random() / 100 if rng.random() < 0.3 else -rng.random() - 0.01 for _ in range(n)]
+        got = [(a, b, round(s, 9)) for a, b, s in T.segments(np.array(full))]
         assert got == best(full)
+
+
+def test_scan_is_linear():
+    """Falling, rising and alternating sums take time in proportion to the scores."""
+    n = 200_000
+    for scores in ([1.0, -2.0] * n, [2.0, -1.0] * n, [1.0 + k / n - (k % 2) * 2.0 for k in range(2 * n)], [3.0, -1.0] * (n // 2) + [1.0, -2.0] * (n // 2)):
+        begun = time.process_time()
+        T.scan(scores)
+        assert time.process_time() - begun < 5
+
+
+def test_toxicity_against_definition(spark):
+    """Odds, law, curve and scores of a small sample, computed word by word."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        y = int(i % 3 == 0)
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(5, 40))]
+        for _ in range(3 * y):
+            words.insert(rng.randrange(len(words)), rng.choice(["foul", "vile"]))
+        rows.append((i, " ".join(words), y))
+    rows += [(60, "", 0), (61, None, 1), (62, "foul foul vile foul " * 50, 1), (62, "w1 w1 w2", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+    tokens, texts = [Counter(), Counter()], [Counter(), Counter()]
+    for _, t, y in rows:
+        tokens[y].update((t or "").split())
+        texts[y].update(set((t or "").split()))
+    n = [sum(c.values()) for c in tokens]
+    every = T.PRIOR * sum(n)
+    odds = {}
+    for w in tokens[0] | tokens[1]:
+        p, q = T.PRIOR * (tokens[0][w] + tokens[1][w]), T.PRIOR * (texts[0][w] + texts[1][w])
+        logit = [math.log((tokens[y][w] + p) / (n[y] + every - tokens[y][w] - p)) for y in (0, 1)]
+        d = logit[1] - logit[0]
+        doubt = T.DOUBT * math.sqrt(sum(1 / (texts[y][w] + q) for y in (0, 1)))
+        odds[w] = max(-T.HIGHEST, min(T.HIGHEST, math.copysign(max(0.0, abs(d) - doubt), d)))
+
+    def scored(t):
+        words = (t or "").split()
+        return words, [(0.0 if k and words[k - 1] == w else odds[w]) - T.DRIFT for k, w in enumerate(words)]
+
+    assert sum(tokens[0][w] / n[0] * math.exp(model.rate * (odds[w] - T.DRIFT)) for w in tokens[0]) == pytest.approx(1, abs=1e-4) or model.rate == 1.0
+    found = []
+    for _, t, y in rows:
+        words, s = scored(t)
+        if len(words) > 60:  # too long for the definition
+            found.append(None)
+            continue
+        found.append((best(s), words, s))
+    clean = sorted(math.floor(x[2] * 100 + 1e-7) / 100 for f, r in zip(found, rows) if not r[2] and f for x in f[0])
+    if clean:
+        x0 = max(x for x in clean if sum(v >= x for v in clean) >= len(clean) * (1 - T.TAIL))
+        assert model.size == pytest.approx(sum(v >= x0 for v in clean) / n[0] * math.exp(model.rate * x0), rel=0.05)
+    got = {(r["doc_id"], r["text"]): r["score"] for r in T.passages(df, model).join(df, "doc_id").where("doc_id < 62").collect()}
+    for f, (i, t, _) in zip(found, rows):
+        if f is None or i == 62:
+            continue
+        own = {}
+        for a, b, v in f[0]:
+            key = tuple(w for w, s in zip(f[1][a : b + 1], f[2][a : b + 1]) if s > 0)
+            own[key] = max(own.get(key, 0.0), v)
+        total = top = 0.0
+        space = math.log(max(model.size * max(len(f[1]), 1), 1.0))
+        for r, v in enumerate(sorted(own.values(), reverse=True), 1):
+            total += model.rate * v - space
+            top = max(top, total + math.log(math.factorial(r)))
+        assert got[i, t] == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log1p(top) + model.level))), abs=1e-3)
+    long = T.passages(df.where("doc_id = 62 AND length(text) > 50"), model).collect()[0]
+    assert long["score"] > 0.5 and len(long["passages"]) >= 1

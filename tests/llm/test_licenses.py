@@ -1,5 +1,10 @@
+import random
+import time
+import tracemalloc
+
 import pytest
 from cases import ODD, docs, none, words
+from pyspark.sql import functions as F
 
 from cellmill.llm import licenses as L
 
@@ -31,6 +36,11 @@ def test_overlapping_phrases():
         ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl"], 0.7, "GPL-2.0 Classpath-exception-2.0 with"),
         ("MIT and then some text", ["mit"], 0.9, "MIT"),
         ("BSD-3-Clause */ int x", ["bsd"], 0.9, "BSD-3-Clause"),
+        ("Artistic-2.0 OR MIT", ["artistic", "mit"], 0.9, "Artistic-2.0 MIT or"),
+        ("WTFPL", ["wtfpl"], 1.0, "WTFPL"),
+        ("Foo-1.1+ AND (ISC or MIT)", ["foo-1.1", "isc", "mit"], 0.5, "Foo-1.1+ ISC MIT or and"),
+        ("MIT AND SEE the file", ["mit"], 0.9, "MIT"),
+        ("MIT AND\nGPL-2.0", ["mit"], 0.9, "MIT"),
     ],
 )
 def test_expressions(text, labels, openness, form):
@@ -48,3 +58,65 @@ def test_tag():
 
 def test_empty(spark):
     assert L.license_scan(none(spark)).collect() == []
+
+
+def brute_expression(tokens):
+    """Value and labels by recursive descent: or binds least, then and, then with."""
+    def level(at, ops=("or", "and", "with")):
+        if not ops:
+            if tokens[at] == "(":
+                value, at = level(at + 1)
+                return value, at + 1
+            return L.operand(tokens[at])[1] if tokens[at - 1].lower() != "with" else 0.0, at + 1
+        value, at = level(at, ops[1:])
+        while at < len(tokens) and tokens[at].lower() == ops[0]:
+            other, at = level(at + 1, ops[1:])
+            value = max(value, other) if ops[0] == "or" else min(value, other) if ops[0] == "and" else value + (1 - value) / 2
+        return value, at
+
+    return level(0)[0]
+
+
+def test_expressions_against_descent():
+    rng = random.Random(2)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = rng.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "CC-BY-NC-4.0", "Foo-2", "ISC"])
+            return [name, rng.choice(["with", "WITH"]), "Classpath-exception-2.0"] if rng.random() < 0.2 else [name]
+        out = made(depth - 1)
+        for _ in range(rng.randint(1, 2)):
+            part = made(depth - 1)
+            out += [rng.choice(["or", "and", "OR", "AND"]), *(["(", *part, ")"] if rng.random() < 0.5 else part)]
+        return out
+
+    for _ in range(300):
+        tokens = made(3)
+        labels, value, form = L.evaluate(" ".join(tokens))
+        assert value == pytest.approx(brute_expression(tokens))
+        assert sorted(form.split()) == sorted(t.lower() if t.lower() in ("or", "and", "with") else t for t in tokens if t not in "()")
+        assert labels == [L.operand(t)[0] for k, t in enumerate(tokens) if t.lower() not in ("or", "and", "with", "(", ")") and (k == 0 or tokens[k - 1].lower() != "with")]
+
+
+def test_long_texts_are_scanned_in_line():
+    """Many tags on one line, long expressions, and a text of 20 MB within 500 MB."""
+    many = "SPDX-License-Identifier: MIT " * 30_000
+    begun = time.process_time()
+    r = L.scan(many)
+    assert len(r["expressions"]) == 30_000 and r["n_words"] == 120_000 and r["labels"] == "mit"
+    r = L.scan("SPDX-License-Identifier: " + "(" * 1000 + " OR ".join(["MIT"] * 20_000) + ")" * 1000)
+    assert r["expressions"][0].count("MIT") == 20_000
+    assert time.process_time() - begun < 10
+    text = "Plain words, of no\u00e9 licence... " * (20 * 2**20 // 32) + "SPDX-License-Identifier: MIT\n" + "under the MIT license"
+    tracemalloc.start()
+    r = L.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r["labels"] == "mit" and r["first_word"] == r["n_words"] - 4 and r["expressions"] == ["MIT"] and peak < 500 << 20
+
+
+def test_clashing_columns(spark):
+    df = docs(spark)
+    for c in ("labels", "n_words", "spans", "kind"):
+        df = df.withColumn(c, F.lit(1))
+    assert sorted(map(str, L.license_scan(df).collect())) == sorted(map(str, L.license_scan(docs(spark)).collect()))

@@ -14,7 +14,9 @@ examples take the square of a conversation's turns in output.
 
 Defined cases: null texts and roles are empty; rows of equal turn go by role,
 then text; repeated rows all count; a null conv_id is a conversation of its
-own; null turns come first; no rows give no examples.
+own; null turns come first; no rows give no examples; columns other than
+conv_id, turn, role and text do not matter. A text of n characters takes a
+small multiple of n in memory.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ HEAD, MIDDLE, END = "### ", ": ", " </turn>\n"
 _MARKS = re.compile(r"\\|###|</turn>")
 _ROLE_MARKS = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-#: One formatted turn: role and text, both still escaped.
-_TURN = re.compile(r"### ((?:[^\\:]|\\(?:\\|###|</turn>|:))*): ((?:[^\\<]|\\(?:\\|###|</turn>)|<(?!/turn>))*) </turn>\n")
 BATCH_CHARS = 4 << 20
 
 
@@ -45,17 +45,35 @@ def unescape(text: str) -> str:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts of a formatted conversation."""
+    """Roles and texts of a formatted conversation, in time and memory in proportion to it.
+
+    A role ends at its first colon that is not escaped. Inside a text every
+    </turn> has a backslash before it, so END is nowhere but at its end.
+    """
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        if not formatted.startswith(HEAD, at):
+            raise ValueError(f"no turn at character {at}")
+        start = at + len(HEAD)
+        colon = formatted.find(":", start)
+        while colon >= 0 and _escaped(formatted, start, colon):
+            colon = formatted.find(":", colon + 1)
+        end = formatted.find(END, colon + len(MIDDLE))
+        if colon < 0 or end < 0 or not formatted.startswith(MIDDLE, colon):
             raise ValueError(f"no turn at character {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(formatted[start:colon]), unescape(formatted[colon + len(MIDDLE) : end])))
+        at = end + len(END)
     return out
 
 
+def _escaped(text: str, start: int, at: int) -> bool:
+    """Whether an odd number of backslashes stands before place `at`."""
+    k = at
+    while k > start and text[k - 1] == "\\":
+        k -= 1
+    return (at - k) % 2 == 1
+
+
 def expand(turns: Iterator[tuple[int | None, str, str]]) -> Iterator[tuple[int | None, int, str, int, int, bool]]:
     """Rows (conv_id, example, text, loss_start, loss_end, whole) from (conv_id, role, text), which come conversation by conversation."""
 

@@ -1,5 +1,7 @@
 import hashlib
+import tracemalloc
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -50,3 +52,26 @@ def test_empty(spark):
 def test_round_trip(turns):
     text = "".join(f"{C.HEAD}{C.escape(r, C._ROLE_MARKS)}{C.MIDDLE}{C.escape(t)}{C.END}" for r, t in turns)
     assert C.parse(text) == turns
+
+
+def test_long_turns_take_little_memory():
+    """A turn of 8 MB, plain or full of marks, is parsed in a few times its size."""
+    for piece in ("long words of text ", "\\ ### </turn> : ", "</turn>\n### a: "):
+        long = piece * ((8 << 20) // len(piece))
+        text = f"{C.HEAD}user{C.MIDDLE}{C.escape(long)}{C.END}"
+        tracemalloc.start()
+        turns = C.parse(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert turns == [("user", long)] and peak < 250 << 20
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(r[0], r[1], r[2], r[3], "x", 1, 2, True) for r in ROWS], "conv_id long, turn long, role string, text string, example string, loss_start int, n_turns int, whole boolean")
+    assert sorted(map(str, C.chat_format(df).collect())) == sorted(map(str, C.chat_format(spark.createDataFrame(ROWS, SCHEMA)).collect()))
+
+
+def test_no_turn():
+    for bad in ("x", "### a", "### a: b", "### a: b </turn>\nx", "### a\\: b </turn>\n"):
+        with pytest.raises(ValueError):
+            C.parse(bad)

@@ -1,12 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded sample of labelled texts in Spark; the
-log-probability matrix (buckets x languages, a fixed size) is broadcast, and
-batches are scored in numpy by gathering rows of it and summing them by text.
+Training counts n-grams of a bounded sample of labelled texts in Spark: about
+SAMPLE texts of each of at most LANGUAGES languages (the most frequent ones).
+The log-probability matrix (buckets x languages, CELLS at most: very many
+languages get fewer buckets) is broadcast, and batches are scored in numpy by
+gathering rows of it and summing them by text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 so is every text if nothing is labelled. Ties go to the language that sorts
 first. Rows are scored one by one, so repeated rows and ids repeat results.
+Texts are scored whole, SLICE characters at a time, cut at blanks (a word of
+more characters is cut). All other columns are kept, but for those that the
+result replaces.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import free_names, held_out, slices
 
 #: n-gram lengths, buckets of each length, and about how many texts of each language are learned from.
 LENGTHS, BUCKETS, SAMPLE = (1, 2, 3), 1 << 15, 3000
+#: Languages that are learned, and entries of the matrix and of what is gathered from it at once, at most.
+LANGUAGES, CELLS = 4096, 1 << 24
 #: A posterior weighs at most so many n-grams, else every longer text has a score of 1.
 EVIDENCE = 60
-#: Bytes of text that are scored at once.
-SLICE = 1 << 19
+#: Characters of text that are scored at once.
+SLICE = 1 << 18
 _fold: list[np.ndarray] = []
 
 
@@ -44,8 +51,33 @@ def fold() -> np.ndarray:
     return _fold[0]
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams (rows of the matrix) of all texts and the index of the text of each. Words are padded with one blank."""
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """All of the texts in groups of about SLICE characters: pieces, and the index of the text of each."""
+    some: list[str] = []
+    owner: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        at, text = 0, text or ""
+        while True:
+            to = len(text)
+            if to - at > SLICE:
+                blank = text.rfind(" ", at, at + SLICE)
+                to = blank if blank > at else at + SLICE
+            some.append(text[at:to])
+            owner.append(i)
+            size += to - at + 1
+            at = to
+            if size >= SLICE:
+                yield some, np.array(owner)
+                some, owner, size = [], [], 0
+            if at >= len(text):
+                break
+    if some:
+        yield some, np.array(owner)
+
+
+def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams (rows of the matrix) of all texts and the index of the text of each. Words are padded with one blank; n-grams start or end with a letter."""
     joined = " " + " ".join(t or "" for t in texts) + " "
     points = fold()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     ends = np.cumsum([len(t or "") + 1 for t in texts])
@@ -66,58 +98,72 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             if 0 < j < n - 1:
                 inner &= c > 0  # never over two words
         inner &= x[n - 1 :] > 0 if n == 1 else (x[: len(h)] > 0) | (x[n - 1 :] > 0)
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - buckets.bit_length())
         mine = owner[: len(h)] if n == 1 else np.where(x[: len(h)] > 0, owner[: len(h)], owner[1 : len(h) + 1])  # of the first letter
-        rows.append((h[inner] + np.uint64(k * BUCKETS)).astype(np.int64))
+        rows.append((h[inner] + np.uint64(k * buckets)).astype(np.int64))
         whose.append(mine[inner])
     return (np.concatenate(rows), np.concatenate(whose)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def buckets_for(langs: int) -> int:
+    """Buckets of each n-gram length, a power of two, so that the matrix has CELLS entries at most."""
+    return min(BUCKETS, 1 << ((CELLS // (len(LENGTHS) * max(1, langs))).bit_length() - 1))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities; the last row holds log priors. docs: text, lang, and an id to sample by."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(found)
+    buckets = buckets_for(len(langs))
     if not langs:
-        return [], np.zeros((len(LENGTHS) * BUCKETS + 1, 0), np.float32)
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / found[k]) * 1e6)])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < F.try_element_at(rate, F.col("lang"))).select("text", "lang")
+        return [], np.zeros((len(LENGTHS) * buckets + 1, 0), np.float32)
+    rates = spark.createDataFrame([(k, number, min(1.0, sample / found[k]) * 1e6) for number, k in enumerate(langs)], "lang string, number int, rate double")
+    taken = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < F.col("rate")
+    chosen = labelled.join(F.broadcast(rates), "lang").where(taken).select("text", "number")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), len(LENGTHS) * BUCKETS), np.int64)
-        number = {k: i for i, k in enumerate(langs)}
+        total = np.zeros((len(langs), len(LENGTHS) * buckets), np.int64)
         for batch in batches:
-            texts, lang = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE):
-                rows, whose = features(texts[a:b].to_pylist())
-                which = np.array([number[x] for x in lang[a:b]], np.int64)
-                flat = which[np.minimum(whose, b - a - 1)] * total.shape[1] + rows
-                total += np.bincount(flat, minlength=total.size).reshape(total.shape)
+            number = batch.column(1).to_numpy()
+            for a, b in slices(batch.column(0), SLICE):
+                for some, owner in pieces(batch.column(0)[a:b].to_pylist()):
+                    rows, whose = features(some, buckets)
+                    flat, n = np.unique(number[a:b][owner[np.minimum(whose, len(some) - 1)]].astype(np.int64) * total.shape[1] + rows, return_counts=True)
+                    total.ravel()[flat] += n
         k, row = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(row.astype(np.int32)), pa.array(total[k, row])], names=["k", "row", "n"])
 
-    counted = chosen.mapInArrow(count, "k int, row int, n long").groupBy("k", "row").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((len(LENGTHS) * BUCKETS, len(langs)), 0.1)
+    counted = chosen.mapInArrow(count, "k int, row int, n long").groupBy("k", "row").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    counts = np.full((len(LENGTHS) * buckets, len(langs)), 0.1, np.float32)
     counts[counted["row"].to_numpy(), counted["k"].to_numpy()] += counted["n"].to_numpy()
     for k in range(len(LENGTHS)):
-        part = slice(k * BUCKETS, (k + 1) * BUCKETS)
-        counts[part] = np.log(counts[part] / counts[part].sum(axis=0))
+        part = slice(k * buckets, (k + 1) * buckets)
+        counts[part] = np.log(counts[part]) - np.log(counts[part].sum(axis=0, dtype=np.float64))
     prior = np.log(np.array([found[k] for k in langs]) / sum(found.values()))
     return langs, np.vstack([counts, prior]).astype(np.float32)
 
 
 def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    rows, whose = features(texts)
-    inside = whose < len(texts)
-    rows, whose = rows[inside], whose[inside]
-    order = np.argsort(whose, kind="stable")
-    rows, whose = rows[order], whose[order]
-    count = np.bincount(whose, minlength=len(texts))
+    buckets = (len(matrix) - 1) // len(LENGTHS)
+    count, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(langs)))
+    step = max(1, CELLS // 8 // max(1, len(langs)))
+    for some, owner in pieces(texts):
+        rows, whose = features(some, buckets)
+        inside = whose < len(some)
+        rows, whose = rows[inside], owner[whose[inside]]
+        order = np.argsort(whose, kind="stable")
+        rows, whose = rows[order], whose[order]
+        count += np.bincount(whose, minlength=len(texts))
+        for at in range(0, len(rows) if langs else 0, step):
+            own = whose[at : at + step]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums[own[first]] += np.add.reduceat(matrix[rows[at : at + step]], first, axis=0, dtype=np.float64)
     best, value = ["und"] * len(texts), np.zeros(len(texts))
     some = np.flatnonzero(count)
     if len(some) and langs:
-        sums = np.add.reduceat(matrix[rows], np.searchsorted(whose, some), axis=0, dtype=np.float64)
+        sums = sums[some]
         z = sums * np.minimum(1.0, EVIDENCE / count[some])[:, None] + matrix[-1]
         top = (sums + matrix[-1]).argmax(axis=1)
         z -= z.max(axis=1, keepdims=True)
@@ -156,5 +202,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose language is recognised (not und, score of `least` or more), learned from their own labels; all columns are kept."""
-    rows = identify(docs, train(docs), ("_language", "_sure"))
-    return rows.where((F.col("_language") != "und") & (F.col("_sure") >= least)).drop("_language", "_sure")
+    language, sure = free_names(docs.columns, "language", "sure")
+    rows = identify(docs, train(docs), (language, sure))
+    return rows.where((F.col(language) != "und") & (F.col(sure) >= least)).drop(language, sure)

@@ -1,6 +1,7 @@
 import math
 import random
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -31,20 +32,78 @@ def test_language_without_labels(spark):
     assert L.language_id(none(spark)).collect() == []
 
 
-def test_language_brute_force():
-    """Sums of gathered rows are the sums over each text's own n-grams."""
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    matrix = rng.random((len(L.LENGTHS) * L.BUCKETS + 1, 3)).astype(np.float32)
-    texts = ["Ab c", None, "", "zé 12 Zé", "a"]
-    names, score = L.score(texts, ["x", "y", "z"], matrix)
-    for t, n, s in zip(texts, names, score):
-        one = L.score([t], ["x", "y", "z"], matrix)
-        assert one[0][0] == n and abs(one[1][0] - s) < 1e-9
-    w = "zé"
-    grams = [w[i : i + n] for n in (1, 2, 3) for i in range(0)]
-    assert grams == [] and len(L.features(["zé"])[0]) == 2 + 3 + 2  # letters; pairs and triples with blanks around
+def grams(text):
+    """n-grams that start or end with a letter, words padded by one blank on each side; with how they are hashed."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    spaced = "".join(c if unicodedata.category(o)[0] == "L" else " " for c, o in zip(low, text))
+    for w in spaced.split():
+        for n in L.LENGTHS:
+            padded = w if n == 1 else f" {w} "
+            for i in range(len(padded) - n + 1):
+                h = 0
+                if padded[i] == padded[i + n - 1] == " ":
+                    continue
+                for c in padded[i : i + n]:
+                    h = (h * 0x100000001B3 + (0 if c == " " else ord(c)) + 1) % 2**64
+                yield L.LENGTHS.index(n), h * 0x9E3779B97F4A7C15 % 2**64
+
+
+def test_language_against_definition(spark, monkeypatch):
+    """Predictions and scores of a small corpus from counts by hand; long texts come in pieces."""
+    rows = [r[:3] for r in ODD if r[0] is not None] + [(20 + i, t, k) for i, (t, k) in enumerate([("ab ba", "y"), ("ba", "x"), ("zé 12 Zé", "x"), ("a", None), ("xyz ab " * 60, None), (" ", "y")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = L.train(df)
+    assert langs == sorted({k for _, t, k in rows if k and t is not None})
+    counts = {k: Counter() for k in langs}
+    for _, t, k in rows:
+        if k and t is not None:
+            counts[k].update((n, h >> 49) for n, h in grams(t))
+    prior = Counter(k for _, t, k in rows if k and t is not None)
+    monkeypatch.setattr(L, "SLICE", 40)
+    for _, t, _ in rows:
+        if t is None or len(t) > 1000:
+            continue
+        own = [(n, h >> 49) for n, h in grams(t)]
+        name, value = L.score([t], langs, matrix)
+        if not own:
+            assert name == ["und"] and value[0] == 0
+            continue
+        sums = []
+        for k in langs:
+            total = [sum(v for (m, _), v in counts[k].items() if m == n) + 0.1 * L.BUCKETS for n in range(3)]
+            sums.append(sum(math.log((counts[k][g] + 0.1) / total[g[0]]) for g in own))
+        z = [s * min(1, L.EVIDENCE / len(own)) + math.log(prior[k] / sum(prior.values())) for s, k in zip(sums, langs)]
+        best = max(range(len(langs)), key=lambda i: (sums[i] + math.log(prior[langs[i]] / sum(prior.values())), -i))
+        assert name == [langs[best]]
+        assert value[0] == pytest.approx(math.exp(z[best] - max(z)) / sum(math.exp(x - max(z)) for x in z), rel=1e-3)
+
+
+def test_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "CELLS", 1 << 16)
+    rows = [(i, chr(0x4E00 + i) * 5, f"l{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = L.train(df)
+    assert len(langs) == 50 and matrix.size <= 1 << 17
+    monkeypatch.setattr(L, "LANGUAGES", 7)
+    assert L.train(df.unionByName(df.where("doc_id = 9")))[0] == sorted(["l9", "l0", "l1", "l10", "l11", "l12", "l13"])
+
+
+def test_known_language(spark):
+    """Nulls, texts without letters and clashing columns; the stage keeps what it was given."""
+    df = docs(spark)
+    for c in ("language", "_language", "sure", "lang_pred", "rate", "number"):
+        df = df.withColumn(c, F.lit(c))
+    out = L.known_language(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == {1, 5, 6, 7, 8, 9, None} and all(r["_language"] == "_language" and r["rate"] == "rate" for r in got)
+    assert L.known_language(none(spark)).collect() == []
+
+
+def test_language_ties():
+    """Of equal languages the one that sorts first."""
+    matrix = np.zeros((len(L.LENGTHS) * L.BUCKETS + 1, 2), np.float32)
+    assert L.score(["abc", None], ["de", "en"], matrix)[0] == ["de", "und"]
 
 
 def test_toxicity_held_out(spark, sf):

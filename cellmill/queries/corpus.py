@@ -210,43 +210,62 @@ def _(c: Corpus):
     return rounded(we.adjusted(rows, ["l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber", "p_value", "p_adj"), 8, "p_value", "p_adj")
 
 
-def _selected(c: Corpus, n: int = 24):
-    return pc.select_features(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=n, digits=9), c.var)
+HVGS, COMPONENTS = 2000, 50
 
 
-_PICK = _HVG + """, sel AS (SELECT dataset_index, origin_index, CAST(row_number() OVER w - 1 AS INT) AS f FROM h WINDOW w AS (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index) QUALIFY row_number() OVER w <= 24)
+def _selected(c: Corpus):
+    return pc.select_features(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=HVGS, digits=9), c.var)
+
+
+def _components(c: Corpus) -> int:
+    """The default number of components, or as many as the smallest dataset has."""
+    least = min(r["n"] for r in c.var.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a dataset
+    rows = min(r["cell_count"] for r in c.ledger.collect())
+    return min(COMPONENTS, least, rows)
+
+
+_PICK = _HVG + """, sel AS (SELECT dataset_index, origin_index, CAST(row_number() OVER w - 1 AS INT) AS f, CAST(row_number() OVER w AS INT) AS hvg_rank FROM h WINDOW w AS (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index) QUALIFY row_number() OVER w <= 2000)
 """
 
 
 @query("e4_covariance", _PICK + """, y AS (SELECT o.dataset_index, o.global_row_index, s.f, ln(1 + o.count / b.size_factor) AS x FROM coo o JOIN obs b ON o.global_row_index = b.global_row_index JOIN sel s ON s.dataset_index = o.dataset_index AND s.origin_index = o.origin_index),
 p AS (SELECT a.dataset_index, a.f AS i, b.f AS j, sum(a.x * b.x) AS xy FROM y a JOIN y b ON a.global_row_index = b.global_row_index AND a.f <= b.f GROUP BY 1, 2, 3),
-t AS (SELECT sel.dataset_index, sel.f, coalesce(sum(x), 0) AS s FROM sel LEFT JOIN y ON y.dataset_index = sel.dataset_index AND y.f = sel.f GROUP BY 1, 2)
-SELECT a.dataset_index, a.f AS i, b.f AS j, round((coalesce(xy, 0) - a.s * b.s / n.n) / greatest(n.n - 1, 1), 7) AS cov FROM t a JOIN t b ON a.dataset_index = b.dataset_index AND a.f <= b.f JOIN n ON n.dataset_index = a.dataset_index
-LEFT JOIN p ON p.dataset_index = a.dataset_index AND p.i = a.f AND p.j = b.f""", True)
+t AS (SELECT dataset_index, f, sum(x) AS s FROM y GROUP BY 1, 2)
+SELECT p.dataset_index, p.i, p.j, round((xy - a.s * b.s / n.n) / greatest(n.n - 1, 1), 7) AS cov FROM p JOIN t a ON a.dataset_index = p.dataset_index AND a.f = p.i JOIN t b ON b.dataset_index = p.dataset_index AND b.f = p.j JOIN n ON n.dataset_index = p.dataset_index""", True)
 def _(c: Corpus):
     return rounded(pc.covariance(c.coo, c.obs, _selected(c)).drop("n_obs"), 7, "cov")
 
 
+@query("e4_feature_means", _PICK + """, y AS (SELECT o.dataset_index, s.f, ln(1 + o.count / b.size_factor) AS x FROM coo o JOIN obs b ON o.global_row_index = b.global_row_index JOIN sel s ON s.dataset_index = o.dataset_index AND s.origin_index = o.origin_index)
+SELECT sel.dataset_index, sel.f AS selected_feature_index, round(coalesce(sum(x), 0) / min(n.n), 8) AS mean FROM sel JOIN n ON n.dataset_index = sel.dataset_index LEFT JOIN y ON y.dataset_index = sel.dataset_index AND y.f = sel.f GROUP BY 1, 2""", True)
+def _(c: Corpus):
+    return rounded(pc.fit(c.coo, c.obs, _selected(c), _components(c)).select("dataset_index", "selected_feature_index", "mean"), 8, "mean")
+
+
 @query("e4_pca_components")
 def _(c: Corpus):
     sel = _selected(c)
-    loadings, _ = pc.fit(c.coo, c.obs, sel, 5)
-    names = sel.join(c.ledger.select("dataset_index", "dataset_id"), "dataset_index").select("dataset_id", "dataset_index", "selected_feature_index", "gene_id", "global_feature_id", "hvg_rank")
-    return loadings.join(names, ["dataset_index", "selected_feature_index"]).select("dataset_id", "dataset_index", "component_index", "selected_feature_index", "gene_id", "global_feature_id", "loading", "hvg_rank")
+    model = pc.fit(c.coo, c.obs, sel, _components(c))
+    names = sel.join(F.broadcast(c.ledger.select("dataset_index", "dataset_id")), "dataset_index").select("dataset_id", "dataset_index", "selected_feature_index", "gene_id", "global_feature_id", "hvg_rank")
+    return pc.loadings(model).join(names, ["dataset_index", "selected_feature_index"]).select("dataset_id", "dataset_index", "component_index", "selected_feature_index", "gene_id", "global_feature_id", "loading", "hvg_rank")
 
 
 @query("e4_pca_component_stats")
 def _(c: Corpus):
-    return pc.fit(c.coo, c.obs, _selected(c), 5)[1].join(c.ledger.select("dataset_index", "dataset_id"), "dataset_index")
+    return pc.component_stats(pc.fit(c.coo, c.obs, _selected(c), _components(c))).join(F.broadcast(c.ledger.select("dataset_index", "dataset_id")), "dataset_index")
 
 
 @query("e4_pca_embeddings")
 def _(c: Corpus):
-    sel = _selected(c)
-    loadings, _ = pc.fit(c.coo, c.obs, sel, 5)
-    return pc.embeddings(pc.project(c.coo, c.obs, sel, loadings), c.obs, 5)
+    sel, k = _selected(c), _components(c)
+    return pc.project(c.coo, c.obs, sel, pc.fit(c.coo, c.obs, sel, k), k)
+
+
+@query("e4_selected_features", _PICK + "SELECT sel.dataset_index, f AS selected_feature_index, sel.origin_index AS local_feature_index, v.gene_id, v.global_feature_id, sel.hvg_rank, 'hvg_is_hvg' AS selection_source FROM sel JOIN var v ON v.dataset_index = sel.dataset_index AND v.origin_index = sel.origin_index", True)
+def _(c: Corpus):
+    return _selected(c).select("dataset_index", "selected_feature_index", F.col("origin_index").alias("local_feature_index"), "gene_id", "global_feature_id", "hvg_rank", "selection_source")
 
 
-@query("e4_selected_features", _PICK + "SELECT sel.dataset_index, f AS selected_feature_index, sel.origin_index AS local_feature_index, v.gene_id, v.global_feature_id, 'hvg_is_hvg' AS selection_source FROM sel JOIN var v ON v.dataset_index = sel.dataset_index AND v.origin_index = sel.origin_index", True)
+@query("e4a_all_features", "SELECT dataset_index, origin_index AS selected_feature_index, gene_id, global_feature_id, 'all_features' AS selection_source FROM var", True)
 def _(c: Corpus):
-    return _selected(c).select("dataset_index", "selected_feature_index", F.col("origin_index").alias("local_feature_index"), "gene_id", "global_feature_id", F.lit("hvg_is_hvg").alias("selection_source"))
+    return pc.select_features(None, c.var).select("dataset_index", "selected_feature_index", "gene_id", "global_feature_id", "selection_source")

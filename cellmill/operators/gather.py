@@ -31,6 +31,16 @@ def gather(requests: DataFrame, rows: DataFrame, how: str = "inner") -> DataFram
     return requests.join(rows, "global_row_index", how)
 
 
+def subset(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows whose global_row_index is asked for."""
+    return rows.join(asked.select("global_row_index"), "global_row_index", "left_semi")
+
+
+def corpus_totals(ledger: DataFrame) -> DataFrame:
+    """n_datasets, n_cells."""
+    return ledger.agg(F.count(F.lit(1)).alias("n_datasets"), F.coalesce(F.sum("cell_count"), F.lit(0)).alias("n_cells"))
+
+
 def route(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """requests with the dataset that owns each row and the row's local number; a row outside all ranges is an error.
 

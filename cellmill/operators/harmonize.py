@@ -111,7 +111,8 @@ def _finish(c: Column, m: Mapping) -> Column:
     return out
 
 
-def _test(df: DataFrame, case: Case) -> Column:
+def predicate(df: DataFrame, case: Case) -> Column:
+    """Whether a case holds: a column that equals a value, is in a list, or is not null-like."""
     own = _source(df, case.column)
     if case.test == "not_null":
         return ~t.is_null_like(own)
@@ -160,7 +161,7 @@ def obs_column(df: DataFrame, m: Mapping) -> Column:
         return _finish(t.render_template(m.template, {c: _source(df, c) for c in df.columns}, m.missing, m.fallback), m)
     other = _source(df, m.default_column) if m.default_column else F.lit(m.default if m.default is not None else m.fallback)
     take = lambda c: _source(df, c.take) if c.take else F.lit(c.value)
-    return _finish(reduce(lambda out, c: F.when(_test(df, c), take(c)).otherwise(out), reversed(m.cases), other), m)
+    return _finish(reduce(lambda out, c: F.when(predicate(df, c), take(c)).otherwise(out), reversed(m.cases), other), m)
 
 
 def canonical_obs(df: DataFrame, mappings: list[Mapping], order: list[str], extensible: tuple[str, ...] = (), strict: bool = True) -> DataFrame:

@@ -71,5 +71,11 @@ def ordered_unique(rows: DataFrame, key: str, at: str) -> DataFrame:
     return dense_position(first, [F.col("_at"), F.col(key)], "pos").select(key, "pos")
 
 
+def flag_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `known`, whether their keys are in the other table."""
+    yes, no = rows.join(known, keys, "left_semi"), rows.join(known, keys, "left_anti")
+    return yes.withColumn("known", F.lit(True)).unionByName(no.withColumn("known", F.lit(False)))
+
+
 def batch_ids(rows: DataFrame, order: str, size: int) -> DataFrame:
     return dense_position(rows, [F.col(order)], "_n").withColumn("batch_id", F.floor(F.col("_n") / size)).drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import dense_position
+
 PAD, ABSENT = -1, 0
 
 
@@ -48,11 +50,24 @@ def random_batches(spark: SparkSession, n_rows: int, batch_size: int, n_batches:
     return kept.select("batch_id", (F.row_number().over(Window.partitionBy("batch_id").orderBy("global_row_index")) - 1).alias("pos"), "global_row_index")
 
 
+def places(rows: DataFrame, by: list[str], order: list[Column], name: str, many: str) -> DataFrame:
+    """rows with `name`, their place from 0 within their group by `order` (total within a group), and `many`, the group's size.
+
+    Rows are placed in ranges of the whole order, so a hot group is many ranges.
+    """
+    placed = dense_position(rows, [*(F.col(c) for c in by), *order], "_at")
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias(many))
+    match = [placed[c].eqNullSafe(groups[c]) for c in by]
+    joined = placed.join(groups, match).drop(*(groups[c] for c in by))
+    return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
 def context_batches(rows: DataFrame, context: str, batch_size: int, seed: int, epoch: int = 0, shuffle: bool = True, drop_last: bool = False) -> DataFrame:
     """context, batch_in_context, pos, global_row_index: each context's rows dealt out whole into batches of its own."""
+    if batch_size <= 0:
+        raise ValueError("batch_size must be above 0")
     key = [draw(seed, epoch, F.col("global_row_index")), F.col("global_row_index")] if shuffle else [F.col("global_row_index")]
-    place = F.row_number().over(Window.partitionBy(context).orderBy(*key)) - 1
-    rows = rows.select(context, "global_row_index", place.alias("n"), F.count(F.lit(1)).over(Window.partitionBy(context)).alias("many"))
+    rows = places(rows.select(context, "global_row_index"), [context], key, "n", "many")
     batch = F.floor(F.col("n") / batch_size)
     rows = rows.withColumn("batch_in_context", batch).withColumn("pos", F.col("n") % batch_size)
     if drop_last:
@@ -60,25 +75,121 @@ def context_batches(rows: DataFrame, context: str, batch_size: int, seed: int, e
     return rows.select(context, "batch_in_context", "pos", "global_row_index")
 
 
+def row_lists(rows: DataFrame, by: str, size: int = 65_536) -> DataFrame:
+    """by, part, rows: each group's row numbers in order, in arrays of `size` rows at most."""
+    placed = places(rows.select(by, "global_row_index"), [by], [F.col("global_row_index")], "n", "many")
+    return placed.groupBy(by, F.floor(F.col("n") / size).alias("part")).agg(F.sort_array(F.collect_list("global_row_index")).alias("rows"))
+
+
 def n_batches(rows: DataFrame, context: str, batch_size: int, drop_last: bool = False) -> DataFrame:
     """context, n_batches."""
     n = F.count(F.lit(1)) / batch_size
     return rows.groupBy(context).agg((F.floor(n) if drop_last else F.ceil(n)).alias("n_batches"))
 
 
+def check_mode(mode: str, hvg_top_k: int | None = None) -> None:
+    if mode not in ("uniform", "expressed", "hvg"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if hvg_top_k is not None and hvg_top_k <= 0:
+        raise ValueError("hvg_top_k must be above 0")
+
+
+def _chosen(hvg_top_k: int | None) -> Column:
+    return F.coalesce(F.col("is_hvg") if hvg_top_k is None else F.col("hvg_rank").between(1, hvg_top_k), F.lit(False))
+
+
+def dataset_weights(genes: DataFrame, mode: str = "uniform", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
+    """dataset_index, global_feature_id, prob: the weights that all cells of a dataset share (uniform and hvg)."""
+    check_mode(mode, hvg_top_k)
+    if mode == "expressed":
+        raise ValueError("weights of expressed genes are each cell's own")
+    w = F.lit(1.0) if mode == "uniform" else 1 + weight * _chosen(hvg_top_k).cast("double")
+    rows = genes.select("dataset_index", "global_feature_id", w.alias("w"))
+    total = F.sum("w").over(Window.partitionBy("dataset_index"))
+    return rows.select("dataset_index", "global_feature_id", (F.col("w") / total).alias("prob"))
+
+
+def cell_weights(rows: DataFrame, genes: DataFrame, weight: float = 3.0) -> DataFrame:
+    """global_row_index, dataset_index, global_feature_id, prob of each cell's expressed genes, and with a null gene that of each other gene.
+
+    rows: global_row_index, dataset_index and the sparse arrays. The weights of
+    a cell are as many rows as it expresses genes and one, whatever the
+    vocabulary.
+    """
+    sizes = F.broadcast(genes.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("n")))  # one row a dataset
+    own = rows.join(sizes, "dataset_index").select("global_row_index", "dataset_index", "n", expressed().alias("hot"))
+    total = F.col("n") + weight * F.size("hot")
+    some = own.select("global_row_index", "dataset_index", total.alias("total"), F.explode("hot").alias("origin_index")).join(genes.select("dataset_index", "origin_index", "global_feature_id"), ["dataset_index", "origin_index"])
+    rest = own.select("global_row_index", "dataset_index", F.lit(None).cast("long").alias("global_feature_id"), (1 / total).alias("prob"))
+    return some.select("global_row_index", "dataset_index", F.col("global_feature_id").cast("long").alias("global_feature_id"), ((1 + weight) / F.col("total")).alias("prob")).unionByName(rest)
+
+
+def expressed() -> Column:
+    """Local genes with a count above 0 of a sparse row."""
+    pairs = F.arrays_zip(F.col("expressed_gene_indices").alias("g"), F.col("expression_counts").alias("c"))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["c"] > 0), lambda x: x["g"]))
+
+
+def _urn(seed: int, urn: int, size: Column, out: Column, need: int, rate: float) -> Column:
+    """Array of (key, urn, number): the `need` first of `size` numbers (without those of the array `out`) whose keys are exponential of `rate`.
+
+    Keys of so many equal numbers come in order as sums of spacings, and the
+    numbers in a random order by draws of which repeats go; only where draws
+    run short (the urn is small) are all numbers put in order.
+    """
+    cell = F.col("global_row_index")
+    left = size - F.size(out)
+    n = F.least(F.lit(need), left).cast("int")
+    number = lambda i: F.pmod(F.conv(F.substring(draw(seed, cell, urn, i), 1, 15), 16, 10).cast("long"), size).cast("int")
+    tried = F.array_except(F.transform(F.sequence(F.lit(0), F.lit(2 * need + 63)), number), out)
+    every = F.array_sort(F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda g: F.struct(draw(seed, cell, urn, "all", g).alias("k"), g.alias("g"))))
+    numbers = F.when(F.size(tried) >= n, tried).otherwise(F.array_except(F.transform(every, lambda x: x["g"]), out))
+    step = lambda i: -F.log(uniform(seed, cell, urn, "key", i)) / ((left - i + 1) * rate)
+    keys = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<double>"), lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + step(i))))
+    kind = "array<struct<key:double,urn:int,number:int>>"
+    found = F.transform(keys, lambda k, i: F.struct(F.round(k, 9).alias("key"), F.lit(urn).alias("urn"), F.get(numbers, i).alias("number")))
+    return F.when(n > 0, found).otherwise(F.array()).cast(kind)
+
+
+def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int, mode: str = "expressed", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
+    """global_row_index, seq, global_feature_id: seq_len genes of each cell without replacement by weight, as exponential keys give them.
+
+    rows: global_row_index, dataset_index and the sparse arrays; genes:
+    dataset_index, origin_index (0 .. n - 1 of each dataset), global_feature_id
+    and, for hvg, hvg_rank and is_hvg. All genes of one weight are an urn that
+    is drawn from without being listed, so a cell takes time by seq_len and the
+    genes it expresses, and nothing is shuffled but the result.
+    """
+    check_mode(mode, hvg_top_k)
+    if seq_len <= 0:
+        raise ValueError("seq_len must be above 0")
+    urn = _chosen(hvg_top_k).cast("int") if mode == "hvg" else F.lit(0)
+    placed = genes.withColumn("urn", urn).withColumn("number", F.row_number().over(Window.partitionBy("dataset_index", "urn").orderBy("origin_index")) - 1)
+    sizes = genes.withColumn("urn", urn).groupBy("dataset_index").agg(F.count(F.when(F.col("urn") == 0, 1)).alias("n0"), F.count(F.when(F.col("urn") == 1, 1)).alias("n1"), F.max("origin_index").alias("most"))
+    whole = F.when(F.col("most") == F.col("n0") + F.col("n1") - 1, F.col("n0")).otherwise(F.raise_error(F.lit("origin_index must be 0 .. n - 1")).cast("long"))
+    cells = rows.join(F.broadcast(sizes.withColumn("n0", whole)), "dataset_index")  # one row a dataset
+    none = F.array().cast("array<int>")
+    cells = cells.withColumn("hot", expressed() if mode == "expressed" else none)
+    found = _urn(seed, 0, F.col("n0"), F.col("hot"), seq_len, 1.0)
+    if mode == "expressed":
+        key = lambda g: -F.log(uniform(seed, F.col("global_row_index"), "hot", g)) / (1 + weight)
+        found = F.concat(found, F.transform("hot", lambda g: F.struct(F.round(key(g), 9).alias("key"), F.lit(0).alias("urn"), g.cast("int").alias("number"))))
+    elif mode == "hvg":
+        found = F.concat(found, _urn(seed, 1, F.col("n1"), none, seq_len, 1 + weight))
+    drawn = cells.select("global_row_index", "dataset_index", F.posexplode(F.slice(F.array_sort(found), 1, seq_len)).alias("seq", "x")).select("global_row_index", "dataset_index", "seq", "x.urn", "x.number")
+    return drawn.join(placed.select("dataset_index", "urn", "number", "global_feature_id"), ["dataset_index", "urn", "number"]).select("global_row_index", "seq", "global_feature_id")
+
+
 def gene_weights(cells: DataFrame, genes: DataFrame, counts: DataFrame, mode: str = "uniform", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
-    """global_row_index, global_feature_id, prob of every gene of a cell's dataset.
+    """global_row_index, global_feature_id, prob of every gene of a cell's dataset: the dense table, for the cells of a batch.
 
-    cells: global_row_index, dataset_index (filter it to the batch first);
+    cells: global_row_index, dataset_index;
     genes: dataset_index, global_feature_id, hvg_rank, is_hvg; counts:
     global_row_index, global_feature_id, count. Modes: uniform; expressed
     (1 + weight where expressed); hvg (1 + weight where selected, or ranked 1 to
     hvg_top_k). Genes that a dataset lacks have no row, which is weight 0.
     """
-    if mode not in ("uniform", "expressed", "hvg"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if hvg_top_k is not None and hvg_top_k <= 0:
-        raise ValueError("hvg_top_k must be above 0")
+    check_mode(mode, hvg_top_k)
     rows = cells.select("global_row_index", "dataset_index").join(genes, "dataset_index")
     if mode == "uniform":
         w = F.lit(1.0)
@@ -87,8 +198,7 @@ def gene_weights(cells: DataFrame, genes: DataFrame, counts: DataFrame, mode: st
         rows = rows.join(hit, ["global_row_index", "global_feature_id"], "left")
         w = 1 + weight * F.coalesce("_hit", F.lit(0.0))
     else:
-        chosen = F.col("is_hvg") if hvg_top_k is None else F.col("hvg_rank").between(1, hvg_top_k)
-        w = 1 + weight * F.coalesce(chosen.cast("double"), F.lit(0.0))
+        w = 1 + weight * _chosen(hvg_top_k).cast("double")
     rows = rows.withColumn("w", w)
     return rows.select("global_row_index", "dataset_index", "global_feature_id", (F.col("w") / F.sum("w").over(Window.partitionBy("global_row_index"))).alias("prob"))
 
@@ -100,6 +210,14 @@ def sample_genes(weights: DataFrame, seq_len: int, seed: int) -> DataFrame:
     return weights.where("prob > 0").withColumn("seq", place - 1).where(F.col("seq") < seq_len).select("global_row_index", "seq", "global_feature_id")
 
 
+def check_supplied(sampled: DataFrame, seq_len: int) -> DataFrame:
+    """sampled (global_row_index, seq, global_feature_id) where every cell has each of seq_len places once; another shape is an error."""
+    shape = sampled.groupBy("global_row_index").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("seq").alias("_d"), F.min("seq").alias("_a"), F.max("seq").alias("_b"))
+    good = (F.col("_n") == seq_len) & (F.col("_d") == seq_len) & (F.col("_a") == 0) & (F.col("_b") == seq_len - 1)
+    checked = shape.select(F.when(good, F.col("global_row_index")).otherwise(F.raise_error(F.lit(f"gene ids must be {seq_len} a cell")).cast("long")).alias("global_row_index"))
+    return sampled.join(checked, "global_row_index")
+
+
 def process(cells: DataFrame, sampled: DataFrame, counts: DataFrame, genes: DataFrame, seq_len: int) -> DataFrame:
     """global_row_index, seq, global_feature_id, count, valid for each of seq_len places.
 

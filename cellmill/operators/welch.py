@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpointed
 from .stats import cell_counts, group_sums
 
+#: Labels of datasets whose sizes are broadcast at most.
+FEW_LABELS = 100_000
+
 
 def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function; normal beyond 1e6 degrees."""
@@ -72,6 +76,22 @@ def p_value(t: Column, df: Column) -> Column:
     return F.nanvl(tail(t, df), F.lit(None))
 
 
+def null_labels(obs: DataFrame, label: str, most: int = 10) -> list[int]:
+    """Some rows with a null label, the first ones by number."""
+    return [r[0] for r in obs.where(F.col(label).isNull()).select("global_row_index").orderBy("global_row_index").limit(most).collect()]
+
+
+def label_masks(batches: DataFrame, label: str) -> DataFrame:
+    """dataset_index, batch_id, label, global_row_index: the rows of each label inside each batch, in place of a mask a label."""
+    return batches.where(F.col(label).isNotNull()).select("dataset_index", "batch_id", F.col(label).alias("label"), "global_row_index")
+
+
+def against_control(groups: DataFrame, label: str, control: str, *values: str) -> DataFrame:
+    """Groups (dataset_index, origin_index, label, values) other than the control, with the control's values as <value>_ref."""
+    ref = groups.where(F.col(label) == control).select("dataset_index", "origin_index", *(F.col(c).alias(f"{c}_ref") for c in values))
+    return groups.where(F.col(label) != control).join(ref, ["dataset_index", "origin_index"])
+
+
 def contrasts(coo: DataFrame, obs: DataFrame, var: DataFrame, control: str, label: str = "perturb_label") -> DataFrame:
     """Means, sample variances, t and degrees of freedom of every dataset, label other than the control, and gene.
 
@@ -80,20 +100,20 @@ def contrasts(coo: DataFrame, obs: DataFrame, var: DataFrame, control: str, labe
     """
     if not control:
         raise ValueError("the control label is empty")
-    if not obs.where(F.col(label).isNull()).isEmpty():
-        raise ValueError(f"{label} has nulls")
-    sizes = cell_counts(obs, label)
+    if rows := null_labels(obs, label):
+        raise ValueError(f"{label} is null in rows {rows} at least")
+    sizes = checkpointed(cell_counts(obs, label))
+    few = sizes.count() <= FEW_LABELS
     lacking = sizes.groupBy("dataset_index").agg(F.max((F.col(label) == control).cast("int")).alias("has")).where("has = 0").collect()  # one row a dataset
     if lacking:
         raise ValueError(f"no control in datasets {sorted(r['dataset_index'] for r in lacking)}")
     sums = group_sums(coo, obs, label)
-    every = var.select("dataset_index", "origin_index", "gene_id", "global_feature_id").join(F.broadcast(sizes), "dataset_index")  # a few rows a dataset
+    every = var.select("dataset_index", "origin_index", "gene_id", "global_feature_id").join(F.broadcast(sizes) if few else sizes, "dataset_index")
     rows = every.join(sums, ["dataset_index", label, "origin_index"], "left").fillna(0, ["s", "q", "k"])
     n, mean = F.col("n_obs"), F.col("s") / F.col("n_obs")
     variance = F.when(n > 1, F.greatest((F.col("q") - n * mean * mean) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))).otherwise(0.0)
     rows = rows.select("dataset_index", label, "origin_index", "gene_id", "global_feature_id", n.alias("n"), mean.alias("mean"), variance.alias("v"), (F.col("k") / n).alias("pct"))
-    ref = rows.where(F.col(label) == control).select("dataset_index", "origin_index", *(F.col(c).alias(f"{c}_ref") for c in ("n", "mean", "v", "pct")))
-    both = rows.where(F.col(label) != control).join(ref, ["dataset_index", "origin_index"])
+    both = against_control(rows, label, control, "n", "mean", "v", "pct")
     a, b = F.col("v") / F.col("n"), F.col("v_ref") / F.col("n_ref")
     apart = F.col("mean") - F.col("mean_ref")
     flat = (a + b) <= 0

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import gather as ga
+from ..operators import harmonize as ha
 from ..operators import hvg as hv
 from ..operators import inspect as ins
 from ..operators import pairs as pa
+from ..operators import pca as pc
 from ..operators import relational as re_
 from ..operators import sampling as sa
 from ..operators import stats as st
@@ -19,7 +21,7 @@ from ..operators import welch as we
 from ..plans.views import CONTROL, Corpus
 from .base import Group, rounded
 from .corpus import _HVG, _LOGNORM
-from .samplers import _D9, _asked, _batch, _counts
+from .samplers import _D9, _asked, _counts, _processed
 
 GROUP = Group()
 query = GROUP.query
@@ -43,13 +45,15 @@ def _(c: Corpus):
 
 @query("prj5_row_subset", "SELECT global_row_index, dataset_index FROM cell WHERE o_orderkey % 50 = 0", True)
 def _(c: Corpus):
-    return c.cells.select("global_row_index", "dataset_index").join(_batch(c).select("global_row_index"), "global_row_index", "left_semi")
+    asked = c.cells.where("o_orderkey % 50 = 0").select("global_row_index")  # the subset that is asked for
+    return ga.subset(c.cells.select("global_row_index", "dataset_index"), asked)
 
 
-@query("prj6_row_validation", "SELECT count(*) AS n, count(DISTINCT r) AS n_distinct, count(*) FILTER (r < 0 OR r >= 15000) AS n_outside FROM (SELECT (l_partkey * 7919) % 15000 AS r FROM lineitem)")
+@query("prj6_row_validation", "WITH n AS (SELECT count(*) AS n FROM orders) SELECT count(*) AS n, count(DISTINCT r) AS n_distinct, count(*) FILTER (r < 0 OR r >= (SELECT n FROM n)) AS n_outside FROM (SELECT (l_partkey * 7919) % ((SELECT n FROM n) + 3) AS r FROM lineitem)")
 def _(c: Corpus):
-    asked = c.table("lineitem").select(F.pmod(F.col("l_partkey") * 7919, F.lit(15000)).alias("global_row_index"))
-    return re_.row_report(asked, 0, 15000)
+    n = c.table("orders").count()
+    asked = c.table("lineitem").select(F.pmod(F.col("l_partkey") * 7919, F.lit(n + 3)).alias("global_row_index"))
+    return re_.row_report(asked, 0, n)
 
 
 _NULLED = "WITH x AS (SELECT c_custkey, CASE WHEN c_nationkey % 5 > 0 THEN c_mktsegment END AS label FROM customer)\n"
@@ -61,23 +65,33 @@ def _nulled(c: Corpus):
 
 @query("prj7_drop_null_labels", _NULLED + "SELECT * FROM x WHERE label IS NOT NULL")
 def _(c: Corpus):
-    return _nulled(c).dropna(subset=["label"])
+    return pa.drop_null_labels(_nulled(c), ["label", "not there"])
 
 
 @query("prj8_encode_null_labels", _NULLED + "SELECT c_custkey, coalesce(label, '<null>') AS label FROM x")
 def _(c: Corpus):
-    return _nulled(c).withColumn("label", F.coalesce("label", F.lit(pa.NULL_LABEL)))
+    return pa.encode_null_labels(_nulled(c), ["label"])
 
 
 @query("prj10_predicates", "SELECT p_partkey, lower(trim(p_brand)) = 'brand#2' AS eq, p_brand IN ('Brand#4', 'Brand#17') AS within, p_size % 7 > 0 AS present FROM part")
 def _(c: Corpus):
     rows = c.table("part").withColumn("maybe", F.when(F.col("p_size") % 7 > 0, F.lit("x")))
-    return rows.select("p_partkey", (F.lower(t.strip_whitespace(F.col("p_brand"))) == "brand#2").alias("eq"), F.col("p_brand").isin("Brand#4", "Brand#17").alias("within"), (~t.is_null_like(F.col("maybe"))).alias("present"))
+    cases = {"eq": ha.Case("p_brand", "equals", ("BRAND#2 ",), case_sensitive=False, strip_whitespace=True), "within": ha.Case("p_brand", "in", ("Brand#4", "Brand#17")), "present": ha.Case("maybe", "not_null")}
+    return rows.select("p_partkey", *(ha.predicate(rows, case).alias(k) for k, case in cases.items()))
 
 
-@query("prj12_valid_mask", _D9 + "SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, w.global_feature_id IS NOT NULL AS valid FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id", True)
+@query("prj12_valid_mask", _D9 + "SELECT global_row_index, seq, valid FROM w", True)
 def _(c: Corpus):
-    return sa.process(_batch(c), _asked(c), _counts(c), c.var, 32).select("global_row_index", "seq", "valid")
+    return _processed(c).select("global_row_index", "seq", "valid")
+
+
+@query("prj11_label_masks", "+ k AS (SELECT perturb_label AS label, global_row_index, local_row_index // 1024 AS batch_id, dataset_index FROM obs) SELECT dataset_index, batch_id, label, count(*) AS n, min(global_row_index) AS first FROM k GROUP BY 1, 2, 3", True)
+def _(c: Corpus):
+    from ..streaming.moments import dataset_batches
+
+    batches = dataset_batches(c.obs.select("dataset_index", "local_row_index", "global_row_index", "perturb_label"))
+    masked = we.label_masks(batches, "perturb_label")
+    return masked.groupBy("dataset_index", "batch_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("global_row_index").alias("first"))
 
 
 @query("prj14_filter_language", "SELECT c_custkey FROM customer WHERE (c_acctbal >= 100 AND c_mktsegment IN ('BUILDING', 'MACHINERY')) OR c_nationkey NOT IN (1, 2, 3) AND c_name IS NOT NULL")
@@ -85,7 +99,7 @@ def _(c: Corpus):
     return re_.filter_rows(c.table("customer"), "(c_acctbal >= 100 and c_mktsegment in ('BUILDING', 'MACHINERY')) or c_nationkey not in (1, 2, 3) and c_name is not null").select("c_custkey")
 
 
-@query("join8_match_counts", _D9 + "SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, r.global_feature_id, coalesce(c.count, 0) AS count FROM r LEFT JOIN cnt c ON c.global_row_index = r.global_row_index AND c.global_feature_id = r.global_feature_id", True)
+@query("join8_match_counts", _D9 + "SELECT global_row_index, seq, global_feature_id, greatest(count, 0) AS count FROM w", True)
 def _(c: Corpus):
     return ga.match_genes(_asked(c), _counts(c)).select("global_row_index", "seq", "global_feature_id", "count")
 
@@ -96,20 +110,17 @@ def _(c: Corpus):
     return c.var.join(ranks, ["dataset_index", "origin_index"], "left").select("dataset_index", "origin_index", "global_feature_id", "hvg_rank")
 
 
-@query("join14_semi_and_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
+@query("join14_semi_and_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS known FROM customer")
 def _(c: Corpus):
-    who, orders = c.table("customer").select("c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey"))
-    return who.join(orders, "c_custkey", "left_semi").withColumn("has_orders", F.lit(True)).unionByName(who.join(orders, "c_custkey", "left_anti").withColumn("has_orders", F.lit(False)))
+    return re_.flag_known(c.table("customer").select("c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("join15_control_contrast", _LOGNORM.rstrip().rstrip(",") + """
 , g AS (SELECT dataset_index, perturb_label, origin_index, sum(x) AS s FROM x GROUP BY 1, 2, 3)
 SELECT a.dataset_index, a.perturb_label, a.origin_index, round(a.s - b.s, 6) AS apart FROM g a JOIN g b ON a.dataset_index = b.dataset_index AND a.origin_index = b.origin_index WHERE a.perturb_label <> 'BUILDING' AND b.perturb_label = 'BUILDING'""", True)
 def _(c: Corpus):
-    sums = st.group_sums(c.coo, c.obs, "perturb_label").select("dataset_index", "perturb_label", "origin_index", "s")
-    ref = sums.where(F.col("perturb_label") == CONTROL).select("dataset_index", "origin_index", F.col("s").alias("r"))
-    rows = sums.where(F.col("perturb_label") != CONTROL).join(ref, ["dataset_index", "origin_index"])
-    return rounded(rows.select("dataset_index", "perturb_label", "origin_index", (F.col("s") - F.col("r")).alias("apart")), 6, "apart")
+    rows = we.against_control(st.group_sums(c.coo, c.obs, "perturb_label"), "perturb_label", CONTROL, "s")
+    return rounded(rows.select("dataset_index", "perturb_label", "origin_index", (F.col("s") - F.col("s_ref")).alias("apart")), 6, "apart")
 
 
 @query("agg5_merged_moments", _LOGNORM.rstrip().rstrip(",") + "\nSELECT dataset_index, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x) * count(*), 4) AS m2 FROM x GROUP BY 1", True)
@@ -121,19 +132,18 @@ def _(c: Corpus):
 
 @query("agg15_pools", "SELECT dataset_index, cell_context, perturb_label, count(*) AS n, min(global_row_index) AS first, max(global_row_index) AS last FROM obs GROUP BY 1, 2, 3", True)
 def _(c: Corpus):
-    return c.obs.groupBy("dataset_index", "cell_context", "perturb_label").agg(F.count(F.lit(1)).alias("n"), F.min("global_row_index").alias("first"), F.max("global_row_index").alias("last"))
+    return pa.pools(c.obs, pa.PairConfig(controls=(CONTROL,)))
 
 
 @query("agg19_corpus_totals", "SELECT count(*) AS n_datasets, CAST(sum(cell_count) AS BIGINT) AS n_cells FROM ledger", True)
 def _(c: Corpus):
-    return c.ledger.agg(F.count(F.lit(1)).alias("n_datasets"), F.sum("cell_count").alias("n_cells"))
+    return ga.corpus_totals(c.ledger)
 
 
 @query("win5_cumulative_share", "WITH v AS (SELECT p_brand, sum(p_retailprice) AS v FROM part GROUP BY 1) SELECT p_brand, round(sum(v) OVER (ORDER BY v DESC, p_brand ROWS UNBOUNDED PRECEDING) / sum(v) OVER (), 6) AS share FROM v")
 def _(c: Corpus):
     v = c.table("part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("v"))
-    running = F.sum("v").over(Window.orderBy(F.desc("v"), "p_brand").rowsBetween(Window.unboundedPreceding, 0))
-    return rounded(v.select("p_brand", (running / F.sum("v").over(Window.partitionBy())).alias("share")), 6, "share")
+    return rounded(pc.cumulative_share(v, [], "v", [F.desc("v"), F.col("p_brand")]).select("p_brand", "share"), 6, "share")
 
 
 @query("win10_label_ids", "WITH f AS (SELECT c_mktsegment AS label, min(c_custkey) AS k FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) SELECT 'BUILDING' AS label, 0 AS label_id UNION ALL SELECT label, row_number() OVER (ORDER BY k) FROM f")
@@ -244,13 +254,18 @@ def _(c: Corpus):
     return rounded(c.spark.read.parquet(path).select("dataset_index", "origin_index", "feature_id", "mean_log1p_expr", "hvg_rank", "selected_at_default_n_hvg"), 6, "mean_log1p_expr")
 
 
-@query("d12_missing_token_policy", _D9 + """SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, r.global_feature_id, CASE WHEN w.global_feature_id IS NULL THEN 0 ELSE r.global_feature_id + 4 END AS token_id
-FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id WHERE w.global_feature_id IS NULL OR r.global_feature_id % 3 > 0""", True)
+@query("d12_missing_token_policy", _D9 + "SELECT global_row_index, seq, global_feature_id, CASE WHEN valid THEN global_feature_id + 4 ELSE 0 END AS token_id FROM w WHERE NOT valid OR global_feature_id % 3 > 0", True)
 def _(c: Corpus):
     from ..operators import features as fe
 
     tokens = fe.token_map(fe.vocabulary(c.var)).withColumn("tokenizable", F.col("global_id") % 3 > 0)
-    return sa.tokenize(sa.process(_batch(c), _asked(c), _counts(c), c.var, 32), tokens, policy="exclude").select("global_row_index", "seq", "global_feature_id", "token_id")
+    return sa.tokenize(_processed(c), tokens, policy="exclude").select("global_row_index", "seq", "global_feature_id", "token_id")
+
+
+@query("set11_chunks", "+ k AS (SELECT global_row_index, (row_number() OVER (ORDER BY global_row_index) - 1) // 1000 AS chunk FROM cell) SELECT chunk, count(*) AS n, min(global_row_index) AS first, max(global_row_index) AS last FROM k GROUP BY 1", True)
+def _(c: Corpus):
+    rows = re_.batch_ids(c.cells.select("global_row_index"), "global_row_index", 1000)
+    return rows.groupBy(F.col("batch_id").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("global_row_index").alias("first"), F.max("global_row_index").alias("last"))
 
 
 @query("p9_label_encoding", """+ f AS (SELECT perturb_label AS label, min(global_row_index) AS k FROM obs WHERE perturb_label <> 'BUILDING' GROUP BY 1), ids AS (SELECT 'BUILDING' AS label, 0 AS label_id UNION ALL SELECT label, row_number() OVER (ORDER BY k) FROM f)
@@ -258,4 +273,4 @@ SELECT o.global_row_index, ids.label_id FROM obs o JOIN ids ON ids.label = o.per
 def _(c: Corpus):
     config = pa.PairConfig(controls=(CONTROL,))
     rows = pa.prepare(c.obs, config)
-    return rows.join(F.broadcast(pa.label_ids(rows, config)), F.col("perturb_label") == F.col("label")).select("global_row_index", "label_id")
+    return rows.join(pa.label_ids(rows, config), F.col("perturb_label") == F.col("label")).select("global_row_index", "label_id")

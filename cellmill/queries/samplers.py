@@ -18,18 +18,18 @@ query = GROUP.query
 _U = "(CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) + 1) / 4294967297.0"
 
 
-@query("d4_random_batches", """WITH t AS (SELECT b.i AS batch_id, t.i AS n, CAST(('0x' || substr(md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(t.i AS VARCHAR)), 1, 15)) AS BIGINT) % (SELECT count(*) FROM orders) AS global_row_index FROM range(40) b(i), range(320) t(i)),
+@query("d4_random_batches", """WITH t AS (SELECT b.i AS batch_id, t.i AS n, CAST(('0x' || substr(md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(t.i AS VARCHAR)), 1, 15)) AS BIGINT) % (SELECT count(*) FROM orders) AS global_row_index FROM range((SELECT CAST(ceil(count(*) / 128.0) AS BIGINT) FROM orders)) b(i), range(320) t(i)),
 k AS (SELECT batch_id, global_row_index, min(n) AS key FROM t GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY key) AS place FROM k)
-SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM p WHERE place <= 128""")
+SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM p WHERE place <= least(128, (SELECT count(*) FROM orders) - batch_id * 128)""")
 def _(c: Corpus):
-    return sa.random_batches(c.spark, c.table("orders").count(), 128, 40, seed=7, epoch=1)
+    return sa.random_batches(c.spark, c.table("orders").count(), 128, None, seed=7, epoch=1)
 
 
-@query("d4_large_batches", """+ k AS (SELECT b.i AS batch_id, c.global_row_index, row_number() OVER (PARTITION BY b.i ORDER BY md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(c.global_row_index AS VARCHAR)), c.global_row_index) AS n, (SELECT count(*) FROM orders) // 2 AS size FROM cell c, range(3) b(i))
-SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM k WHERE n <= size""", True)
+@query("d4_large_batches", """+ k AS (SELECT b.i AS batch_id, c.global_row_index, row_number() OVER (PARTITION BY b.i ORDER BY md5('7|1|' || CAST(b.i AS VARCHAR) || '|' || CAST(c.global_row_index AS VARCHAR)), c.global_row_index) AS n, (SELECT count(*) FROM orders) // 2 AS size FROM cell c, range((SELECT CAST(ceil(count(*) / (count(*) // 2)) AS BIGINT) FROM orders)) b(i))
+SELECT CAST(batch_id AS INT) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1 AS INT) AS pos, global_row_index FROM k WHERE n <= least(size, (SELECT count(*) FROM orders) - batch_id * size)""", True)
 def _(c: Corpus):
     n = c.table("orders").count()
-    return sa.random_batches(c.spark, n, n // 2, 3, seed=7, epoch=1)
+    return sa.random_batches(c.spark, n, n // 2, None, seed=7, epoch=1)
 
 
 @query("d5_context_batches", """+ k AS (SELECT cell_context, global_row_index, row_number() OVER (PARTITION BY cell_context ORDER BY md5('3|0|' || CAST(global_row_index AS VARCHAR)), global_row_index) - 1 AS n, count(*) OVER (PARTITION BY cell_context) AS many FROM obs)
@@ -43,15 +43,20 @@ def _(c: Corpus):
     return sa.n_batches(c.obs, "cell_context", 64)
 
 
-@query("agg13_context_row_lists", "SELECT batch_id, count(*) AS n, min(global_row_index) AS first, md5(string_agg(CAST(global_row_index AS VARCHAR), ',' ORDER BY global_row_index)) AS digest FROM obs GROUP BY 1", True)
+@query("agg13_context_row_lists", """+ k AS (SELECT batch_id, global_row_index, (row_number() OVER (PARTITION BY batch_id ORDER BY global_row_index) - 1) // 100 AS part FROM obs)
+SELECT batch_id, part, count(*) AS n, min(global_row_index) AS first, md5(string_agg(CAST(global_row_index AS VARCHAR), ',' ORDER BY global_row_index)) AS digest FROM k GROUP BY 1, 2""", True)
 def _(c: Corpus):
-    rows = c.obs.groupBy("batch_id").agg(F.sort_array(F.collect_list("global_row_index")).alias("rows"))
-    return rows.select("batch_id", F.size("rows").cast("long").alias("n"), F.element_at("rows", 1).alias("first"), F.md5(F.array_join("rows", ",")).alias("digest"))
+    rows = sa.row_lists(c.obs, "batch_id", 100)
+    return rows.select("batch_id", "part", F.size("rows").cast("long").alias("n"), F.element_at("rows", 1).alias("first"), F.md5(F.array_join("rows", ",")).alias("digest"))
 
 
-def _batch(c: Corpus):
-    """Every cell whose order number is a multiple of 50: a batch."""
-    return c.cells.where("o_orderkey % 50 = 0").select("global_row_index", "dataset_index")
+def _cells(c: Corpus):
+    return c.cells.select("global_row_index", "dataset_index")
+
+
+def _rows(c: Corpus):
+    """Sparse rows of all cells with their dataset."""
+    return c.sparse_rows.join(_cells(c), "global_row_index")
 
 
 def _genes(c: Corpus):
@@ -67,60 +72,82 @@ def _counts(c: Corpus):
     return ga.to_global(c.coo, c.var).select("global_row_index", "global_feature_id", "origin_index", "count")
 
 
-_B = """+ batch AS (SELECT global_row_index, dataset_index FROM cell WHERE o_orderkey % 50 = 0),
-cnt AS (SELECT o.global_row_index, v.global_feature_id, o.count FROM coo o JOIN var v ON o.dataset_index = v.dataset_index AND o.origin_index = v.origin_index),
-w AS (SELECT b.global_row_index, b.dataset_index, v.global_feature_id, CASE WHEN c.count > 0 THEN 4.0 ELSE 1.0 END AS w, c.count FROM batch b JOIN var v ON b.dataset_index = v.dataset_index LEFT JOIN cnt c ON c.global_row_index = b.global_row_index AND c.global_feature_id = v.global_feature_id),
-p AS (SELECT *, w / sum(w) OVER (PARTITION BY global_row_index) AS prob FROM w),
-s AS (SELECT *, row_number() OVER (PARTITION BY global_row_index ORDER BY round(-ln(""" + _U.format("'11|' || CAST(global_row_index AS VARCHAR) || '|' || CAST(global_feature_id AS VARCHAR)") + """) / prob, 9), global_feature_id) - 1 AS seq FROM p)
+_B = """+ cnt AS (SELECT o.global_row_index, o.dataset_index, o.origin_index, v.global_feature_id, o.count FROM coo o JOIN var v ON o.dataset_index = v.dataset_index AND o.origin_index = v.origin_index),
+size AS (SELECT dataset_index, count(*) AS n FROM var GROUP BY 1),
+own AS (SELECT c.global_row_index, c.dataset_index, s.n, coalesce(e.k, 0) AS k FROM cell c JOIN size s ON s.dataset_index = c.dataset_index LEFT JOIN (SELECT global_row_index, count(*) AS k FROM cnt WHERE count > 0 GROUP BY 1) e ON e.global_row_index = c.global_row_index)
+"""
+_S = _B + """, tried AS (SELECT o.global_row_index, o.dataset_index, CAST(('0x' || substr(md5('11|' || CAST(o.global_row_index AS VARCHAR) || '|0|' || CAST(t.i AS VARCHAR)), 1, 15)) AS BIGINT) % o.n AS number, min(t.i) AS i FROM own o, range(128) t(i) GROUP BY 1, 2, 3),
+numbers AS (SELECT t.global_row_index, t.dataset_index, t.number, row_number() OVER (PARTITION BY t.global_row_index ORDER BY t.i) AS i FROM tried t LEFT JOIN cnt ON cnt.global_row_index = t.global_row_index AND cnt.origin_index = t.number AND cnt.count > 0 WHERE cnt.count IS NULL),
+keys AS (SELECT o.global_row_index, t.i, sum(-ln(""" + _U.format("'11|' || CAST(o.global_row_index AS VARCHAR) || '|0|key|' || CAST(t.i AS VARCHAR)") + """) / (o.n - o.k - t.i + 1)) OVER (PARTITION BY o.global_row_index ORDER BY t.i) AS key FROM own o, range(1, 33) t(i)),
+found AS (SELECT n.global_row_index, n.dataset_index, n.number, round(k.key, 9) AS key FROM numbers n JOIN keys k ON k.global_row_index = n.global_row_index AND k.i = n.i
+ UNION ALL SELECT global_row_index, dataset_index, origin_index, round(-ln(""" + _U.format("'11|' || CAST(global_row_index AS VARCHAR) || '|hot|' || CAST(origin_index AS VARCHAR)") + """) / 4.0, 9) FROM cnt WHERE count > 0),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY global_row_index ORDER BY key, number) - 1 AS seq FROM found),
+s AS (SELECT d.global_row_index, CAST(d.seq AS INT) AS seq, v.global_feature_id FROM drawn d JOIN var v ON v.dataset_index = d.dataset_index AND v.origin_index = d.number WHERE d.seq < 32)
 """
 
 
-@query("d7_gene_weights_expressed", _B + "SELECT global_row_index, dataset_index, global_feature_id, round(prob, 9) AS prob FROM p", True)
+@query("d7_gene_weights_expressed", _B + """SELECT o.global_row_index, o.dataset_index, c.global_feature_id, round(4.0 / (o.n + 3.0 * o.k), 9) AS prob FROM own o JOIN cnt c ON c.global_row_index = o.global_row_index AND c.count > 0
+UNION ALL SELECT global_row_index, dataset_index, NULL, round(1.0 / (n + 3.0 * k), 9) FROM own""", True)
 def _(c: Corpus):
-    return rounded(sa.gene_weights(_batch(c), _plain_genes(c), _counts(c), "expressed"), 9, "prob")
+    return rounded(sa.cell_weights(_rows(c), _plain_genes(c)), 9, "prob")
 
 
-@query("d7_gene_weights_uniform", _B + "SELECT global_row_index, dataset_index, global_feature_id, round(1.0 / count(*) OVER (PARTITION BY global_row_index), 9) AS prob FROM p", True)
+@query("d7_gene_weights_uniform", "SELECT dataset_index, global_feature_id, round(1.0 / count(*) OVER (PARTITION BY dataset_index), 9) AS prob FROM var", True)
 def _(c: Corpus):
-    return rounded(sa.gene_weights(_batch(c), _plain_genes(c), _counts(c)), 9, "prob")
+    return rounded(sa.dataset_weights(_plain_genes(c)), 9, "prob")
 
 
 @query("d7_gene_weights_hvg", _HVG + """, r AS (SELECT dataset_index, global_feature_id, CASE WHEN row_number() OVER (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index) <= 100 THEN 4.0 ELSE 1.0 END AS w FROM h)
-SELECT c.global_row_index, c.dataset_index, r.global_feature_id, round(r.w / sum(r.w) OVER (PARTITION BY c.global_row_index), 9) AS prob FROM cell c JOIN r ON c.dataset_index = r.dataset_index WHERE c.o_orderkey % 50 = 0""", True)
+SELECT dataset_index, global_feature_id, round(w / sum(w) OVER (PARTITION BY dataset_index), 9) AS prob FROM r""", True)
+def _(c: Corpus):
+    return rounded(sa.dataset_weights(_genes(c), "hvg", hvg_top_k=100), 9, "prob")
+
+
+@query("d8_sampled_genes", _S + "SELECT global_row_index, seq, global_feature_id FROM s", True)
 def _(c: Corpus):
-    return rounded(sa.gene_weights(_batch(c), _genes(c), _counts(c), "hvg", hvg_top_k=100), 9, "prob")
+    return sa.sample_rows_genes(_rows(c), _plain_genes(c), 32, 11)
 
 
-@query("d8_sampled_genes", _B + "SELECT global_row_index, CAST(seq AS INT) AS seq, global_feature_id FROM s WHERE seq < 32", True)
+@query("d8_sampled_hvg_genes")
 def _(c: Corpus):
-    return sa.sample_genes(sa.gene_weights(_batch(c), _plain_genes(c), _counts(c), "expressed"), 32, 11)
+    return sa.sample_rows_genes(_rows(c), _genes(c), 32, 11, "hvg", hvg_top_k=100)
 
 
-_D9 = _B + """, r AS (SELECT b.global_row_index, b.dataset_index, t.i AS seq, (b.global_row_index * 31 + t.i * 17) % 2100 AS global_feature_id FROM batch b, range(32) t(i))
+_D9 = _B + """, r AS (SELECT c.global_row_index, c.dataset_index, t.i AS seq, (c.global_row_index * 31 + t.i * 17) % 2100 AS global_feature_id FROM cell c, range(32) t(i)),
+w AS (SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, r.global_feature_id, v.global_feature_id IS NOT NULL AS valid, CASE WHEN v.global_feature_id IS NULL THEN -1 ELSE coalesce(n.count, 0) END AS count
+ FROM r LEFT JOIN var v ON v.dataset_index = r.dataset_index AND v.global_feature_id = r.global_feature_id LEFT JOIN cnt n ON n.global_row_index = r.global_row_index AND n.global_feature_id = r.global_feature_id)
 """
 
 
 def _asked(c: Corpus):
     seq = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("seq")
-    return _batch(c).select("global_row_index", seq).withColumn("global_feature_id", F.pmod(F.col("global_row_index") * 31 + F.col("seq") * 17, F.lit(2100)))
+    return _cells(c).select("global_row_index", seq).withColumn("global_feature_id", F.pmod(F.col("global_row_index") * 31 + F.col("seq") * 17, F.lit(2100)))
+
+
+def _processed(c: Corpus):
+    return sa.process(_cells(c), _asked(c), _counts(c), c.var, 32)
 
 
-@query("d9_process_batch", _D9 + """SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, r.global_feature_id, CASE WHEN w.global_feature_id IS NULL THEN -1 ELSE coalesce(w.count, 0) END AS count, w.global_feature_id IS NOT NULL AS valid
-FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id""", True)
+@query("d9_process_batch", _D9 + "SELECT global_row_index, seq, global_feature_id, count, valid FROM w", True)
 def _(c: Corpus):
-    return sa.process(_batch(c), _asked(c), _counts(c), c.var, 32)
+    return _processed(c)
 
 
-@query("join10_tokens", _D9 + """SELECT r.global_row_index, CAST(r.seq AS INT) AS seq, r.global_feature_id, CASE WHEN w.global_feature_id IS NULL THEN -1 ELSE coalesce(w.count, 0) END AS count, w.global_feature_id IS NOT NULL AS valid, CASE WHEN w.global_feature_id IS NULL THEN 0 ELSE r.global_feature_id + 4 END AS token_id
-FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id""", True)
+@query("d9a_supplied_genes", _D9 + "SELECT global_row_index, seq, global_feature_id FROM w", True)
 def _(c: Corpus):
-    return sa.tokenize(sa.process(_batch(c), _asked(c), _counts(c), c.var, 32), fe.token_map(fe.vocabulary(c.var)), policy="pad")
+    return sa.check_supplied(_asked(c), 32)
 
 
-@query("d10_loader_batches", _B + """SELECT global_row_index, string_agg(CAST(global_feature_id AS VARCHAR), ',' ORDER BY seq) AS genes, string_agg(CAST(coalesce(count, 0) AS VARCHAR), ',' ORDER BY seq) AS counts FROM s WHERE seq < 32 GROUP BY 1""", True)
+@query("join10_tokens", _D9 + "SELECT global_row_index, seq, global_feature_id, count, valid, CASE WHEN valid THEN global_feature_id + 4 ELSE 0 END AS token_id FROM w", True)
 def _(c: Corpus):
-    sampled = sa.sample_genes(sa.gene_weights(_batch(c), _plain_genes(c), _counts(c), "expressed"), 32, 11)
-    rows = sa.collate(sa.process(_batch(c), sampled, _counts(c), c.var, 32))
+    return sa.tokenize(_processed(c), fe.token_map(fe.vocabulary(c.var)), policy="pad")
+
+
+@query("d10_loader_batches", _S + """SELECT s.global_row_index, string_agg(CAST(s.global_feature_id AS VARCHAR), ',' ORDER BY seq) AS genes, string_agg(CAST(coalesce(c.count, 0) AS VARCHAR), ',' ORDER BY seq) AS counts
+FROM s LEFT JOIN cnt c ON c.global_row_index = s.global_row_index AND c.global_feature_id = s.global_feature_id GROUP BY 1""", True)
+def _(c: Corpus):
+    sampled = sa.sample_rows_genes(_rows(c), _plain_genes(c), 32, 11)
+    rows = sa.collate(sa.process(_cells(c), sampled, _counts(c), c.var, 32))
     return rows.select("global_row_index", F.array_join("genes", ",").alias("genes"), F.array_join("counts", ",").alias("counts"))
 
 
@@ -159,37 +186,49 @@ def _(c: Corpus):
     return pa.label_ids(pa.prepare(c.obs, config), config)
 
 
-@query("p5_paired_batch", _PAIRS.replace("+ num", _D9.lstrip().removeprefix("+ ").rstrip() + ", num", 1).replace("batch AS", "+ batch AS", 1) + """, one AS (SELECT pr.* FROM pr JOIN batch ON batch.global_row_index = pr.source_row)
-SELECT one.source_row, one.target_row, one.target_label, CAST(r.seq AS INT) AS seq, r.global_feature_id,
- CASE WHEN NOT EXISTS (SELECT 1 FROM var v WHERE v.dataset_index = so.dataset_index AND v.global_feature_id = r.global_feature_id) THEN -2 ELSE coalesce(cs.count, 0) END AS source_value,
- CASE WHEN NOT EXISTS (SELECT 1 FROM var v WHERE v.dataset_index = ta.dataset_index AND v.global_feature_id = r.global_feature_id) THEN -2 ELSE coalesce(ct.count, 0) END AS target_value,
- round(so.size_factor, 6) AS source_size_factor, round(ta.size_factor, 6) AS target_size_factor
-FROM one JOIN r ON r.global_row_index = one.source_row JOIN obs so ON so.global_row_index = one.source_row JOIN obs ta ON ta.global_row_index = one.target_row
-LEFT JOIN cnt cs ON cs.global_row_index = one.source_row AND cs.global_feature_id = r.global_feature_id LEFT JOIN cnt ct ON ct.global_row_index = one.target_row AND ct.global_feature_id = r.global_feature_id""", True)
+_P5 = _PAIRS.replace("+ num", _D9.lstrip().removeprefix("+ ").rstrip() + ", num", 1).replace("cnt AS", "+ cnt AS", 1)
+
+
+@query("p5_paired_batch", _P5 + """SELECT pr.source_row, pr.target_row, pr.target_label, w.seq, w.global_feature_id, CASE WHEN w.valid THEN w.count ELSE -2 END AS source_value,
+ CASE WHEN tv.global_feature_id IS NULL THEN -2 ELSE coalesce(ct.count, 0) END AS target_value, round(so.size_factor, 6) AS source_size_factor, round(ta.size_factor, 6) AS target_size_factor
+FROM pr JOIN w ON w.global_row_index = pr.source_row JOIN obs so ON so.global_row_index = pr.source_row JOIN obs ta ON ta.global_row_index = pr.target_row
+LEFT JOIN var tv ON tv.dataset_index = ta.dataset_index AND tv.global_feature_id = w.global_feature_id LEFT JOIN cnt ct ON ct.global_row_index = pr.target_row AND ct.global_feature_id = w.global_feature_id""", True)
+def _(c: Corpus):
+    return rounded(pa.paired_batch(_paired(c), _asked(c), _counts(c), c.var, c.obs), 6, "source_size_factor", "target_size_factor")
+
+
+@query("p2a_lookup_rows", "+ r AS (SELECT l_orderkey, l_linenumber, (l_partkey * 7919) % (SELECT count(*) FROM orders) AS global_row_index FROM lineitem) SELECT r.l_orderkey, r.l_linenumber, r.global_row_index, o.perturb_label, o.cell_context FROM r JOIN obs o ON o.global_row_index = r.global_row_index", True)
+def _(c: Corpus):
+    asked = c.table("lineitem").select("l_orderkey", "l_linenumber", F.pmod(F.col("l_partkey") * 7919, F.lit(c.table("orders").count())).alias("global_row_index"))
+    return pa.lookup_rows(asked, pa.prepare(c.obs, _CONFIG).select("global_row_index", "perturb_label", "cell_context"))
+
+
+@query("p5b_batch_checks", "SELECT * FROM (VALUES ('shape', true), ('pairs', (SELECT count(*) > 0 FROM orders)), ('sources', (SELECT count(*) > 0 FROM customer)), ('size_factors', (SELECT min(l_quantity) > 0 FROM lineitem))) x(\"check\", ok)")
 def _(c: Corpus):
-    some = _paired(c).join(_batch(c).select(F.col("global_row_index").alias("source_row")), "source_row", "left_semi")
-    return rounded(pa.paired_batch(some, _asked(c), _counts(c), c.var, c.obs), 6, "source_size_factor", "target_size_factor")
+    paired = _paired(c)
+    return pa.check_batch(paired, pa.paired_batch(paired, _asked(c), _counts(c), c.var, c.obs), 32)
 
 
-@query("p7_masked_values", _D9 + """, v AS (SELECT r.global_row_index, r.seq, r.global_feature_id, CASE WHEN w.global_feature_id IS NULL THEN -1 ELSE coalesce(w.count, 0) END AS count, w.global_feature_id IS NOT NULL AS valid FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id),
-m AS (SELECT *, row_number() OVER (PARTITION BY global_row_index ORDER BY CASE WHEN valid THEN 0 ELSE 1 END, md5('9|mask|' || CAST(global_row_index AS VARCHAR) || '|' || CAST(seq AS VARCHAR)), seq) AS n, count(*) FILTER (valid) OVER (PARTITION BY global_row_index) AS many FROM v)
-SELECT global_row_index, CAST(seq AS INT) AS seq, global_feature_id, count, valid, valid AND n <= floor(many * 0.15) AS masked, CASE WHEN valid AND n <= floor(many * 0.15) THEN -1 WHEN valid THEN count ELSE -2 END AS value FROM m""", True)
+@query("p7_masked_values", _D9 + """, m AS (SELECT *, row_number() OVER (PARTITION BY global_row_index ORDER BY CASE WHEN valid THEN 0 ELSE 1 END, md5('9|mask|' || CAST(global_row_index AS VARCHAR) || '|' || CAST(seq AS VARCHAR)), seq) AS n, count(*) FILTER (valid) OVER (PARTITION BY global_row_index) AS many FROM w)
+SELECT global_row_index, seq, global_feature_id, count, valid, valid AND n <= floor(many * 0.15) AS masked, CASE WHEN valid AND n <= floor(many * 0.15) THEN -1 WHEN valid THEN count ELSE -2 END AS value FROM m""", True)
 def _(c: Corpus):
-    return pa.mask(sa.process(_batch(c), _asked(c), _counts(c), c.var, 32), 0.15, 9)
+    return pa.mask(_processed(c), 0.15, 9)
 
 
-@query("p6_prepend_cls", _D9 + """SELECT r.global_row_index, '1,' || string_agg(CAST(r.global_feature_id AS VARCHAR), ',' ORDER BY r.seq) AS genes, '-3,' || string_agg(CAST(CASE WHEN w.global_feature_id IS NULL THEN -1 ELSE coalesce(w.count, 0) END AS VARCHAR), ',' ORDER BY r.seq) AS counts
-FROM r LEFT JOIN w ON w.global_row_index = r.global_row_index AND w.global_feature_id = r.global_feature_id GROUP BY 1""", True)
+@query("p6_prepend_cls", _D9 + "SELECT global_row_index, '1,' || string_agg(CAST(global_feature_id AS VARCHAR), ',' ORDER BY seq) AS genes, '-3,' || string_agg(CAST(count AS VARCHAR), ',' ORDER BY seq) AS counts FROM w GROUP BY 1", True)
 def _(c: Corpus):
-    rows = pa.with_cls(sa.collate(sa.process(_batch(c), _asked(c), _counts(c), c.var, 32)), 1)
+    rows = pa.with_cls(sa.collate(_processed(c)), 1)
     return rows.select("global_row_index", F.array_join("genes", ",").alias("genes"), F.array_join("counts", ",").alias("counts"))
 
 
-@query("p8_full_expression", _B + """, g AS (SELECT DISTINCT global_feature_id FROM gene)
-SELECT b.global_row_index, g.global_feature_id, coalesce(w.count, 0) AS count, w.global_feature_id IS NOT NULL AS valid FROM batch b JOIN g ON true LEFT JOIN w ON w.global_row_index = b.global_row_index AND w.global_feature_id = g.global_feature_id""", True)
+@query("p8_full_expression", _B + """, g AS (SELECT count(*) AS size FROM gene), e AS (SELECT global_row_index, sum(count) AS total, sum(count * (global_feature_id + 1)) AS weighted FROM cnt GROUP BY 1), m AS (SELECT dataset_index, count(*) AS n_valid, sum(global_feature_id) AS valid_sum FROM var GROUP BY 1)
+SELECT c.global_row_index, g.size, CAST(coalesce(e.total, 0) AS BIGINT) AS total, CAST(coalesce(e.weighted, 0) AS BIGINT) AS weighted, m.n_valid, CAST(m.valid_sum AS BIGINT) AS valid_sum FROM cell c JOIN m ON m.dataset_index = c.dataset_index, g LEFT JOIN e ON e.global_row_index = c.global_row_index""", True)
 def _(c: Corpus):
-    vocab = fe.vocabulary(c.var)
-    return pa.full_expression(_batch(c), vocab, c.var, _counts(c), fe.token_map(vocab))
+    rows = pa.full_vectors(_rows(c), c.var, fe.token_map(fe.vocabulary(c.var)))
+    added = lambda arr, value: F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + value(x))
+    places = F.transform("counts", lambda x, i: x.cast("long") * (i + 1))
+    valid = F.filter(F.transform("valid", lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
+    return rows.select("global_row_index", F.size("counts").cast("long").alias("size"), added("counts", lambda x: x.cast("long")).alias("total"), added(places, lambda x: x).alias("weighted"), F.size(valid).cast("long").alias("n_valid"), added(valid, lambda x: x.cast("long")).alias("valid_sum"))
 
 
 @query("x_stratified_rows", """+ k AS (SELECT batch_id, global_row_index, row_number() OVER (PARTITION BY batch_id ORDER BY md5('2|' || CAST(global_row_index AS VARCHAR)), global_row_index) AS n FROM obs)

@@ -119,18 +119,31 @@ def test_stats_against_dense(spark, sf):
     got = st.lognorm_stats(c.coo, c.obs, c.var, c.ledger).where("dataset_index = 0").join(c.var.select("dataset_index", "gene_id", "origin_index"), ["dataset_index", "gene_id"]).orderBy("origin_index").toPandas()
     assert np.allclose(got.mean_lognorm, x.mean(axis=0)) and np.allclose(got.var_lognorm, x.var(axis=0)) and (got.n_nonzero == (x > 0).sum(axis=0)).all()
 
+    coo, obs = c.coo.where("dataset_index = 0"), c.obs.where("dataset_index = 0")
     sel = pc.select_features(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=8), c.var).where("dataset_index = 0")
-    loadings, stats = pc.fit(c.coo, c.obs, sel, 3)
     cols = [r["origin_index"] for r in sel.orderBy("selected_feature_index").collect()]
-    centred = x[:, cols] - x[:, cols].mean(axis=0)
-    s = np.linalg.svd(centred, compute_uv=False)
-    got = stats.where("dataset_index = 0").orderBy("component_index").toPandas()
-    assert np.allclose(got.singular_value, s[:3]) and np.allclose(got.explained_variance_ratio, (s**2 / (s**2).sum())[:3])
-    w = loadings.orderBy("component_index", "selected_feature_index").toPandas().loading.to_numpy().reshape(3, -1)
-    emb = pc.embeddings(pc.project(c.coo.where("dataset_index = 0"), c.obs.where("dataset_index = 0"), sel, loadings), c.obs.where("dataset_index = 0"), 3).orderBy("global_row_index").toPandas()
-    assert np.allclose(emb[["component_1", "component_2", "component_3"]], centred @ w.T, atol=1e-9)
+    names = ["component_1", "component_2", "component_3"]
+    for fitted in (obs, obs.where("local_row_index % 3 > 0")):  # other rows than the fitted ones are centred by the fitted means
+        rows = [r[0] for r in fitted.select("local_row_index").orderBy("local_row_index").collect()]
+        model = pc.fit(coo, fitted, sel, 3)
+        mean = x[rows][:, cols].mean(axis=0)
+        s = np.linalg.svd(x[rows][:, cols] - mean, compute_uv=False)
+        got = pc.component_stats(model).orderBy("component_index").toPandas()
+        assert np.allclose(got.singular_value, s[:3]) and np.allclose(got.explained_variance_ratio, (s**2 / (s**2).sum())[:3]) and np.allclose(got.cumulative_explained_variance_ratio, np.cumsum(s**2 / (s**2).sum())[:3])
+        w = pc.loadings(model).orderBy("component_index", "selected_feature_index").toPandas().loading.to_numpy().reshape(3, -1)
+        assert (w[np.arange(3), np.abs(w).argmax(axis=1)] > 0).all()
+        emb = pc.project(coo, obs, sel, model, 3).orderBy("global_row_index").toPandas()
+        assert np.allclose(emb[names], (x[:, cols] - mean) @ w.T, atol=1e-9)
     with pytest.raises(ValueError):
-        pc.fit(c.coo, c.obs, sel, 9)
+        pc.fit(coo, obs, sel, 9)
+    with pytest.raises(MemoryError):
+        pc.fit(coo, obs, sel, 2, most=7)
+    with pytest.raises(ValueError):
+        pc.fit(coo, obs, sel.limit(0), 2)
+    with pytest.raises(ValueError):
+        pc.project(c.coo, c.obs, sel, model, 3)
+    every = pc.select_features(None, c.var).where("dataset_index = 0")
+    assert every.count() == n_genes and pc.memory_needed(1000, 50) == 8 * 1000 * 2050
 
 
 def test_rank_genes_rules(spark, sf):
@@ -142,6 +155,8 @@ def test_rank_genes_rules(spark, sf):
         we.rank_genes(c.coo, c.obs, c.var, c.ledger, "no such label")
     with pytest.raises(ValueError):
         we.rank_genes(c.coo, c.obs, c.var, c.ledger, "BUILDING", top_k=0)
+    with pytest.raises(ValueError, match=r"null in rows \[0, 2"):
+        we.contrasts(c.coo, c.obs.withColumn("perturb_label", F.when(~F.col("global_row_index").isin(0, 2), F.col("perturb_label"))), c.var, "BUILDING")
 
 
 def test_repartitioning_changes_nothing(spark, sf):
@@ -192,6 +207,47 @@ def test_dynamic_weights_golden(spark):
     assert sorted(r["global_feature_id"] for r in out) == [-1, -1, 0, 1, 2, 3] and [r["valid"] for r in out] == [True] * 4 + [False] * 2
 
 
+def test_urns_draw_by_weight(spark):
+    """Genes drawn from urns are distinct, whole where the urn runs short, and as frequent as their weights say."""
+    n, cells = 40, 4000
+    rows = spark.range(cells).select(F.col("id").alias("global_row_index"), F.lit(0).alias("dataset_index"), F.array(F.lit(3), F.lit(7), F.lit(9)).alias("expressed_gene_indices"), F.array(F.lit(2), F.lit(0), F.lit(5)).alias("expression_counts"))
+    genes = spark.createDataFrame([(0, g, 100 + g, g + 1, g < 5) for g in range(n)], "dataset_index int, origin_index int, global_feature_id long, hvg_rank int, is_hvg boolean")
+    for mode, hot in (("expressed", {103, 109}), ("hvg", set(range(100, 105))), ("uniform", set())):
+        got = sa.sample_rows_genes(rows, genes, 4, 3, mode).toPandas()
+        assert len(got) == 4 * cells and not got.duplicated(["global_row_index", "global_feature_id"]).any() and set(got.seq) == set(range(4))
+        first = got[got.seq == 0].global_feature_id
+        share = first.isin(hot).mean()
+        want = 4 * len(hot) / (n - len(hot) + 4 * len(hot))
+        assert abs(share - want) < 4 * (want * (1 - want) / cells) ** 0.5 + 1e-9
+        counts = first[~first.isin(hot)].value_counts()
+        assert len(counts) == n - len(hot) and counts.max() < 3 * counts.min() + 60
+        whole = sa.sample_rows_genes(rows.limit(50), genes, 60, 3, mode).groupBy("global_row_index").agg(F.count_distinct("global_feature_id").alias("d"), F.count("seq").alias("n")).collect()
+        assert {(r["d"], r["n"]) for r in whole} == {(n, n)}
+    with pytest.raises(ValueError):
+        sa.sample_rows_genes(rows, genes, 0, 3)
+    with pytest.raises(Exception, match="origin_index"):
+        sa.sample_rows_genes(rows, genes.where("origin_index <> 5"), 4, 3).collect()
+
+
+def test_supplied_genes_and_lookups(spark):
+    asked = spark.createDataFrame([(0, s, 5 + s) for s in range(3)] + [(1, s, 5) for s in range(2)], "global_row_index long, seq int, global_feature_id long")
+    assert sa.check_supplied(asked.where("global_row_index = 0"), 3).count() == 3
+    with pytest.raises(Exception, match="3 a cell"):
+        sa.check_supplied(asked, 3).collect()
+    with pytest.raises(Exception, match="no prepared row"):
+        pa.lookup_rows(asked, spark.createDataFrame([(0, "a")], "global_row_index long, label string")).collect()
+    assert sa.process(asked.select("global_row_index", F.lit(0).alias("dataset_index")).limit(0), asked, spark.createDataFrame([], "global_row_index long, global_feature_id long, origin_index int, count int"), spark.createDataFrame([(0, 5)], "dataset_index int, global_feature_id long"), 3).collect() == []
+
+
+def test_full_vectors(spark):
+    rows = spark.createDataFrame([(0, 0, [0, 2], [4, 1]), (1, 1, [], []), (2, 1, [0, 1], [7, 9])], "global_row_index long, dataset_index int, expressed_gene_indices array<int>, expression_counts array<int>")
+    genes = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, 4), (1, 0, 2), (1, 1, 2)], "dataset_index int, origin_index int, global_feature_id long")
+    tokens = spark.createDataFrame([(g, g != 4) for g in range(5)], "global_id long, tokenizable boolean")
+    got = {r["global_row_index"]: (r["counts"], r["valid"]) for r in pa.full_vectors(rows, genes, tokens).collect()}
+    assert got[0] == ([0, 4, 0, 0, 1], [True, True, False, False, False])
+    assert got[1] == ([0] * 5, [False, False, True, False, False]) and got[2] == ([0, 0, 9, 0, 0], got[1][1])
+
+
 def test_pair_rules(spark):
     rows = [(i, 0, "ctx", "WT" if i < 3 else f"KO_{i % 2}") for i in range(9)]
     obs = spark.createDataFrame(rows, "global_row_index long, dataset_index int, cell_context string, perturb_label string")

@@ -130,25 +130,28 @@ def expressed() -> Column:
     return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["c"] > 0), lambda x: x["g"]))
 
 
-def _urn(seed: int, urn: int, size: Column, out: Column, need: int, rate: float) -> Column:
+def _tried(seed: int, urn: int, size: Column, out: Column, need: int) -> Column:
+    """Distinct draws from the numbers below `size` that the array `out` does not hold, more than needed as a rule."""
+    number = lambda i: F.pmod(F.conv(F.substring(draw(seed, F.col("global_row_index"), urn, i), 1, 15), 16, 10).cast("long"), size).cast("int")
+    return F.when(size > 0, F.array_except(F.transform(F.sequence(F.lit(0), F.lit(2 * need + 63)), number), out)).otherwise(F.array().cast("array<int>"))
+
+
+def _urn(seed: int, urn: int, size: Column, out: Column, need: int, rate: float, tried: Column) -> Column:
     """Array of (key, urn, number): the `need` first of `size` numbers (without those of the array `out`) whose keys are exponential of `rate`.
 
     Keys of so many equal numbers come in order as sums of spacings, and the
-    numbers in a random order by draws of which repeats go; only where draws
-    run short (the urn is small) are all numbers put in order.
+    numbers in a random order by draws of which repeats go (tried); only where
+    draws run short (the urn is small) are all numbers put in order.
     """
     cell = F.col("global_row_index")
     left = size - F.size(out)
     n = F.least(F.lit(need), left).cast("int")
-    number = lambda i: F.pmod(F.conv(F.substring(draw(seed, cell, urn, i), 1, 15), 16, 10).cast("long"), size).cast("int")
-    tried = F.array_except(F.transform(F.sequence(F.lit(0), F.lit(2 * need + 63)), number), out)
     every = F.array_sort(F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda g: F.struct(draw(seed, cell, urn, "all", g).alias("k"), g.alias("g"))))
     numbers = F.when(F.size(tried) >= n, tried).otherwise(F.array_except(F.transform(every, lambda x: x["g"]), out))
     step = lambda i: -F.log(uniform(seed, cell, urn, "key", i)) / ((left - i + 1) * rate)
     keys = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<double>"), lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + step(i))))
-    kind = "array<struct<key:double,urn:int,number:int>>"
-    found = F.transform(keys, lambda k, i: F.struct(F.round(k, 9).alias("key"), F.lit(urn).alias("urn"), F.get(numbers, i).alias("number")))
-    return F.when(n > 0, found).otherwise(F.array()).cast(kind)
+    found = F.zip_with(keys, F.slice(numbers, F.lit(1), n), lambda k, g: F.struct(F.round(k, 9).alias("key"), F.lit(urn).alias("urn"), g.alias("number")))
+    return F.when(n > 0, found).otherwise(F.array()).cast("array<struct<key:double,urn:int,number:int>>")
 
 
 def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int, mode: str = "expressed", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
@@ -170,12 +173,13 @@ def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int
     cells = rows.join(F.broadcast(sizes.withColumn("n0", whole)), "dataset_index")  # one row a dataset
     none = F.array().cast("array<int>")
     cells = cells.withColumn("hot", expressed() if mode == "expressed" else none)
-    found = _urn(seed, 0, F.col("n0"), F.col("hot"), seq_len, 1.0)
+    cells = cells.withColumns({"tried0": _tried(seed, 0, F.col("n0"), F.col("hot"), seq_len), "tried1": _tried(seed, 1, F.col("n1"), none, seq_len)})
+    found = _urn(seed, 0, F.col("n0"), F.col("hot"), seq_len, 1.0, F.col("tried0"))
     if mode == "expressed":
         key = lambda g: -F.log(uniform(seed, F.col("global_row_index"), "hot", g)) / (1 + weight)
         found = F.concat(found, F.transform("hot", lambda g: F.struct(F.round(key(g), 9).alias("key"), F.lit(0).alias("urn"), g.cast("int").alias("number"))))
     elif mode == "hvg":
-        found = F.concat(found, _urn(seed, 1, F.col("n1"), none, seq_len, 1 + weight))
+        found = F.concat(found, _urn(seed, 1, F.col("n1"), none, seq_len, 1 + weight, F.col("tried1")))
     drawn = cells.select("global_row_index", "dataset_index", F.posexplode(F.slice(F.array_sort(found), 1, seq_len)).alias("seq", "x")).select("global_row_index", "dataset_index", "seq", "x.urn", "x.number")
     return drawn.join(placed.select("dataset_index", "urn", "number", "global_feature_id"), ["dataset_index", "urn", "number"]).select("global_row_index", "seq", "global_feature_id")
 

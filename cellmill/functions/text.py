@@ -239,8 +239,8 @@ def to_float(c: Column) -> Column:
     return F.when(~is_null_like(c), strip_whitespace(c)).cast("double")
 
 
-def render_template(template: str, columns: dict[str, Column], missing: str = "fallback", fallback: str = NA) -> Column:
-    """{name} fields filled in; a null-like field gives the fallback for all, or for itself nothing or its name (empty, literal)."""
+def render_template(template: str, columns: dict[str, Column], missing: str = "fallback", fallback: str = NA, missing_value: str | None = None) -> Column:
+    """{name} fields filled in; a null-like field gives the fallback for all, or for itself nothing (empty), or missing_value or its name (literal)."""
     parts, holes = [], []
     for piece in re.split(r"(\{[^{}]+\})", template):
         if piece.startswith("{") and piece.endswith("}"):
@@ -249,7 +249,7 @@ def render_template(template: str, columns: dict[str, Column], missing: str = "f
                 raise KeyError(name)
             hole = is_null_like(columns[name])
             holes.append(hole)
-            other = {"fallback": F.lit(fallback), "empty": F.lit(""), "literal": F.lit(piece)}[missing]
+            other = {"fallback": F.lit(fallback), "empty": F.lit(""), "literal": F.lit(piece if missing_value is None else missing_value)}[missing]
             parts.append(F.when(hole, other).otherwise(text(columns[name])))
         elif piece:
             parts.append(F.lit(piece))

@@ -55,6 +55,14 @@ class Case:
     case_sensitive: bool = True
     strip_whitespace: bool = False
 
+    def check(self) -> None:
+        if self.test not in ("equals", "in", "not_null"):
+            raise ValueError(f"unknown test {self.test!r}")
+        if self.test != "not_null" and not self.values:
+            raise ValueError(f"{self.column}: {self.test} lacks its values")
+        if (self.value is None) == (self.take is None):
+            raise ValueError(f"{self.column}: a case gives a value or a column")
+
 
 @dataclass
 class Mapping:
@@ -71,6 +79,7 @@ class Mapping:
     skip_nulls: bool = True
     template: str | None = None
     missing: str = "fallback"
+    missing_value: str | None = None
     cases: tuple[Case, ...] = ()
     default: str | None = None
     default_column: str | None = None
@@ -79,9 +88,17 @@ class Mapping:
         """Raises if the strategy is unknown or lacks what it needs."""
         if self.strategy not in strategies:
             raise ValueError(f"{self.name}: unknown strategy {self.strategy!r}")
-        needs = {"source-field": self.source, "coalesce": self.sources, "join": self.sources, "template": self.template, "conditional": self.cases}
+        needs = {"source-field": self.source, "coalesce": self.sources, "join": self.sources, "template": self.template, "conditional": self.cases or self.default is not None or self.default_column}
+        if strategies is VAR_STRATEGIES:
+            needs = {}  # a gene's column of the same name serves
         if self.strategy in needs and not needs[self.strategy]:
             raise ValueError(f"{self.name}: {self.strategy} lacks its source")
+        if self.missing not in ("fallback", "empty", "literal"):
+            raise ValueError(f"{self.name}: unknown filling {self.missing!r}")
+        if self.default is not None and self.default_column:
+            raise ValueError(f"{self.name}: two defaults")
+        for case in self.cases:
+            case.check()
 
 
 def missing_required(names: list[str], required: tuple[str, ...] = OBS_MUST_HAVE) -> list[str]:
@@ -158,7 +175,7 @@ def obs_column(df: DataFrame, m: Mapping) -> Column:
             joined = F.array_join(F.array(*(F.when(t.is_null_like(p), F.lit(m.fallback)).otherwise(p) for p in parts)), m.separator)
         return _finish(joined, m)
     if m.strategy == "template":
-        return _finish(t.render_template(m.template, {c: _source(df, c) for c in df.columns}, m.missing, m.fallback), m)
+        return _finish(t.render_template(m.template, {c: _source(df, c) for c in df.columns}, m.missing, m.fallback, m.missing_value), m)
     other = _source(df, m.default_column) if m.default_column else F.lit(m.default if m.default is not None else m.fallback)
     take = lambda c: _source(df, c.take) if c.take else F.lit(c.value)
     return _finish(reduce(lambda out, c: F.when(predicate(df, c), take(c)).otherwise(out), reversed(m.cases), other), m)
@@ -192,12 +209,50 @@ def map_genes(var: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return var.join(last, "gene_id", "left").withColumn("canonical_gene_id", F.coalesce("_to", "gene_id")).drop("_to")
 
 
-def canonical_var(var: DataFrame, gene_id: Mapping, table: DataFrame | None = None) -> DataFrame:
-    """origin_index, gene_id (mapped and transformed), canonical_gene_id, global_id (sorted position of the canonical id)."""
-    gene_id.check(VAR_STRATEGIES)
-    rows = map_genes(var.select("dataset_index", "origin_index", _finish(_source(var, gene_id.source), gene_id).alias("gene_id")), table)
-    place = F.dense_rank().over(Window.partitionBy("dataset_index").orderBy("canonical_gene_id")) - 1
-    return rows.select("dataset_index", "origin_index", "gene_id", "canonical_gene_id", place.alias("global_id"))
+def canonical_var(var: DataFrame, mappings: list[Mapping], table: DataFrame | None = None, extensible: tuple[str, ...] = (), by: str = "dataset_index", strict: bool = True) -> DataFrame:
+    """by and the canonical columns of raw genes, then extensible ones.
+
+    gene_id is the text of its source; canonical_gene_id is mapped by the
+    table (itself without one); global_id is the place of the canonical id in
+    order, within a dataset. Other columns go by their strategy: source-field
+    (transformed), literal, passthrough (the column of the same name), null;
+    any other is the fallback, with a warning.
+    """
+    check_schema(mappings, VAR_STRATEGIES, VAR_MUST_HAVE if strict else ())
+    by_name = {m.name: m for m in mappings}
+    own = by_name.get("gene_id")
+    source = (own.source or "gene_id") if own else None
+    gene = _source(var, source) if source in var.columns else F.lit(t.NA)
+    rows = map_genes(var.withColumn("_gene", gene).withColumnsRenamed({c: f"_raw_{c}" for c in ("gene_id", "canonical_gene_id") if c in var.columns}).withColumnRenamed("_gene", "gene_id"), table)
+    raw = {c: F.col(f"_raw_{c}") if c in ("gene_id", "canonical_gene_id") else F.col(c) for c in var.columns}
+    rows = rows.withColumn("_place", F.dense_rank().over(Window.partitionBy(by).orderBy("canonical_gene_id")) - 1)
+
+    def column(m: Mapping) -> Column:
+        if m.name in ("gene_id", "canonical_gene_id"):
+            return F.col(m.name)
+        if m.name == "global_id":
+            return F.col("_place")
+        if m.strategy == "source-field":
+            name = m.source or m.name
+            return _finish(F.coalesce(raw[name].cast("string"), F.lit(t.NA)) if name in raw else F.lit(m.fallback), m)
+        if m.strategy == "passthrough":
+            c = F.coalesce(raw[m.name].cast("string"), F.lit(m.fallback)) if m.name in raw else F.lit(m.fallback)
+            return t.to_int(c) if TYPED.get(m.name) == "int" else c
+        if m.strategy == "literal":
+            return F.lit(m.literal or m.fallback)
+        if m.strategy != "null":
+            warnings.warn(f"{m.name}: strategy {m.strategy!r} makes no such column")
+        return F.lit(m.fallback)
+
+    more = []
+    for c in extensible:
+        if c not in raw:
+            warnings.warn(f"no column {c!r}")
+        more.append((F.coalesce(raw[c].cast("string"), F.lit(t.NA)) if c in raw else F.lit(t.NA)).alias(c))
+    return rows.select(by, *(column(m).alias(m.name) for m in mappings), *more)
+
+
+VAR_DEFAULTS = (Mapping("origin_index", "passthrough"), Mapping("gene_id", source="gene_id"), Mapping("canonical_gene_id", "gene-mapping"), Mapping("global_id", "auto"))
 
 
 def vocabulary_rows(obs: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

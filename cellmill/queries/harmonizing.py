@@ -69,7 +69,14 @@ SELECT *, CAST(dense_rank() OVER (PARTITION BY dataset_index ORDER BY canonical_
 def _(c: Corpus):
     part = c.table("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("gene_id"), F.concat(F.upper("p_name"), F.col("p_partkey").cast("string")).alias("canonical"), F.lit(2).alias("line"))
     table = part.unionByName(part.select("gene_id", F.lit("overwritten").alias("canonical"), F.lit(1).alias("line")))
-    return ha.canonical_var(c.var, Mapping("gene_id", source="gene_id"), table)
+    return ha.canonical_var(c.var, list(ha.VAR_DEFAULTS), table)
+
+
+@query("c7_var_strategies", """SELECT dataset_index, origin_index, gene_id, gene_id AS canonical_gene_id, CAST(dense_rank() OVER (PARTITION BY dataset_index ORDER BY gene_id) - 1 AS INT) AS global_id,
+ 'P' AS kind, substr(gene_id, 2) AS bare, CAST(global_feature_id AS VARCHAR) AS global_feature_id, 'NA' AS gone, 'none' AS lost, CAST(l_partkey AS VARCHAR) AS l_partkey, 'NA' AS absent FROM var""", True)
+def _(c: Corpus):
+    more = [Mapping("kind", "literal", literal="P"), Mapping("bare", source="gene_id", transforms=[("strip_prefix", {"prefix": "P"})]), Mapping("global_feature_id", "passthrough"), Mapping("gone", "null"), Mapping("lost", "passthrough", fallback="none")]
+    return ha.canonical_var(c.var, [*ha.VAR_DEFAULTS, *more], extensible=("l_partkey", "absent"))
 
 
 @query("agg9_vocabulary", """+ x AS (SELECT DISTINCT dataset_index, k, v FROM (SELECT dataset_index, 'perturb_label' AS k, perturb_label AS v FROM obs UNION ALL SELECT dataset_index, 'batch_id', batch_id FROM obs) WHERE v NOT IN ('', 'NA'))

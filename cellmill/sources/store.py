@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import pack_json
-from .ledger import FORMATS, Ledger, exists, paths, read_ledger, write_ledger
+from .ledger import FORMATS, TOPOLOGIES, Ledger, exists, paths, read_ledger, relative, write_ledger
 
 HVG_SCHEMA = T.StructType([
     T.StructField("origin_index", T.IntegerType()), T.StructField("feature_id", T.StringType()), T.StructField("mean_log1p_expr", T.DoubleType()), T.StructField("variance_log1p_expr", T.DoubleType()),
@@ -21,6 +21,26 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
+def json_keys(df: DataFrame, column: str) -> list[str]:
+    """The keys of a sidecar's JSON objects, which are the same in every row."""
+    first = df.select(F.json_object_keys(column).alias("k")).where(F.col("k").isNotNull()).first()
+    return list(first["k"]) if first else []
+
+
+def writer(format: str, topology: str):
+    """What writes rows of a format and topology: (rows, ledger, root, dataset_id); another pair is an error."""
+    if format not in FORMATS or topology not in TOPOLOGIES:
+        raise ValueError(f"no writer for {format!r}, {topology!r}")
+    return write_rows
+
+
+def reader(format: str, topology: str):
+    """What reads rows of a format and topology: (spark, ledger, root, datasets); another pair is an error."""
+    if format not in FORMATS or topology not in TOPOLOGIES:
+        raise ValueError(f"no reader for {format!r}, {topology!r}")
+    return read_rows
+
+
 def write_rows(rows: DataFrame, ledger: Ledger, root: str, dataset_id: str) -> None:
     """Appends a dataset's sparse rows, sorted by global_row_index so that row-group statistics prune; partitioned by dataset.
 
@@ -52,14 +72,17 @@ def read_rows(spark: SparkSession, ledger: Ledger, root: str, datasets: list[str
 
 
 def write_raw_obs(obs: DataFrame, path: str, overwrite: bool = False) -> None:
-    """cell_id, dataset_id, raw_fields: all other columns as one JSON object."""
-    rest = [c for c in obs.columns if c not in ("cell_id", "dataset_id")]
-    obs.select("cell_id", "dataset_id", pack_json(rest).alias("raw_fields")).write.mode(_mode(overwrite)).parquet(path)
+    """cell_id, dataset_id, local_row_index (where there is one), raw_fields: all other columns as one JSON object."""
+    first = [c for c in ("cell_id", "dataset_id", "local_row_index") if c in obs.columns]
+    rest = [c for c in obs.columns if c not in first]
+    packed = pack_json(rest) if rest else F.lit("{}")
+    obs.select(*first, packed.alias("raw_fields")).write.mode(_mode(overwrite)).parquet(path)
 
 
 def write_raw_var(var: DataFrame, path: str, overwrite: bool = False) -> None:
     rest = [c for c in var.columns if c not in ("origin_index", "feature_id")]
-    var.select("origin_index", "feature_id", pack_json(rest).alias("raw_var")).write.mode(_mode(overwrite)).parquet(path)
+    packed = pack_json(rest) if rest else F.lit("{}")
+    var.select("origin_index", "feature_id", packed.alias("raw_var")).write.mode(_mode(overwrite)).parquet(path)
 
 
 def write_provenance(var: DataFrame, count_source: str, source_path: str, path: str, overwrite: bool = False) -> None:
@@ -115,8 +138,14 @@ def scan_inputs(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
     return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
 
 
+#: Tokens that one JSON document holds at most.
+MOST_TOKENS = 5_000_000
+
+
 def token_map_json(tokens: DataFrame) -> str:
-    """A token map as JSON: gene to token id. A vocabulary, so it fits the driver."""
+    """A token map as JSON: gene to token id. More than MOST_TOKENS are an error, as a document goes through the driver."""
+    if (n := tokens.where("tokenizable").count()) > MOST_TOKENS:
+        raise ValueError(f"{n} tokens are too many for one document")
     return json.dumps({r["canonical_gene_id"]: r["token_id"] for r in tokens.where("tokenizable").select("canonical_gene_id", "token_id").collect()})
 
 
@@ -141,6 +170,38 @@ def write_result(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode(_mode(overwrite)).parquet(path)
 
 
+# Columns of results, so that an empty result has its types.
+RESULTS = {
+    "lognorm_stats": "dataset_id string, dataset_index int, gene_id string, global_feature_id long, mean_lognorm double, var_lognorm double, std_lognorm double, n_obs long, n_nonzero long",
+    "rank_genes": "dataset_id string, dataset_index int, perturbation string, reference_label string, gene_id string, gene_token_id long, global_feature_id long, rank int, t_stat double, p_value double, p_adj double, logfoldchange double, mean_reference double, mean_perturbed double, pct_reference double, pct_perturbed double, n_reference long, n_perturbed long",
+    "pca_components": "dataset_id string, dataset_index int, component_index int, selected_feature_index int, gene_id string, global_feature_id long, loading double, hvg_rank int",
+    "pca_component_stats": "dataset_id string, dataset_index int, component_index int, singular_value double, explained_variance double, explained_variance_ratio double, cumulative_explained_variance_ratio double, n_obs long, n_features_selected int, method string, is_centered boolean, method_semantics string",
+    "pca_selected_features": "dataset_id string, dataset_index int, selected_feature_index int, local_feature_index int, gene_id string, global_feature_id long, hvg_rank int, selection_source string",
+    "pca_embeddings": "dataset_id string, dataset_index int, global_row_index long, local_row_index long",
+}
+
+
+def empty_result(spark: SparkSession, kind: str) -> DataFrame:
+    """A result without rows that has the columns and types of its kind."""
+    if kind == "hvg":
+        return spark.createDataFrame([], HVG_SCHEMA)
+    return spark.createDataFrame([], RESULTS[kind])
+
+
+def write_pca(folder: str, features: DataFrame, components: DataFrame, stats: DataFrame, embeddings: DataFrame, parameters: dict, overwrite: bool = False) -> None:
+    """The four artefacts of a PCA and their provenance, never over older ones unless asked."""
+    from .documents import write_text
+
+    spark = features.sparkSession
+    parts = {"selected_features": features, "components": components, "component_stats": stats, "embeddings": embeddings}
+    taken = [k for k in parts if exists(spark, f"{folder}/{k}")]
+    if taken and not overwrite:
+        raise FileExistsError(f"{folder}: {taken}")
+    for name, df in parts.items():
+        write_result(df, f"{folder}/{name}", overwrite)
+    write_text(spark, provenance("pp", "pca", "all", parameters, artefacts=sorted(parts)), f"{folder}/provenance.json")
+
+
 def create_corpus(spark: SparkSession, root: str, corpus_id: str, topology: str = "aggregate", format: str = "parquet") -> Ledger:
     if exists(spark, f"{root}/corpus-index.yaml"):
         raise FileExistsError(root)
@@ -154,12 +215,18 @@ def add_dataset(spark: SparkSession, root: str, dataset_id: str, rows: DataFrame
 
     rows: local_row_index, expressed_gene_indices, expression_counts.
     """
+    from .documents import Manifest, write_text
+
     ledger = read_ledger(spark, f"{root}/corpus-index.yaml")
-    record = ledger.append(dataset_id, rows.count(), f"{dataset_id}/manifest.yaml")
+    to = paths(ledger.topology, root, dataset_id)
+    record = ledger.append(dataset_id, rows.count(), relative(f"{to['meta']}/manifest.yaml", root))
     if dry_run:
         return ledger
     placed = rows.select((F.col("local_row_index") + record.global_start).alias("global_row_index"), "expressed_gene_indices", "expression_counts")
-    write_rows(placed, ledger, root, dataset_id)
-    write_raw_obs(obs, f"{paths(ledger.topology, root, dataset_id)['meta']}/raw-obs", overwrite=True)
+    writer(ledger.format, ledger.topology)(placed, ledger, root, dataset_id)
+    write_raw_obs(obs, f"{to['meta']}/raw-obs", overwrite=True)
+    outputs = {"metadata_root": relative(to["meta"], root), "matrix_root": relative(to["matrix"], root)}
+    manifest = Manifest(dataset_id, "create_new" if record.join_mode == "create" else "append_routed", ledger.format, ledger.topology, {"selected": "rows", "integer_only": True, "uses_recovery": False}, outputs, {"source_path": "rows"}, record.cell_count)
+    write_text(spark, manifest.to_yaml(), f"{to['meta']}/manifest.yaml")
     write_ledger(spark, ledger, f"{root}/corpus-index.yaml")
     return ledger

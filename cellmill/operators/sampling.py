@@ -130,13 +130,13 @@ def expressed() -> Column:
     return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["c"] > 0), lambda x: x["g"]))
 
 
-def _tried(seed: int, urn: int, size: Column, out: Column, need: int) -> Column:
+def _tried(seed: int | str, urn: int, size: Column, out: Column, need: int) -> Column:
     """Distinct draws from the numbers below `size` that the array `out` does not hold, more than needed as a rule."""
     number = lambda i: F.pmod(F.conv(F.substring(draw(seed, F.col("global_row_index"), urn, i), 1, 15), 16, 10).cast("long"), size).cast("int")
     return F.when(size > 0, F.array_except(F.transform(F.sequence(F.lit(0), F.lit(2 * need + 63)), number), out)).otherwise(F.array().cast("array<int>"))
 
 
-def _urn(seed: int, urn: int, size: Column, out: Column, need: int, rate: float, tried: Column) -> Column:
+def _urn(seed: int | str, urn: int, size: Column, out: Column, need: int, rate: float, tried: Column) -> Column:
     """Array of (key, urn, number): the `need` first of `size` numbers (without those of the array `out`) whose keys are exponential of `rate`.
 
     Keys of so many equal numbers come in order as sums of spacings, and the
@@ -154,12 +154,13 @@ def _urn(seed: int, urn: int, size: Column, out: Column, need: int, rate: float,
     return F.when(n > 0, found).otherwise(F.array()).cast("array<struct<key:double,urn:int,number:int>>")
 
 
-def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int, mode: str = "expressed", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
+def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int | str, mode: str = "expressed", weight: float = 3.0, hvg_top_k: int | None = None) -> DataFrame:
     """global_row_index, seq, global_feature_id: seq_len genes of each cell without replacement by weight, as exponential keys give them.
 
     rows: global_row_index, dataset_index and the sparse arrays; genes:
-    dataset_index, origin_index (0 .. n - 1 of each dataset), global_feature_id
-    and, for hvg, hvg_rank and is_hvg. All genes of one weight are an urn that
+    dataset_index, origin_index (0 .. n - 1 of each dataset), global_feature_id,
+    for hvg hvg_rank and is_hvg, and where some genes must not be drawn able,
+    whether one may. All genes of one weight are an urn that
     is drawn from without being listed, so a cell takes time by seq_len and the
     genes it expresses, and nothing is shuffled but the result.
     """
@@ -167,14 +168,22 @@ def sample_rows_genes(rows: DataFrame, genes: DataFrame, seq_len: int, seed: int
     if seq_len <= 0:
         raise ValueError("seq_len must be above 0")
     urn = _chosen(hvg_top_k).cast("int") if mode == "hvg" else F.lit(0)
-    placed = genes.withColumn("urn", urn).withColumn("number", F.row_number().over(Window.partitionBy("dataset_index", "urn").orderBy("origin_index")) - 1)
-    sizes = genes.withColumn("urn", urn).groupBy("dataset_index").agg(F.count(F.when(F.col("urn") == 0, 1)).alias("n0"), F.count(F.when(F.col("urn") == 1, 1)).alias("n1"), F.max("origin_index").alias("most"))
-    whole = F.when(F.col("most") == F.col("n0") + F.col("n1") - 1, F.col("n0")).otherwise(F.raise_error(F.lit("origin_index must be 0 .. n - 1")).cast("long"))
-    cells = rows.join(F.broadcast(sizes.withColumn("n0", whole)), "dataset_index")  # one row a dataset
+    able = F.col("able") if "able" in genes.columns else F.lit(True)
+    genes = genes.withColumns({"urn": urn, "able": F.coalesce(able, F.lit(False))})
+    if mode != "expressed":
+        genes = genes.where("able")
+    placed = genes.withColumn("number", F.row_number().over(Window.partitionBy("dataset_index", "urn").orderBy("origin_index")) - 1)
     none = F.array().cast("array<int>")
-    cells = cells.withColumn("hot", expressed() if mode == "expressed" else none)
-    cells = cells.withColumns({"tried0": _tried(seed, 0, F.col("n0"), F.col("hot"), seq_len), "tried1": _tried(seed, 1, F.col("n1"), none, seq_len)})
-    found = _urn(seed, 0, F.col("n0"), F.col("hot"), seq_len, 1.0, F.col("tried0"))
+    sizes = genes.groupBy("dataset_index").agg(
+        F.count(F.when(F.col("urn") == 0, 1)).alias("n0"), F.count(F.when(F.col("urn") == 1, 1)).alias("n1"), F.max("origin_index").alias("most"), F.collect_list(F.when(~F.col("able"), F.col("origin_index"))).cast("array<int>").alias("shut")
+    )
+    if mode == "expressed":  # a cell's genes are known by origin
+        sizes = sizes.withColumn("n0", F.when(F.col("most") == F.col("n0") - 1, F.col("n0")).otherwise(F.raise_error(F.lit("origin_index must be 0 .. n - 1")).cast("long")))
+    cells = rows.join(F.broadcast(sizes), "dataset_index")  # one row a dataset
+    cells = cells.withColumn("hot", F.array_except(expressed().cast("array<int>"), F.col("shut")) if mode == "expressed" else none)
+    cells = cells.withColumn("out", F.array_union("hot", "shut") if mode == "expressed" else none)
+    cells = cells.withColumns({"tried0": _tried(seed, 0, F.col("n0"), F.col("out"), seq_len), "tried1": _tried(seed, 1, F.col("n1"), none, seq_len)})
+    found = _urn(seed, 0, F.col("n0"), F.col("out"), seq_len, 1.0, F.col("tried0"))
     if mode == "expressed":
         key = lambda g: -F.log(uniform(seed, F.col("global_row_index"), "hot", g)) / (1 + weight)
         found = F.concat(found, F.transform("hot", lambda g: F.struct(F.round(key(g), 9).alias("key"), F.lit(0).alias("urn"), g.cast("int").alias("number"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import gather as ga
 from ..operators import hvg as hv
+from ..operators import loaders as lo
 from ..operators import pairs as pa
 from ..operators import sampling as sa
 from ..plans.views import CONTROL, Corpus
@@ -231,6 +232,29 @@ def _(c: Corpus):
     return rows.select("global_row_index", F.size("counts").cast("long").alias("size"), added("counts", lambda x: x.cast("long")).alias("total"), added(places, lambda x: x).alias("weighted"), F.size(valid).cast("long").alias("n_valid"), added(valid, lambda x: x.cast("long")).alias("valid_sum"))
 
 
+def _loader(c: Corpus, **options):
+    return lo.Loader(c.sparse_rows, c.obs, _plain_genes(c), lo.Options(seq_len=16, **options), fe.token_map(fe.vocabulary(c.var)))
+
+
+@query("d17_context_loader", """+ k AS (SELECT cell_context, perturb_label, count(*) AS n FROM obs GROUP BY 1, 2), s AS (SELECT dataset_index, count(*) AS g FROM var GROUP BY 1)
+SELECT cell_context, perturb_label, CAST(ceil(n / 64.0) AS BIGINT) AS batches, n AS examples, n * 16 AS places, n * 16 AS tokens FROM k""", True)
+def _(c: Corpus):
+    rows = _loader(c, sampler="context", context=("cell_context", "perturb_label"), batch_size=64, metadata=("cell_context", "perturb_label")).examples()
+    size = lambda name: F.sum(F.size(name).cast("long"))
+    own = F.sum(F.size(F.filter("tokens", lambda x: x >= 4)).cast("long"))
+    return rows.groupBy("cell_context", "perturb_label").agg(F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("examples"), size("genes").alias("places"), own.alias("tokens"))
+
+
+@query("p10_paired_loader", """+ n AS (SELECT count(*) AS n FROM obs WHERE dataset_index <> 1) SELECT n // 64 AS batches, n // 64 * 64 AS pairs, n // 64 * 64 * 16 AS places, n // 64 * 64 * 2 AS masked FROM n""", True)
+def _(c: Corpus):
+    some = c.obs.where("dataset_index <> 1").select("global_row_index")
+    loader = lo.PairedLoader(_loader(c, mode="expressed"), _CONFIG, sources=some)
+    loader.set_epoch(2)
+    rows = loader.examples()
+    masked = F.size(F.filter("masked", lambda x: x)).cast("long")
+    return rows.agg(F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("pairs"), F.sum(F.size("genes").cast("long")).alias("places"), F.sum(masked).alias("masked"))
+
+
 @query("x_stratified_rows", """+ k AS (SELECT batch_id, global_row_index, row_number() OVER (PARTITION BY batch_id ORDER BY md5('2|' || CAST(global_row_index AS VARCHAR)), global_row_index) AS n FROM obs)
 SELECT batch_id, global_row_index FROM k WHERE n <= 20""", True)
 def _(c: Corpus):

@@ -13,6 +13,7 @@ from cellmill.operators import features as fe
 from cellmill.operators import gather as ga
 from cellmill.operators import harmonize as ha
 from cellmill.operators import hvg as hv
+from cellmill.operators import loaders as lo
 from cellmill.operators import materialize as ma
 from cellmill.operators import pairs as pa
 from cellmill.operators import pca as pc
@@ -248,6 +249,59 @@ def test_full_vectors(spark):
     assert got[1] == ([0] * 5, [False, False, True, False, False]) and got[2] == ([0, 0, 9, 0, 0], got[1][1])
 
 
+def _tiny(spark):
+    rows = spark.createDataFrame([(i, [0, 2], [1 + i, 3]) for i in range(10)], "global_row_index long, expressed_gene_indices array<int>, expression_counts array<int>")
+    obs = spark.createDataFrame([(i, i // 6, "ctx" if i % 2 else None, "WT" if i % 3 == 0 else "KO", 1.0 + i) for i in range(10)], "global_row_index long, dataset_index int, cell_context string, perturb_label string, size_factor double")
+    genes = spark.createDataFrame([(d, g, 10 * g, g + 1, g < 1) for d in range(2) for g in range(5)], "dataset_index int, origin_index int, global_feature_id long, hvg_rank int, is_hvg boolean")
+    tokens = spark.createDataFrame([(10 * g, 4 + g, g != 3) for g in range(5)], "global_id long, token_id long, tokenizable boolean")
+    return rows, obs, genes, tokens
+
+
+def test_loader(spark):
+    rows, obs, genes, tokens = _tiny(spark)
+    for mode in ("uniform", "expressed", "hvg"):
+        loader = lo.Loader(rows, obs, genes, lo.Options(4, 3, mode=mode, metadata=("cell_context",)), tokens)
+        batches = list(loader)
+        assert [len(b) for b in batches] == [3, 3, 3, 1] and len(loader) == 4 and all(len({r["global_row_index"] for r in b}) == len(b) for b in batches)
+        for r in (r for b in batches for r in b):
+            assert sorted(r["genes"]) == [0, 10, 20, 40] and all(r["mask"]) and sorted(r["tokens"]) == [4, 5, 6, 8]
+            assert dict(zip(r["genes"], r["counts"])) == {0: 1 + r["global_row_index"], 10: 0, 20: 3, 40: 0}
+    loader.set_epoch(1)
+    assert {tuple(r) for r in loader.batches().collect()} != {(r["batch_id"], r["pos"], r["global_row_index"]) for b in batches for r in b}
+    padded = next(iter(lo.Loader(rows, obs, genes, lo.Options(7, 3, policy="pad"), tokens)))[0]
+    assert sorted(padded["genes"]) == [-1, -1, 0, 10, 20, 30, 40] and sorted(padded["tokens"]) == [0, 0, 0, 4, 5, 6, 8] and sum(padded["mask"]) == 5
+    by = lo.Loader(rows, obs, genes, lo.Options(2, 2, "Context", ("cell_context", "dataset_index"), drop_last=True), only=obs.where("global_row_index < 9"))
+    got = [{(r["global_row_index"] % 2, r["dataset_index"]) for r in b} for b in by]
+    assert len(got) == len(by) == 3 and all(len(x) == 1 for x in got)
+    for bad in ({"seq_len": 0}, {"seq_len": 1, "batch_size": 0}, {"seq_len": 1, "sampler": "odd"}, {"seq_len": 1, "sampler": "context"}, {"seq_len": 1, "sampler": "context", "context": ("a", "a")}, {"seq_len": 1, "policy": "odd"}, {"seq_len": 1, "mode": "odd"}, {"seq_len": 1, "hvg_top_k": 0}):
+        with pytest.raises(ValueError):
+            lo.Options(**bad)
+    with pytest.raises(TypeError):
+        lo.Options(1, context="ab")
+    with pytest.raises(KeyError):
+        lo.Loader(rows, obs, genes, lo.Options(1, metadata=("zz",)))
+    empty = lo.Loader(rows.limit(0), obs.limit(0), genes, lo.Options(4, 3))
+    assert len(empty) == 0 and list(empty) == []
+
+
+def test_paired_loader(spark):
+    rows, obs, genes, tokens = _tiny(spark)
+    obs = obs.withColumn("cell_context", F.lit("c")).withColumn("dataset_index", F.lit(0))
+    config = pa.PairConfig(controls=("WT",), treated_target="matched_control_cell", batch_size=4, mask_ratio=0.5)
+    loader = lo.PairedLoader(lo.Loader(rows, obs, genes, lo.Options(4, mode="expressed"), tokens), config, sources=obs.where("global_row_index > 0"), targets=obs.where("global_row_index < 8"))
+    got = [r for b in loader for r in b]
+    assert len(loader) == 2 and len(got) == 8 and loader.effective_sources().count() == 9 and loader.effective_targets().count() == 8
+    for r in got:
+        assert r["source_row"] > 0 and r["target_row"] < 8 and (r["source_row"] % 3 == 0) != (r["target_row"] % 3 == 0)
+        assert sum(r["masked"]) == 2 and dict(zip(r["genes"], r["target_values"]))[0] == 1 + r["target_row"] and r["target_size_factor"] == 1.0 + r["target_row"]
+        assert r["label_id"] == (0 if r["target_label"] == "WT" else 1)
+    first = {r["source_row"]: r["target_row"] for r in got}
+    loader.set_epoch(3)
+    assert loader.epoch == 3 and first != {r["source_row"]: r["target_row"] for b in loader for r in b}
+    with pytest.raises(KeyError):
+        lo.PairedLoader(lo.Loader(rows, obs.drop("size_factor"), genes, lo.Options(4)), config)
+
+
 def test_pair_rules(spark):
     rows = [(i, 0, "ctx", "WT" if i < 3 else f"KO_{i % 2}") for i in range(9)]
     obs = spark.createDataFrame(rows, "global_row_index long, dataset_index int, cell_context string, perturb_label string")

@@ -160,6 +160,36 @@ def test_rank_genes_rules(spark, sf):
         we.contrasts(c.coo, c.obs.withColumn("perturb_label", F.when(~F.col("global_row_index").isin(0, 2), F.col("perturb_label"))), c.var, "BUILDING")
 
 
+def test_rank_genes_against_definition(spark, sf):
+    """Every contrast of one dataset from dense values: means, t, degrees of freedom, p, adjusted p and order."""
+    c = Corpus(spark, sf)
+    obs = c.obs.where("dataset_index = 2").toPandas().sort_values("global_row_index")
+    coo = c.coo.where("dataset_index = 2").toPandas()
+    genes = c.var.where("dataset_index = 2").orderBy("origin_index").toPandas()
+    dense = np.zeros((len(obs), len(genes)))
+    dense[coo.global_row_index - obs.global_row_index.min(), coo.origin_index] = coo["count"]
+    x = np.log1p(dense / obs.size_factor.to_numpy()[:, None])
+    got = we.rank_genes(c.coo, c.obs, c.var, c.ledger, "BUILDING", top_k=len(genes)).where("dataset_index = 2").toPandas()
+    ref = x[(obs.perturb_label == "BUILDING").to_numpy()]
+    for label in sorted(set(obs.perturb_label) - {"BUILDING"}):
+        one = x[(obs.perturb_label == label).to_numpy()]
+        a, b = one.var(axis=0, ddof=1) / len(one), ref.var(axis=0, ddof=1) / len(ref)
+        apart = one.mean(axis=0) - ref.mean(axis=0)
+        with np.errstate(all="ignore"):
+            t_stat = np.where(a + b > 1e-18, apart / np.sqrt(a + b), np.where(np.abs(apart) < 1e-12, 0.0, np.sign(apart) * np.inf))
+            df = (a + b) ** 2 / (a**2 / (len(one) - 1) + b**2 / (len(ref) - 1))
+        p = np.where(a + b > 1e-18, we.student_tail(t_stat, df), np.where(np.abs(apart) < 1e-12, 1.0, 0.0))
+        order = np.argsort(p, kind="stable")
+        q = np.minimum(np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1], 1)
+        adjusted = np.empty(len(p))
+        adjusted[order] = q
+        rows = got[got.perturbation == label].set_index("gene_id").loc[genes.gene_id]
+        assert np.allclose(rows.p_value, p, atol=1e-9) and np.allclose(rows.p_adj, adjusted, atol=1e-9) and np.allclose(rows.logfoldchange, apart / math.log(2), atol=1e-9)
+        assert np.allclose(rows.pct_perturbed, (one > 0).mean(axis=0)) and np.allclose(rows.mean_reference, ref.mean(axis=0)) and (rows.n_perturbed == len(one)).all()
+        ranked = rows.sort_values("rank")
+        assert ranked["rank"].tolist() == list(range(1, len(genes) + 1)) and (np.diff(ranked.p_adj) >= -1e-12).all()
+
+
 def test_repartitioning_changes_nothing(spark, sf):
     c = Corpus(spark, sf)
     a = st.group_sums(c.coo, c.obs, "perturb_label").selectExpr("round(s, 9) s", "origin_index", "perturb_label", "dataset_index")

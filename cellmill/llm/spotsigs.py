@@ -12,8 +12,9 @@ lengths are in partitions too far apart cannot reach FLOOR and get 0.
 Texts are shuffled once, by id; what a document needs of its successor (its
 first characters and its signatures) goes back as one small row.
 
-Defined cases: a null text is empty; equal texts are 1 alike; with one
-document only, it is its own next; ids that repeat are one place in the order,
+Defined cases: a null text is empty; equal texts are 1 alike; a
+very long text is one row like any other; columns other than doc_id and text
+do not matter; with one document only, it is its own next; ids that repeat are one place in the order,
 whose least text is the successor of the id before; a null id comes first.
 """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpointed
 from .stats import cell_counts, log1p_sums
 
 BINS = 20
@@ -37,6 +38,7 @@ def hvg(coo: DataFrame, obs: DataFrame, var: DataFrame, ledger: DataFrame, n_hvg
     safe = F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))
     rows = rows.withColumn("dispersion", F.col("variance") / safe)
     rows = rows.withColumn("dispersion_log", F.when(F.col("dispersion") > 0, F.log("dispersion"))).withColumn("mean_log", F.log1p("mean"))
+    rows = checkpointed(rows)  # one row a gene and dataset, read three times
     ends = rows.groupBy("dataset_index").agg(F.min("mean_log").alias("low"), F.max("mean_log").alias("high"))
     rows = rows.join(F.broadcast(ends), "dataset_index").withColumn("bin", bin_of(F.col("mean_log"), F.col("low"), F.col("high")))
     bins = rows.groupBy("dataset_index", "bin").agg(F.avg("dispersion_log").alias("centre"), F.stddev_samp("dispersion_log").alias("spread"))

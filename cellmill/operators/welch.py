@@ -107,7 +107,7 @@ def contrasts(coo: DataFrame, obs: DataFrame, var: DataFrame, control: str, labe
     lacking = sizes.groupBy("dataset_index").agg(F.max((F.col(label) == control).cast("int")).alias("has")).where("has = 0").collect()  # one row a dataset
     if lacking:
         raise ValueError(f"no control in datasets {sorted(r['dataset_index'] for r in lacking)}")
-    sums = group_sums(coo, obs, label)
+    sums = checkpointed(group_sums(coo, obs, label))  # one row a gene, dataset and label
     every = var.select("dataset_index", "origin_index", "gene_id", "global_feature_id").join(F.broadcast(sizes) if few else sizes, "dataset_index")
     rows = every.join(sums, ["dataset_index", label, "origin_index"], "left").fillna(0, ["s", "q", "k"])
     n, mean = F.col("n_obs"), F.col("s") / F.col("n_obs")

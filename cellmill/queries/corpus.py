@@ -175,7 +175,7 @@ h AS (SELECT *, (dispersion_log - (CASE WHEN spread IS NULL THEN 0 ELSE centre E
  round(dispersion_norm, 6) AS dispersion_norm, CAST(row_number() OVER w AS INT) AS hvg_rank, row_number() OVER w <= 200 AS is_hvg, row_number() OVER w <= 200 AS selected_at_default_n_hvg, n_cells_detected, round(mean, 6) AS mean_log1p_expr,
  round(variance, 6) AS variance_log1p_expr, global_feature_id FROM h WINDOW w AS (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index)""", True)
 def _(c: Corpus):
-    return rounded(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=200, digits=9), 6, "mean", "variance", "dispersion", "dispersion_log", "dispersion_norm", "mean_log1p_expr", "variance_log1p_expr")
+    return rounded(hv.hvg(c.coo, c.cells, c.var, c.ledger, n_hvg=200, digits=9), 6, "mean", "variance", "dispersion", "dispersion_log", "dispersion_norm", "mean_log1p_expr", "variance_log1p_expr")
 
 
 _WELCH = _LOGNORM + """n AS (SELECT dataset_index, perturb_label, count(*) AS n FROM obs GROUP BY 1, 2),
@@ -214,7 +214,7 @@ HVGS, COMPONENTS = 2000, 50
 
 
 def _selected(c: Corpus):
-    return pc.select_features(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=HVGS, digits=9), c.var)
+    return pc.select_features(hv.hvg(c.coo, c.cells, c.var, c.ledger, n_hvg=HVGS, digits=9), c.var)
 
 
 def _components(c: Corpus) -> int:

@@ -106,7 +106,7 @@ def _(c: Corpus):
 
 @query("join9_hvg_rank_of_gene", _HVG + "SELECT dataset_index, origin_index, global_feature_id, CAST(row_number() OVER (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index) AS INT) AS hvg_rank FROM h", True)
 def _(c: Corpus):
-    ranks = hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=200, digits=9).select("dataset_index", "origin_index", "hvg_rank")
+    ranks = hv.hvg(c.coo, c.cells, c.var, c.ledger, n_hvg=200, digits=9).select("dataset_index", "origin_index", "hvg_rank")
     return c.var.join(ranks, ["dataset_index", "origin_index"], "left").select("dataset_index", "origin_index", "global_feature_id", "hvg_rank")
 
 
@@ -250,7 +250,7 @@ def _(c: Corpus):
     from .storage import _folder
 
     path = f"{_folder(c)}/hvg"
-    so.write_result(hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=100, digits=9), path)
+    so.write_result(hv.hvg(c.coo, c.cells, c.var, c.ledger, n_hvg=100, digits=9), path)
     return rounded(c.spark.read.parquet(path).select("dataset_index", "origin_index", "feature_id", "mean_log1p_expr", "hvg_rank", "selected_at_default_n_hvg"), 6, "mean_log1p_expr")
 
 

@@ -61,7 +61,7 @@ def _rows(c: Corpus):
 
 
 def _genes(c: Corpus):
-    ranks = hv.hvg(c.coo, c.obs, c.var, c.ledger, n_hvg=200, digits=9).select("dataset_index", "origin_index", "hvg_rank", "is_hvg")
+    ranks = hv.hvg(c.coo, c.cells, c.var, c.ledger, n_hvg=200, digits=9).select("dataset_index", "origin_index", "hvg_rank", "is_hvg")
     return c.var.join(ranks, ["dataset_index", "origin_index"]).select("dataset_index", "origin_index", "global_feature_id", "hvg_rank", "is_hvg")
 
 

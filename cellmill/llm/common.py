@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(-(-rows // FILE_ROWS) or 1)).checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' own disks; parts that are lost with an executor are computed again from what df was made of.
+
+    For what is read several times and has short lineage: it writes no files
+    into the shared folder. spark.catalog.clearCache() lets it go.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished jobs (it follows the driver's garbage collection)."""
     import gc

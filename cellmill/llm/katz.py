@@ -26,7 +26,10 @@ discounts need a bounded number of rows and close the sums at the end.
 Defined cases: a null text is empty (its end token is scored); rows are scored
 one by one, so repeated rows and ids repeat results; a null id is learned
 from; without anything to learn from, known is 0 and the base score is that
-of an empty count table (log10 of 1 / 1 for each token), the model's the same.
+of an empty count table (log10 of 1 / 1 for each token), the model's the same;
+a very long text is one slice, whose word hashes are made in chunks; of words
+that are as frequent the smaller hash is the more common one, which results do
+not depend on; columns other than doc_id and text do not matter.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, free_shuffles, held_out, mix, raw, slices, text_column, tokens
+from .common import BLANK, free_shuffles, held_out, kept, mix, raw, slices, text_column, tokens
 
 VOCABULARY: int | None = None
 DISCOUNTED, BUCKET_TOKENS, CHUNK_TOKENS = 5, 4_000_000, 500_000
@@ -542,7 +545,7 @@ def katz(docs: DataFrame, train) -> DataFrame:
     """row, doc_id, n_tokens, n_known, train_tokens, base_score, score of every text. train: a Column that says what to learn from."""
     spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = checkpointed(count_words(base.where("train")))
+    counts = kept(count_words(base.where("train")))
     free_shuffles(spark)
     sizes = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *(F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, DISCOUNTED + 2))).first()
     size = VOCABULARY or HEAD
@@ -565,7 +568,7 @@ def katz(docs: DataFrame, train) -> DataFrame:
     rare = count_rare(by_bucket(deal_rare(base, model, buckets).unionByName(words_blocks(rest, buckets, least))), model, contexts, buckets)
     told = tell(by_bucket(deal(base, model, common, contexts, buckets).unionByName(rare)), model, contexts)
     sums = [F.sum(k).alias(k) for k, t in _TOLD[2:] if k not in ("block", "doc_id")]
-    gathered = checkpointed(told.groupBy("kind", "id").agg(*sums, F.max("doc_id").alias("doc_id"), F.collect_list("block").alias("blocks")))
+    gathered = kept(told.groupBy("kind", "id").agg(*sums, F.max("doc_id").alias("doc_id"), F.collect_list("block").alias("blocks")))
     free_shuffles(spark)
     d, alpha = close(gathered, model, common, contexts)
     shared = spark.sparkContext.broadcast((d, alpha))

@@ -117,7 +117,7 @@ def _(c: Corpus):
 @query("src21_hvg_sidecars", "+ n AS (SELECT dataset_index, count(*) AS n FROM var GROUP BY 1) SELECT dataset_index, n AS n_genes, CAST(n * (n + 1) / 2 AS BIGINT) AS ranks, least(n, 100) AS selected FROM n", True)
 def _(c: Corpus):
     rows = co.open_corpus(c.spark, _built(c)).hvg()
-    return rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("n_genes"), F.sum(F.col("hvg_rank").cast("long")).alias("ranks"), F.count(F.when("selected_at_default_n_hvg", 1)).alias("selected"))
+    return rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("n_genes"), F.sum(F.col("hvg_rank").cast("long")).alias("ranks"), F.count(F.when(F.col("selected_at_default_n_hvg"), 1)).alias("selected"))
 
 
 @query("src13_manifests", "SELECT replace(dataset_id, ' ', '_') AS dataset_id, CASE WHEN dataset_index = 0 THEN 'create_new' ELSE 'append_routed' END AS route, '.raw.X' AS selected, cell_count, (SELECT count(*) FROM var v WHERE v.dataset_index = ledger.dataset_index) AS feature_count, 0 AS violations FROM ledger", True)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_names, free_shuffles, mix, raw, shingle_hashes, slices, text_column, text_hash, tokens
+from .common import checkpointed, free_names, free_shuffles, kept, mix, raw, shingle_hashes, slices, text_column, text_hash, tokens
 from .graph import components
 
 SHINGLE, LIKENESS, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
@@ -212,7 +212,7 @@ def units_of(docs: DataFrame, member: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, t, rep (what stands for the class: none (no id), doc_id, t, rows), n_links, n_copies of every row of docs (doc_id, text)."""
-    base = checkpointed(sign(docs))
+    base = kept(sign(docs))
     rows = base.count()
     same = base.groupBy("k", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rows")
@@ -226,7 +226,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = checkpointed(member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), rows)
     units = units_of(docs, checkpointed(member.join(sizes, "comp"), rows))
     free_shuffles(docs.sparkSession)
-    found = checkpointed(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "k")))
+    found = kept(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "k")))
 
     roots = components(found.where(F.col("b").isNotNull()).select("a", "b"), rows, found.count())
     degree = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))

@@ -114,11 +114,42 @@ def test_spotsigs_one_and_none(spark):
     assert len(S.spotsigs(docs(spark)).collect()) == len(ODD)
 
 
+def signatures(text):
+    """The signature set by definition: hashed chains of words after anchors; a # stands for the anchors between two words of a chain."""
+    import regex
+    import xxhash
+
+    tokens, open_ = [], False
+    for w in regex.findall(r"[\p{L}\p{N}]+", text.lower()):
+        if w in S.ANCHORS:
+            open_ = True
+        else:
+            tokens.append(("#" if open_ else "") + w)
+            open_ = False
+    if open_:
+        tokens.append("#")
+    hashed = lambda chains: {xxhash.xxh64_intdigest(c.encode(), seed=42) & 0x7FFFFFFF for c in chains}
+    chains = ["  ".join([t[1:], *tokens[k + 1 : k + S.CHAIN]]) for k, t in enumerate(tokens) if t.startswith("#") and len(t) > 1]
+    if chains:
+        return hashed(chains)
+    every = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    return hashed("  ".join(every[k : k + S.CHAIN]) for k in range(len(every))) if every else hashed([text])
+
+
 def test_chains(spark):
     row = S.with_signatures(spark.createDataFrame([("the cat of the dog sat on mats",), ("CAT dog, dog sat mats!",)], "t string"), "t", "s").collect()
     assert len(row[0]["s"]) == 3 and len(row[1]["s"]) == 5
 
 
+def test_signatures_against_definition(spark):
+    rng = random.Random(12)
+    pool = [*rng.sample(S.ANCHORS, 8), "cat", "Dog", "zürich", "x1", "42", "éa", "#", "--", "_"]
+    texts = [t or "" for _, t, *_ in ODD] + ["".join(rng.choice(pool) + rng.choice([" ", ", ", "  ", "\n", "#"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in S.with_signatures(rows, "t", "s").collect():
+        assert r["s"] == sorted(signatures(r["t"])), r["t"]
+
+
 def held(text, item, equal=D.EQUAL, share=D.SHARE):
     """Most equal words of a stretch that counts, over all places of the item and all stretches; 0 if none counts."""
     need, best = D.needed(len(item), equal, share), 0

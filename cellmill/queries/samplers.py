@@ -109,7 +109,13 @@ def _(c: Corpus):
     return sa.sample_rows_genes(_rows(c), _plain_genes(c), 32, 11)
 
 
-@query("d8_sampled_hvg_genes")
+@query("d8_sampled_hvg_genes", _HVG + """, r AS (SELECT dataset_index, origin_index, global_feature_id, CASE WHEN row_number() OVER (PARTITION BY dataset_index ORDER BY round(dispersion_norm, 9) DESC NULLS LAST, origin_index) <= 100 THEN 1 ELSE 0 END AS urn FROM h),
+num AS (SELECT *, row_number() OVER (PARTITION BY dataset_index, urn ORDER BY origin_index) - 1 AS number, count(*) OVER (PARTITION BY dataset_index, urn) AS n FROM r), size AS (SELECT DISTINCT dataset_index, urn, n FROM num),
+tried AS (SELECT c.global_row_index, c.dataset_index, s.urn, CAST(('0x' || substr(md5('11|' || CAST(c.global_row_index AS VARCHAR) || '|' || CAST(s.urn AS VARCHAR) || '|' || CAST(t.i AS VARCHAR)), 1, 15)) AS BIGINT) % s.n AS number, min(t.i) AS i FROM cell c JOIN size s ON s.dataset_index = c.dataset_index, range(128) t(i) GROUP BY 1, 2, 3, 4),
+numbers AS (SELECT *, row_number() OVER (PARTITION BY global_row_index, urn ORDER BY i) AS k FROM tried),
+keys AS (SELECT c.global_row_index, s.urn, t.i AS k, sum(-ln(""" + _U.format("'11|' || CAST(c.global_row_index AS VARCHAR) || '|' || CAST(s.urn AS VARCHAR) || '|key|' || CAST(t.i AS VARCHAR)") + """) / ((s.n - t.i + 1) * (1 + 3.0 * s.urn))) OVER (PARTITION BY c.global_row_index, s.urn ORDER BY t.i) AS key FROM cell c JOIN size s ON s.dataset_index = c.dataset_index, range(1, 33) t(i)),
+drawn AS (SELECT m.*, row_number() OVER (PARTITION BY m.global_row_index ORDER BY round(e.key, 9), m.urn, m.number) - 1 AS seq FROM numbers m JOIN keys e ON e.global_row_index = m.global_row_index AND e.urn = m.urn AND e.k = m.k)
+SELECT d.global_row_index, CAST(d.seq AS INT) AS seq, num.global_feature_id FROM drawn d JOIN num ON num.dataset_index = d.dataset_index AND num.urn = d.urn AND num.number = d.number WHERE d.seq < 32""", True)
 def _(c: Corpus):
     return sa.sample_rows_genes(_rows(c), _genes(c), 32, 11, "hvg", hvg_top_k=100)
 

@@ -87,6 +87,13 @@ def check_rows(rows: list[int] | None, start: int, end: int) -> list[int]:
     return rows
 
 
+def checked_requests(requests: DataFrame, n_rows: int) -> DataFrame:
+    """requests whose global_row_index is in [0, n_rows); a null or another one is an error when it is read."""
+    g = F.col("global_row_index")
+    outside = F.raise_error(F.concat(F.lit(f"row is not in [0, {n_rows}): "), F.coalesce(g.cast("string"), F.lit("null")))).cast("long")
+    return requests.withColumn("global_row_index", F.when((g >= 0) & (g < n_rows), g.cast("long")).otherwise(outside))
+
+
 def to_global(coo: DataFrame, gene_map: DataFrame) -> DataFrame:
     """coo by global gene; counts of genes that a dataset lists twice are kept apart (by local order)."""
     return coo.join(gene_map.select("dataset_index", "origin_index", "global_feature_id"), ["dataset_index", "origin_index"])

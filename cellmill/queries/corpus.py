@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
@@ -102,6 +103,27 @@ def _(c: Corpus):
     return ga.route(_requests(c), c.ledger).select("pos", "global_row_index", "dataset_index", "local_row_index")
 
 
+@query("d15_checked_requests", "SELECT l_orderkey, l_linenumber, (l_partkey * 7919) % (SELECT count(*) FROM orders) AS global_row_index FROM lineitem")
+def _(c: Corpus):
+    n = c.table("orders").count()
+    asked = c.table("lineitem").select("l_orderkey", "l_linenumber", F.pmod(F.col("l_partkey") * 7919, F.lit(n)).alias("global_row_index"))
+    return ga.checked_requests(asked, n)
+
+
+@query("set1_ordered_statistics", "+ v AS (SELECT dataset_index, global_feature_id FROM var) SELECT dataset_index, global_feature_id, row_number() OVER (ORDER BY dataset_index, global_feature_id) - 1 AS place FROM v", True)
+def _(c: Corpus):
+    from ..sources.store import in_order
+    from .storage import _folder
+
+    path = f"{_folder(c)}/stats"
+    in_order(st.lognorm_stats(c.coo, c.obs, c.var, c.ledger), "lognorm_stats").write.parquet(path)
+    stored = c.spark.read.parquet(path).select("dataset_index", "global_feature_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # files follow each other, rows within a file too
+    inner = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    sizes = stored.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return stored.withColumn("inner", inner).join(F.broadcast(sizes), "file").select("dataset_index", "global_feature_id", (F.col("before") + F.col("inner") - 1).alias("place"))
+
+
 @query("join2_ordered_gather", _REQ.rstrip() + ", t AS (SELECT global_row_index, count(*) AS n, sum(count) AS total FROM coo GROUP BY 1) SELECT r.pos, r.global_row_index, coalesce(t.n, 0) AS n_genes, CAST(coalesce(total, 0) AS BIGINT) AS total FROM req r LEFT JOIN t ON r.global_row_index = t.global_row_index", True)
 def _(c: Corpus):
     rows = ga.gather(_requests(c), c.sparse_rows)

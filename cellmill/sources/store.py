@@ -181,6 +181,25 @@ RESULTS = {
 }
 
 
+# The order of each result's rows.
+ORDERS = {
+    "lognorm_stats": ("dataset_index", "global_feature_id"),
+    "hvg": ("hvg_rank", "origin_index"),
+    "rank_genes": ("dataset_index", "perturbation", "rank"),
+    "pca_components": ("dataset_index", "component_index", "selected_feature_index"),
+    "pca_component_stats": ("dataset_index", "component_index"),
+    "pca_selected_features": ("dataset_index", "selected_feature_index"),
+    "pca_embeddings": ("dataset_index", "global_row_index"),
+    "vocabulary": ("global_id",),
+    "obs": ("global_row_index",),
+}
+
+
+def in_order(df: DataFrame, kind: str) -> DataFrame:
+    """A result in the order of its kind, by ranges; files written from it follow each other in that order."""
+    return df.orderBy(*ORDERS[kind])
+
+
 def empty_result(spark: SparkSession, kind: str) -> DataFrame:
     """A result without rows that has the columns and types of its kind."""
     if kind == "hvg":

@@ -360,6 +360,9 @@ def test_gather_rules(spark):
     assert ga.check_rows(None, 2, 4) == [2, 3]
     with pytest.raises(KeyError):
         ga.take_columns(ledger, ["zz"])
+    for bad in (10, -1, None):
+        with pytest.raises(Exception, match="row is not in"):
+            ga.checked_requests(spark.createDataFrame([(0,), (bad,)], "global_row_index long"), 10).collect()
     first = ga.match_genes(spark.createDataFrame([(0, 7)], "global_row_index long, global_feature_id long"), spark.createDataFrame([(0, 7, 4, 9), (0, 7, 2, 5)], "global_row_index long, global_feature_id long, origin_index int, count int"))
     assert first.first()["count"] == 5
 

@@ -42,8 +42,8 @@ from .common import checkpointed, free_names, free_shuffles, kept, mix, raw, shi
 from .graph import components
 
 SHINGLE, LIKENESS, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
-#: Texts and shingles that a block holds on average at most.
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 64_000
+#: Texts and shingles that a block holds on average at most; blocks of large groups hold up to LARGER times as much, as each text goes along with every other block of its group.
+BLOCK_TEXTS, BLOCK_SHINGLES, LARGER = 256, 64_000, 16
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -223,7 +223,8 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = components(edges, rows, rows * BANDS)
 
     member = texts.join(groups, texts["k"] == groups["node"]).select("rep", "k", "copies", "n", F.col("root").alias("comp"))
-    sizes = checkpointed(member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), rows)
+    many = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)
+    sizes = checkpointed(member.groupBy("comp").agg(F.ceil(many / F.greatest(F.lit(1.0), F.least(F.lit(float(LARGER)), many / LARGER))).alias("blocks")), rows)
     units = units_of(docs, checkpointed(member.join(sizes, "comp"), rows))
     free_shuffles(docs.sparkSession)
     found = kept(verify(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "k")))

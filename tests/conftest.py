@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
     out = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
@@ -30,6 +31,16 @@ def spark(tmp_path_factory):
     out.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _let_go():
+    """Frames that operators keep go with the module that made them."""
+    yield
+    from pyspark.sql import SparkSession
+
+    if session := SparkSession.getActiveSession():
+        session.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf() -> str:
     return SF

@@ -5,7 +5,23 @@ import pytest
 from cellmill import queries as own
 
 
-@pytest.mark.parametrize("name", ["p5_paired_batch"])
+@pytest.mark.parametrize("name", ["p5_paired_batch", "p5b_batch_checks"])
 def test_exchanges(spark, sf, name):
     plan = own.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange ") <= 100
+
+
+def test_batch_checks_find_each_fault(spark):
+    from cellmill.operators import pairs as pa
+
+    paired = spark.createDataFrame([(1, 5), (2, 6)], "source_row long, target_row long")
+    cols = "source_row long, target_row long, seq int, source_size_factor double, target_size_factor double"
+    good = [(1, 5, 0, 1.0, 1.0), (1, 5, 1, 1.0, 1.0), (2, 6, 0, 1.0, 1.0), (2, 6, 1, 1.0, 1.0)]
+    bad = lambda rows: {r["check"] for r in pa.check_batch(paired, spark.createDataFrame(rows, cols), 2).collect() if not r["ok"]}
+    assert bad(good) == set()
+    assert bad(good[:3]) == {"shape"}
+    assert bad(good[:2]) == {"sources"}
+    assert bad([*good[:2], (2, 7, 0, 1.0, 1.0), (2, 7, 1, 1.0, 1.0)]) == {"pairs"}
+    assert bad([*good[:2], (2, None, 0, 1.0, 1.0), (2, None, 1, 1.0, 1.0)]) == {"pairs"}
+    assert bad([*good, (3, 5, 0, 1.0, 1.0), (3, 5, 1, 1.0, 1.0)]) == {"pairs"}
+    assert bad([*good[:3], (2, 6, 1, 0.0, 1.0)]) == {"size_factors"}

@@ -5,7 +5,7 @@ import pytest
 from cellmill import queries as own
 
 
-MOST = {"p5_paired_batch": 100, "p5b_batch_checks": 100, "d12_missing_token_policy": 20, "prj12_valid_mask": 20, "d9_process_batch": 20, "join10_tokens": 20, "p7_masked_values": 20}
+MOST = {"p5_paired_batch": 100, "p5b_batch_checks": 100, "d12_missing_token_policy": 20, "prj12_valid_mask": 20, "d9_process_batch": 20, "join10_tokens": 20, "p7_masked_values": 20, "p6_prepend_cls": 20}
 
 
 @pytest.mark.parametrize("name", MOST)

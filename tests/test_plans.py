@@ -28,3 +28,13 @@ def test_batch_checks_find_each_fault(spark):
     assert bad([*good[:2], (2, None, 0, 1.0, 1.0), (2, None, 1, 1.0, 1.0)]) == {"pairs"}
     assert bad([*good, (3, 5, 0, 1.0, 1.0), (3, 5, 1, 1.0, 1.0)]) == {"pairs"}
     assert bad([*good[:3], (2, 6, 1, 0.0, 1.0)]) == {"size_factors"}
+
+
+def test_exported_source_is_read_without_joins(spark, sf):
+    from cellmill.plans.views import Corpus
+    from cellmill.queries.storage import _source
+
+    c = Corpus(spark, sf)
+    source = _source(c, c.ledger.first()["dataset_id"])
+    for df in (source.obs, source.var, source.values):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

@@ -32,12 +32,16 @@ def _long(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(order).alias("_at"), F.explode(pairs).alias("x")).select("_at", "x.column", "x.value")
 
 
-def first_values(df: DataFrame, order: str, columns: list[str], scan: int, keep: int) -> DataFrame:
-    """column, values: the first `keep` distinct values among the first `scan` non-null ones of each column."""
+def _once(df: DataFrame, order: str, columns: list[str], scan: int) -> DataFrame:
+    """column, value, n: the distinct values among the first `scan` non-null ones of each column, and the place of their first."""
     rows = _long(df, order, columns).where(F.col("value").isNotNull())
     place = F.row_number().over(Window.partitionBy("column").orderBy("_at"))
-    once = rows.withColumn("n", place).where(F.col("n") <= scan).groupBy("column", "value").agg(F.min("n").alias("n"))
-    kept = once.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("n"))).where(F.col("k") <= keep)
+    return rows.withColumn("n", place).where(F.col("n") <= scan).groupBy("column", "value").agg(F.min("n").alias("n"))
+
+
+def first_values(df: DataFrame, order: str, columns: list[str], scan: int, keep: int) -> DataFrame:
+    """column, values: the first `keep` distinct values among the first `scan` non-null ones of each column."""
+    kept = _once(df, order, columns, scan).withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("n"))).where(F.col("k") <= keep)
     return kept.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("values"))
 
 
@@ -45,10 +49,10 @@ def profile(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """column, dtype, null_count, sampled_distinct (of the first 64 values), examples (first 5 distinct of 256)."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     nulls = _long(df, order, columns).groupBy("column").agg(F.count(F.when(F.col("value").isNull(), 1)).alias("null_count"))
-    few = first_values(df, order, columns, PROFILE_VALUES, PROFILE_VALUES).select("column", F.size("values").cast("long").alias("sampled_distinct"))
-    some = first_values(df, order, columns, SCAN_VALUES, EXAMPLES).select("column", F.col("values").alias("examples"))
+    seen = _once(df, order, columns, SCAN_VALUES).groupBy("column").agg(F.count(F.when(F.col("n") <= PROFILE_VALUES, 1)).alias("sampled_distinct"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("x"))
+    some = seen.select("column", "sampled_distinct", F.transform(F.slice("x", 1, EXAMPLES), lambda x: x["value"]).alias("examples"))  # 256 values a column at most
     dtype = F.create_map(*(F.lit(x) for c in columns for x in (c, kinds[c])))
-    rows = nulls.join(few, "column", "left").join(some, "column", "left")
+    rows = nulls.join(some, "column", "left")
     return rows.select("column", F.element_at(dtype, F.col("column")).alias("dtype"), "null_count", F.coalesce("sampled_distinct", F.lit(0)).alias("sampled_distinct"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 

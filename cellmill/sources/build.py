@@ -14,10 +14,11 @@ from ..operators import harmonize as ha
 from ..operators import hvg as hv
 from ..operators import inspect as ins
 from ..operators import materialize as ma
+from ..plans.together import together
 from . import store as so
 from .corpus import INDEX, meta
 from .counts import Source, read_source
-from .documents import Manifest, Schema, Summary, draft_schema, read_text, read_yaml, summary_counts, vocabulary_yaml, write_text
+from .documents import Manifest, Schema, Summary, draft_schema, read_text, read_yaml, summary_counts, vocabulary_values, vocabulary_yaml, write_text
 from .ledger import Ledger, exists, paths, read_ledger, relative, write_ledger
 
 N_HVG = 2000
@@ -26,18 +27,24 @@ N_HVG = 2000
 def inspect(source: Source, dataset_id: str) -> Summary:
     """What materialising and drafting need to know of a source. Everything collected is a few values a column or matrix."""
     shapes = source.shapes()
-    audited = ins.audit(source.values, shapes).cache()
-    controls = ins.control_candidates(source.obs, "local_row_index")
-    decision = ins.readiness(ins.choose_source(audited, ins.try_recovery(source.values, audited)), controls).first()
+    spark = source.obs.sparkSession
+    here = lambda df: spark.createDataFrame(df.collect(), df.schema)
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    fields = lambda df, order: rows(ins.profile(df, order, [c for c in df.columns if c != order]).orderBy("column"))
-    shape = shapes.first()
-    out = Summary(
-        dataset_id, decision["source"], decision["status"], bool(decision["uses_recovery"]), decision["materialization_readiness"], shape["n_rows"], shape["n_genes"],
-        fields(source.obs, "local_row_index"), fields(source.var, "origin_index"), rows(audited.orderBy("place")), rows(controls.orderBy("column")),
+    fields = lambda df, order: sorted(rows(ins.profile(df, order, [c for c in df.columns if c != order])), key=lambda r: r["column"])
+
+    def matrices() -> tuple[DataFrame, DataFrame]:
+        audited = here(ins.audit(source.values, shapes))  # one row a matrix, so is what is recovered
+        return audited, here(ins.try_recovery(source.values, audited))
+
+    (audited, recovered), controls, cells, genes = together(
+        matrices, lambda: here(ins.control_candidates(source.obs, "local_row_index")), lambda: fields(source.obs, "local_row_index"), lambda: fields(source.var, "origin_index")
+    )
+    decision = ins.readiness(ins.choose_source(audited, recovered), controls).first()
+    of = lambda df, order: sorted(rows(df), key=lambda r: r[order])
+    return Summary(
+        dataset_id, decision["source"], decision["status"], bool(decision["uses_recovery"]), decision["materialization_readiness"], *source.size,
+        cells, genes, of(audited, "place"), of(controls, "column"),
     )
-    audited.unpersist()
-    return out
 
 
 def inspect_to(spark: SparkSession, source: Source, dataset_id: str, folder: str) -> str:
@@ -84,7 +91,7 @@ def materialize(spark: SparkSession, root: str, dataset_id: str, source: Source,
     gate(summary)
     ledger = read_ledger(spark, f"{root}/{INDEX}")
     to, own = paths(ledger.topology, root, dataset_id), meta(ledger, root, dataset_id)
-    n_cells, n_genes = source.obs.count(), source.var.count()
+    n_cells, n_genes = source.size
     record = ledger.append(dataset_id, n_cells, relative(own["manifest"], root))
     inside = lambda *names: {k: relative(own[k], root) for k in names}
     manifest = Manifest(
@@ -101,20 +108,23 @@ def materialize(spark: SparkSession, root: str, dataset_id: str, source: Source,
     none = F.array().cast("array<int>")
     rows = source.obs.select(F.col("local_row_index").cast("long").alias("local_row_index")).join(packed, "local_row_index", "left")
     rows = rows.select((F.col("local_row_index") + record.global_start).alias("global_row_index"), F.coalesce("x.origin_index", none).alias("expressed_gene_indices"), F.coalesce("x.count", none).alias("expression_counts"))
-    so.writer(ledger.format, ledger.topology)(rows, ledger, root, dataset_id)
-
     here = F.lit(record.dataset_index).alias("dataset_index")
     cells = source.obs.select(here, F.col("local_row_index").cast("long").alias("global_row_index"), "cell_id")
     coo = counts.select(here, F.col("local_row_index").alias("global_row_index"), "origin_index", "count")
     factors = ma.size_factors(cells, coo).join(cells.select("global_row_index", "cell_id"), "global_row_index")
     genes = source.var.select(here, F.col("origin_index").cast("int").alias("origin_index"), F.col("feature_id").alias("gene_id"), F.col("origin_index").cast("long").alias("global_feature_id"))
     name = spark.createDataFrame([(record.dataset_index, dataset_id)], "dataset_index int, dataset_id string")
-    so.write_raw_obs(source.obs.withColumn("dataset_id", F.lit(dataset_id)), own["raw_obs"], overwrite=True)
-    so.write_raw_var(source.var, own["raw_var"], overwrite=True)
-    so.write_provenance(source.var, summary.source, source.path, own["provenance"], overwrite=True)
-    so.write_size_factors(factors, own["size_factors"], overwrite=True)
-    so.write_hvg(hv.hvg(coo, cells, genes, name, n_hvg), own["hvg"], overwrite=True)
-    counts.unpersist()
+    try:
+        so.writer(ledger.format, ledger.topology)(rows, ledger, root, dataset_id)
+        together(
+            lambda: so.write_hvg(hv.hvg(coo, cells, genes, name, n_hvg), own["hvg"], overwrite=True),
+            lambda: so.write_size_factors(factors, own["size_factors"], overwrite=True),
+            lambda: so.write_raw_obs(source.obs.withColumn("dataset_id", F.lit(dataset_id)), own["raw_obs"], overwrite=True),
+            lambda: so.write_raw_var(source.var, own["raw_var"], overwrite=True),
+            lambda: so.write_provenance(source.var, summary.source, source.path, own["provenance"], overwrite=True),
+        )
+    finally:
+        counts.unpersist()
     write_text(spark, summary.to_yaml(), own["summary"])
     write_text(spark, manifest.to_yaml(), own["manifest"])
     write_ledger(spark, ledger, f"{root}/{INDEX}")
@@ -190,14 +200,14 @@ def canonicalize(spark: SparkSession, root: str, dataset_id: str, overwrite: boo
         warnings.simplefilter("always")
         factors = own["size_factors"] if exists(spark, own["size_factors"]) else None
         obs, var = canonical_tables(spark, schema, raw_obs(spark, own["raw_obs"], factors), raw_var(spark, own["raw_var"]))
-    so.write_result(obs, own["obs"], overwrite)
-    so.write_result(var, own["var"], overwrite)
+    together(lambda: so.write_result(obs, own["obs"], overwrite), lambda: so.write_result(var, own["var"], overwrite))
     obs, var = spark.read.parquet(own["obs"]), spark.read.parquet(own["var"])
-    sizes = var.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("canonical_gene_id").alias("v"), F.count(F.when(F.col("gene_id") != F.col("canonical_gene_id"), 1)).alias("mapped")).first()
     texts = [f.name for f in obs.schema if f.dataType.typeName() == "string" and f.name != "cell_id"]
-    write_text(spark, vocabulary_yaml(obs, texts, sizes["v"], sizes["mapped"]), own["vocabulary"])
+    mapped = F.count(F.when(F.col("gene_id") != F.col("canonical_gene_id"), 1))
+    sizes, found, n = together(lambda: var.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("canonical_gene_id").alias("v"), mapped.alias("mapped")).first(), lambda: vocabulary_values(obs, texts), obs.count)
+    write_text(spark, vocabulary_yaml(found, texts, sizes["v"], sizes["mapped"]), own["vocabulary"])
     engine = schema.gene_mapping.engine if schema.gene_mapping.enabled else "identity"
-    return Canonicalized(dataset_id, own["obs"], own["var"], obs.count(), sizes["n"], sizes["v"], engine, [str(w.message) for w in said if issubclass(w.category, UserWarning)])
+    return Canonicalized(dataset_id, own["obs"], own["var"], n, sizes["n"], sizes["v"], engine, [str(w.message) for w in said if issubclass(w.category, UserWarning)])
 
 
 def canonicalize_all(spark: SparkSession, root: str, dataset_id: str | None = None, dry_run: bool = False, overwrite: bool = False) -> tuple[list[Canonicalized], dict[str, str]]:

@@ -38,3 +38,33 @@ def test_exported_source_is_read_without_joins(spark, sf):
     source = _source(c, c.ledger.first()["dataset_id"])
     for df in (source.obs, source.var, source.values):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _jobs(spark, group, f):
+    """How many jobs f starts, in threads of its own too."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_inspection_takes_few_jobs(spark, sf):
+    from cellmill.plans.views import Corpus
+    from cellmill.queries.storage import _source
+    from cellmill.sources import build as bu
+
+    c = Corpus(spark, sf)
+    source = _source(c, c.ledger.first()["dataset_id"])
+    assert 0 < _jobs(spark, "inspection", lambda: bu.inspect(source, "d")) <= 40
+
+
+def test_together_ends_all_and_raises_the_first():
+    from cellmill.plans.together import together
+
+    done = []
+    assert together(lambda: 1, lambda: 2, lambda: 3, lambda: 4) == [1, 2, 3, 4]
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: 1 // 0, lambda: done.append(1), lambda: done.append(2), lambda: done.append(3), lambda: [][0])
+    assert sorted(done) == [1, 2, 3]

@@ -279,6 +279,19 @@ def test_full_vectors(spark):
     assert got[1] == ([0] * 5, [False, False, True, False, False]) and got[2] == ([0, 0, 9, 0, 0], got[1][1])
 
 
+def test_full_vectors_without_lambdas_over_the_vocabulary(spark):
+    rows = spark.createDataFrame([(i, i % 2, [2, 0, 1], [1, i, 2]) for i in range(100)] + [(100, 0, [0, 7], [5, 6])], "global_row_index long, dataset_index int, expressed_gene_indices array<int>, expression_counts array<int>")
+    genes = spark.createDataFrame([(d, g, 40_000 * d + 20_000 * (g > 0)) for d in range(2) for g in range(3)], "dataset_index int, origin_index int, global_feature_id long")
+    tokens = spark.createDataFrame([(20_000 * g, g != 1) for g in range(4)], "global_id long, tokenizable boolean")
+    found = pa.full_vectors(rows, genes, tokens)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # whose time is that of interpreted code, cells times genes
+    got = {r["global_row_index"]: r for r in found.collect()}
+    assert len(got) == 101 and all(len(r["counts"]) == len(r["valid"]) == 60_001 for r in got.values())
+    there = lambda x: {i: v for i, v in enumerate(x) if v}
+    assert all(there(got[i]["counts"]) == {k: v for k, v in ((40_000 * (i % 2), i), (40_000 * (i % 2) + 20_000, 1)) if v} for i in range(100))
+    assert there(got[0]["valid"]) == {0: True} and there(got[1]["valid"]) == {40_000: True, 60_000: True} and there(got[100]["counts"]) == {0: 5}
+
+
 def _tiny(spark):
     rows = spark.createDataFrame([(i, [0, 2], [1 + i, 3]) for i in range(10)], "global_row_index long, expressed_gene_indices array<int>, expression_counts array<int>")
     obs = spark.createDataFrame([(i, i // 6, "ctx" if i % 2 else None, "WT" if i % 3 == 0 else "KO", 1.0 + i) for i in range(10)], "global_row_index long, dataset_index int, cell_context string, perturb_label string, size_factor double")

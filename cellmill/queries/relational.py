@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import blocks as bl
 from ..operators import gather as ga
 from ..operators import harmonize as ha
 from ..operators import hvg as hv
@@ -82,7 +83,7 @@ def _(c: Corpus):
 
 @query("prj12_valid_mask", _D9 + "SELECT global_row_index, seq, valid FROM w", True)
 def _(c: Corpus):
-    return _processed(c).select("global_row_index", "seq", "valid")
+    return bl.exploded(_processed(c), valid="mask")
 
 
 @query("prj11_label_masks", "+ k AS (SELECT perturb_label AS label, global_row_index, local_row_index // 1024 AS batch_id, dataset_index FROM obs) SELECT dataset_index, batch_id, label, count(*) AS n, min(global_row_index) AS first FROM k GROUP BY 1, 2, 3", True)
@@ -259,7 +260,7 @@ def _(c: Corpus):
     from ..operators import features as fe
 
     tokens = fe.token_map(fe.vocabulary(c.var)).withColumn("tokenizable", F.col("global_id") % 3 > 0)
-    return sa.tokenize(_processed(c), tokens, policy="exclude").select("global_row_index", "seq", "global_feature_id", "token_id")
+    return sa.tokenize_arrays(_processed(c), tokens, policy="exclude").select("global_row_index", "seq", "global_feature_id", "token_id")
 
 
 @query("set11_chunks", "+ k AS (SELECT global_row_index, (row_number() OVER (ORDER BY global_row_index) - 1) // 1000 AS chunk FROM cell) SELECT chunk, count(*) AS n, min(global_row_index) AS first, max(global_row_index) AS last FROM k GROUP BY 1", True)
